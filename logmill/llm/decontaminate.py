@@ -37,6 +37,11 @@ def shingle_hashes(k: int, column: str = "lm_words") -> Column:
     return F.when(F.size(column) >= k, F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col(column), i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def once(column: Column) -> Column:
+    """The column behind a generator of one row, so that no later expression evaluates it again."""
+    return F.explode(F.array(column))
+
+
 def hinted(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if count_at_most(small, BROADCAST_ROWS) else small
 
@@ -54,13 +59,13 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """WINDOW and lm_hashes of the windows laid at the items' shingles; lm_text tells rows with one doc_id apart."""
     sizes = sorted(r[0] for r in items.select("lm_k").distinct().collect())  # at most SHINGLE rows
-    split = docs.select("doc_id", F.xxhash64("text").alias("lm_text"), words().alias("lm_words"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("lm_text"), once(words()).alias("lm_words"))
     laid = None
     for k in sizes or [SHINGLE]:
         own = items.where(F.col("lm_k") == k).select("lm_size", F.posexplode("lm_hashes").alias("lm_at", "lm_hash"), "lm_hashes")
         known = own.select("lm_hash", "lm_size", "lm_at", F.when(F.col("lm_at") > 0, F.get("lm_hashes", F.col("lm_at") - 1)).alias("lm_before")).distinct()
         # hashes stay a column of the text's row; only matches copy their part of it
-        hashed = split.select("doc_id", "lm_text", shingle_hashes(k).alias("lm_all"))
+        hashed = split.select("doc_id", "lm_text", once(shingle_hashes(k)).alias("lm_all"))
         places = hashed.select("doc_id", "lm_text", "lm_all", F.posexplode("lm_all").alias("lm_place", "lm_hash"))
         hits = places.join(hinted(known), "lm_hash")
         fresh = F.col("lm_before").isNull() | ~F.get("lm_all", F.greatest(F.col("lm_place") - 1, F.lit(0))).eqNullSafe(F.col("lm_before")) | (F.col("lm_place") == 0)
