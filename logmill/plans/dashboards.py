@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from logmill.operators import briefs, privacy, routing, views
 from logmill.plans.base import NOW, as_of, bridge, expected, parsed, query, raised, snapshot, with_alerts
 
-SECONDS = F.unix_timestamp("timestamp").alias("t_s")
+
+def seconds():
+    return F.unix_timestamp("timestamp").alias("t_s")
+
 RECENT = f"t >= {NOW} - INTERVAL 96 HOUR"
 
 
@@ -17,7 +20,7 @@ def recent(e):
 
 @query(expected("SELECT event_id AS line_id, t_s FROM good WHERE severity = 'medium' AND source = 'auth' AND event_type = 'auth_failure'"))
 def event_filter(spark, d):
-    return views.equal(parsed(spark, d), severity="medium", source="auth", event_type="auth_failure", src_ip="").select("line_id", SECONDS)
+    return views.equal(parsed(spark, d), severity="medium", source="auth", event_type="auth_failure", src_ip="").select("line_id", seconds())
 
 
 @query(expected("SELECT event_id AS line_id FROM good WHERE event_type = 'sudo_command' OR http_path LIKE '%admin%'"))
@@ -28,12 +31,12 @@ def event_search(spark, d):
 
 @query(expected(f"SELECT event_id AS line_id, t_s FROM good WHERE {RECENT}"))
 def event_recent(spark, d):
-    return views.since(recent(parsed(spark, d)), as_of(), "soon").select("line_id", SECONDS)
+    return views.since(recent(parsed(spark, d)), as_of(), "soon").select("line_id", seconds())
 
 
 @query(expected("SELECT event_id AS line_id, t_s FROM good ORDER BY t DESC, event_id LIMIT 50 OFFSET 50"))
 def event_page(spark, d):
-    return views.page(parsed(spark, d), 2, 50, tie="line_id").select("line_id", SECONDS)
+    return views.page(parsed(spark, d), 2, 50, tie="line_id").select("line_id", seconds())
 
 
 def alerts_of(spark, d):
@@ -64,7 +67,7 @@ def alert_events_newest(spark, d):
     e = parsed(spark, d)
     a = raised(e)
     ids = a.where("rule_id = 'rule-t3'").select(F.col("id").alias("alert_id"))
-    return views.events_of(ids, bridge(e, a), e).orderBy("alert_id", F.desc("timestamp"), "line_id").select("alert_id", "line_id", SECONDS)
+    return views.events_of(ids, bridge(e, a), e).orderBy("alert_id", F.desc("timestamp"), "line_id").select("alert_id", "line_id", seconds())
 
 
 @query(expected("SELECT facet, value, count(*) AS count FROM (SELECT unnest(['severity', 'source', 'event_type']) AS facet, unnest([severity, source, event_type]) AS value FROM good) GROUP BY ALL"))

@@ -11,7 +11,10 @@ from logmill.plans.base import NOW, as_of, expected, lines, parsed, place, query
 from logmill.sources.lines import SOURCES, accounting, not_ignored
 
 LONG = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
-SECONDS = F.unix_timestamp("timestamp").alias("t_s")
+
+
+def seconds():
+    return F.unix_timestamp("timestamp").alias("t_s")
 
 
 def auth(spark, d):
@@ -20,25 +23,25 @@ def auth(spark, d):
 
 @query(expected("""SELECT event_id AS line_id, t_s, host, event_type, severity, src_ip, src_port, "user", pid, auth_method FROM good WHERE process = 'sshd'"""))
 def parse_sshd(spark, d):
-    return auth(spark, d).where(F.col("process") == "sshd").select("line_id", SECONDS, "host", "event_type", "severity", "src_ip", *LONG("src_port"), "user", *LONG("pid"), "extra.auth_method")
+    return auth(spark, d).where(F.col("process") == "sshd").select("line_id", seconds(), "host", "event_type", "severity", "src_ip", *LONG("src_port"), "user", *LONG("pid"), "extra.auth_method")
 
 
 @query(expected("""SELECT event_id AS line_id, t_s, event_type, severity, "user", CASE WHEN event_type = 'sudo_command' THEN 'root' END AS target_user,
     CASE WHEN event_type = 'sudo_command' THEN '/usr/bin/apt install pkg' || k END AS command, CASE WHEN event_type = 'sudo_command' THEN 'pts/0' END AS tty,
     CASE WHEN event_type = 'sudo_command' THEN '/home/' || u END AS pwd, CASE WHEN event_type = 'sudo_failure' THEN '3 incorrect password attempts' END AS reason FROM good WHERE process = 'sudo'"""))
 def parse_sudo(spark, d):
-    return auth(spark, d).where(F.col("process") == "sudo").select("line_id", SECONDS, "event_type", "severity", "user", "extra.target_user", "extra.command", "extra.tty", "extra.pwd", "extra.reason")
+    return auth(spark, d).where(F.col("process") == "sudo").select("line_id", seconds(), "event_type", "severity", "user", "extra.target_user", "extra.command", "extra.tty", "extra.pwd", "extra.reason")
 
 
 @query(expected("""SELECT event_id AS line_id, t_s, host, event_type, severity, "user" FROM good WHERE process = 'useradd'"""))
 def parse_useradd(spark, d):
-    return auth(spark, d).where(F.col("process") == "useradd").select("line_id", SECONDS, "host", "event_type", "severity", "user")
+    return auth(spark, d).where(F.col("process") == "useradd").select("line_id", seconds(), "host", "event_type", "severity", "user")
 
 
 @query(expected("""SELECT event_id AS line_id, t_s, severity, src_ip, "user", click_message AS message, http_path, http_status, http_size, user_agent, is_suspicious FROM good WHERE source = 'nginx_access'"""))
 def parse_access_log(spark, d):
     rows = parse_access(lines(spark, d).where("source = 'nginx_access'"), as_of())
-    return rows.select("line_id", SECONDS, "severity", "src_ip", "user", "message", "extra.http_path", F.col("extra.http_status").cast("long").alias("http_status"), F.col("extra.http_size").cast("long").alias("http_size"), "extra.user_agent", "extra.is_suspicious")
+    return rows.select("line_id", seconds(), "severity", "src_ip", "user", "message", "extra.http_path", F.col("extra.http_status").cast("long").alias("http_status"), F.col("extra.http_size").cast("long").alias("http_size"), "extra.user_agent", "extra.is_suspicious")
 
 
 @query(expected("SELECT http_path, user_agent, count(*) AS n FROM good WHERE is_suspicious GROUP BY ALL"))
@@ -49,13 +52,13 @@ def suspicious_requests(spark, d):
 @query(expected("""SELECT event_id AS line_id, t_s, event_type, src_ip, dst_ip, src_port, dst_port, 'TCP' AS protocol, 'eth0' AS interface_in, '' AS interface_out, CASE WHEN event_type = 'firewall_block' THEN 'BLOCK' ELSE 'AUDIT' END AS fw_action FROM good WHERE process = 'kernel'"""))
 def parse_firewall(spark, d):
     rows = parse_syslog(lines(spark, d).where("source = 'syslog'"), as_of()).where(F.col("process") == "kernel")
-    return rows.select("line_id", SECONDS, "event_type", "src_ip", "dst_ip", *LONG("src_port", "dst_port"), "extra.protocol", "extra.interface_in", "extra.interface_out", "extra.fw_action")
+    return rows.select("line_id", seconds(), "event_type", "src_ip", "dst_ip", *LONG("src_port", "dst_port"), "extra.protocol", "extra.interface_in", "extra.interface_out", "extra.fw_action")
 
 
 @query(expected("SELECT event_id AS line_id, t_s, process, pid, severity, 'Started unit' || k || '.service' AS message FROM good WHERE event_type = 'service_event'"))
 def parse_service(spark, d):
     rows = parse_syslog(not_ignored(lines(spark, d).where("source = 'syslog'"), SOURCES), as_of()).where(F.col("event_type") == "service_event")
-    return rows.select("line_id", SECONDS, "process", *LONG("pid"), "severity", "message")
+    return rows.select("line_id", seconds(), "process", *LONG("pid"), "severity", "message")
 
 
 @query(expected(f"SELECT event_id AS line_id, t_s AS iso_s, t_s - 7200 AS offset_s, t_s AS bsd_s, t_s - 10800 AS access_s, epoch({NOW})::BIGINT AS bad_s FROM ev JOIN pe USING (event_id)"))
@@ -73,7 +76,7 @@ COLUMNS = """event_id AS line_id, source, t_s, host, event_type, severity, src_i
 
 
 def narrow(df):
-    return df.select("line_id", "source", SECONDS, "host", "event_type", "severity", "src_ip", "dst_ip", *LONG("src_port", "dst_port"), "user", "process", *LONG("pid"), "extra.is_suspicious", F.col("extra.http_status").cast("long").alias("http_status"))
+    return df.select("line_id", "source", seconds(), "host", "event_type", "severity", "src_ip", "dst_ip", *LONG("src_port", "dst_port"), "user", "process", *LONG("pid"), "extra.is_suspicious", F.col("extra.http_status").cast("long").alias("http_status"))
 
 
 @query(expected(f"SELECT {COLUMNS} FROM good"))
