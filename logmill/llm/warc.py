@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
-ARCHIVE_BYTES, DICTIONARY_BYTES = 16 << 20, 32 << 10
+ARCHIVE_BYTES, DICTIONARY_BYTES, MOST_TASKS = 16 << 20, 32 << 10, 20_000
 NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "archive string, offset long, record_id string, record_type string, target_uri string, refers_to string, payload binary, payload_bytes long, payload_digest string, problem string"
@@ -33,7 +33,8 @@ def base32_sha1(data: bytes) -> str:
 
 def train_dictionary(pages: DataFrame, payload: str, key: str, samples: int = 300, each: int = 4096) -> bytes:
     """A dictionary from the first bytes of at most so many payloads, those with the smallest hash of key; b'' if there are too few."""
-    few = pages.orderBy(F.xxhash64(key), key).limit(samples).select(F.substring(F.col(payload), 1, each)).collect()
+    ids = pages.select(key).orderBy(F.xxhash64(key), key).limit(samples).distinct()  # keys alone are sorted and sent
+    few = pages.join(F.broadcast(ids), key, "left_semi").select(F.substring(F.col(payload), 1, each)).limit(samples).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r[0]) for r in few if r[0]]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -204,7 +205,9 @@ def read(archives: DataFrame) -> DataFrame:
                     rows.append((path, None, *[None] * 7, f"broken archive: {e}"))
                 yield batch_of(rows)
 
-    return archives.select("archive").repartition("archive").mapInArrow(records, RECORD)
+    names_only = archives.select("archive")
+    tasks = min(MOST_TASKS, max(1, names_only.count()))  # a number of its own: names are small, so Spark would merge their partitions
+    return names_only.repartition(tasks, "archive").mapInArrow(records, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
