@@ -145,7 +145,7 @@ def train(labelled: DataFrame, docs_per_language: int = 300, windows_per_doc: in
             take = np.unique(np.concatenate([f + (np.arange(windows_per_doc) * c) // windows_per_doc for f, c in zip(first, count, strict=True) if c]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[take])), batch.column("lang").take(pa.array(row[take])), pa.array([w.tobytes() for w in windows[take]], pa.binary())], names=["doc_id", "lang", "window"])
 
-    rows = known.join(F.broadcast(small), ["doc_id", "lang"], "left_semi").mapInArrow(sample, "doc_id long, lang string, window binary").collect()
+    rows = known.join(F.broadcast(small), ["doc_id", "lang"], "left_semi").mapInArrow(sample, "doc_id long, lang string, window binary").limit(max_languages * docs_per_language * windows_per_doc).collect()
     rows.sort(key=lambda r: (r[1], r[0] if r[0] is not None else -1, bytes(r[2])))
     names = sorted(langs)
     code = {k: i for i, k in enumerate(names)}
