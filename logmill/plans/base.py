@@ -43,13 +43,13 @@ al AS (SELECT sha256(gc.rule_id || chr(31) || coalesce(g, 'None') || chr(31) ||
 br AS (SELECT id AS alert_id, event_id FROM tg JOIN al ON tg.rule_id = al.rule_id AND coalesce(tg.g, 'None') = al.group_value)"""
 
 
-def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) under its name, with its SQL behind the common table expressions."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function (spark, sf_dir) under its name or another, with its SQL."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[name or f.__name__] = sql
         return f
 
     return add

@@ -38,7 +38,7 @@ def parse_useradd(spark, d):
     return auth(spark, d).where(F.col("process") == "useradd").select("line_id", seconds(), "host", "event_type", "severity", "user")
 
 
-@query(expected("""SELECT event_id AS line_id, t_s, severity, src_ip, "user", click_message AS message, http_path, http_status, http_size, user_agent, is_suspicious FROM good WHERE source = 'nginx_access'"""))
+@query(expected("""SELECT event_id AS line_id, t_s, severity, src_ip, "user", click_message AS message, http_path, http_status, http_size, user_agent, is_suspicious FROM good WHERE source = 'nginx_access'"""), "parse_access")
 def parse_access_log(spark, d):
     rows = parse_access(lines(spark, d).where("source = 'nginx_access'"), as_of())
     return rows.select("line_id", seconds(), "severity", "src_ip", "user", "message", "extra.http_path", F.col("extra.http_status").cast("long").alias("http_status"), F.col("extra.http_size").cast("long").alias("http_size"), "extra.user_agent", "extra.is_suspicious")
@@ -123,7 +123,7 @@ def event_sink_roundtrip(spark, d):
     return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query(expected("""SELECT event_id AS line_id, CASE k % 6 WHEN 0 THEN k WHEN 1 THEN k * 60 WHEN 2 THEN k * 3600 WHEN 3 THEN k * 86400 WHEN 4 THEN k * 60 ELSE 300 END AS seconds FROM ev"""))
+@query(expected("""SELECT event_id AS line_id, CASE k % 6 WHEN 0 THEN k WHEN 1 THEN k * 60 WHEN 2 THEN k * 3600 WHEN 3 THEN k * 86400 WHEN 4 THEN k * 60 ELSE 300 END AS seconds FROM ev"""), "duration_seconds")
 def duration_seconds_of(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("line_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
     units = F.element_at(F.array(*map(F.lit, ("s", "m", "h", "d", "x", ""))), (F.col("k") % 6 + 1).cast("int"))
