@@ -32,7 +32,8 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     depths = F.explode(F.array(*map(F.lit, range(MAX_DEPTH + 1)))).alias("depth")
     prefixes = filled.select("lm_slot", "n", depths).withColumn("prefix", F.expr(f"shiftright(lm_slot, {MAX_DEPTH} - depth)"))
     fits = prefixes.groupBy("depth", "prefix").agg(F.sum("n").alias("total")).where((F.col("total") <= capacity) | (F.col("depth") == MAX_DEPTH))
-    leaf = prefixes.join(fits, ["depth", "prefix"]).groupBy("lm_slot").agg(F.min(F.struct("depth", "prefix")).alias("leaf"))
+    known = prefixes.join(F.broadcast(fits), ["depth", "prefix"])  # fits has at most 2**(MAX_DEPTH + 1) rows
+    leaf = known.groupBy("lm_slot").agg(F.min(F.struct("depth", "prefix")).alias("leaf"))
     return leaf.select("lm_slot", F.expr(f"shiftleft(leaf.prefix, {MAX_DEPTH} - leaf.depth)").cast("int").alias("lm_bucket"))
 
 
