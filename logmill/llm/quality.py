@@ -23,7 +23,9 @@ from logmill.llm.common import bucket_of, bytes_of, chunks, with_results
 BUCKETS = 1 << 18
 THRESHOLD = 0.7
 #: Added to the sum of squared counts, so a text of few words stays near the score of the constant.
-FEW = 200.0
+FEW = 60.0
+#: Bytes on either side of a text's middle that make the short example of a labelled text.
+SHORT = 60
 
 PRIME = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, epochs: int
     """Weights of BUCKETS features and, last, of the constant, from docs (doc_id, text) and labels (doc_id, quality).
 
     Labels with null in either column are left out, one label of each doc_id counts (the largest). Without any label
-    all weights are 0 and every score is 0.5. The rows that reach the driver are at most max_rows.
+    all weights are 0 and every score is 0.5. At most max_rows labelled rows and a short part of each reach the driver.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
@@ -147,13 +149,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, epochs: int
         for batch in batches:
             data, offsets = bytes_of(batch.column("text"))
             for i, j in chunks(offsets):
-                r, b, v = sparse(*features(data, offsets[i : j + 1]), j - i)
-                at = np.searchsorted(r, np.arange(j - i + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (b.astype(np.int32), v.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("quality").slice(i, j - i), *lists], names=["doc_id", "quality", "i", "x"])
-
-    found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").mapInArrow(vectors, "doc_id long, quality int, i array<int>, x array<float>").toArrow()
-    rows = sorted(zip(found["doc_id"].to_pylist(), found["quality"].to_pylist(), range(len(found)), strict=True))
+                rows = [sparse(*features(data, offsets[i : j + 1]), j - i)]
+                for k in range(i, j):  # a short part from the middle is an example too, since short texts must be told apart
+                    middle = (offsets[k] + offsets[k + 1]) // 2
+                    part = np.array([max(offsets[k], middle - SHORT), min(offsets[k + 1], middle + SHORT)])
+                    rows.append(sparse(*features(data, part), 1))
+                at = np.concatenate([[0], np.cumsum(np.concatenate([np.bincount(rows[0][0], minlength=j - i), [len(r) for r, _, _ in rows[1:]]]))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([r[n] for r in rows]).astype(t))) for n, t in ((1, np.int32), (2, np.float32))]
+                twice = [pa.concat_arrays([batch.column(c).slice(i, j - i)] * 2) for c in ("doc_id", "quality")]
+                yield pa.RecordBatch.from_arrays([*twice, *lists], names=["doc_id", "quality", "i", "x"])
+
+    found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").mapInArrow(vectors, "doc_id long, quality int, i array<int>, x array<float>").limit(2 * max_rows).toArrow()
+    sizes = found["i"].combine_chunks().value_lengths().to_pylist() if len(found) else []
+    rows = [(d, y, k) for d, y, _, k in sorted(zip(found["doc_id"].to_pylist(), found["quality"].to_pylist(), sizes, range(len(found)), strict=True))]
     cells = [(found["i"].combine_chunks().values.to_numpy(), found["i"].combine_chunks().offsets.to_numpy()), (found["x"].combine_chunks().values.to_numpy(), None)] if len(found) else []
     rng = np.random.default_rng(3)
     for _ in range(epochs):
