@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_
+from operator import and_, eq, ge, gt, le, lt
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -93,6 +93,9 @@ def field_column(name: str) -> Column:
     return F.col(f"extra.{name}") if name in EXTRA else F.col(name)
 
 
+COMPARE = {"": eq, "gte": ge, "gt": gt, "lte": le, "lt": lt, "contains": lambda c, v: c.contains(v), "in": lambda c, v: c.isin(*v)}
+
+
 def predicate(selection: dict) -> Column:
     """All fields equal; service means process, true and false are booleans, and a suffix compares: __gte __gt __lte __lt __contains __in.
 
@@ -107,7 +110,7 @@ def predicate(selection: dict) -> Column:
         if isinstance(value, bool) and EXTRA.get(name) != "boolean":
             parts.append(F.lit(False))  # types are strict
             continue
-        parts.append({"": c == value if how == "" else None, "gte": c >= value, "gt": c > value, "lte": c <= value, "lt": c < value}.get(how) if how in ("", "gte", "gt", "lte", "lt") else c.contains(value) if how == "contains" else c.isin(*value))
+        parts.append(COMPARE[how](c, value))
     return reduce(and_, parts, F.lit(True))
 
 

@@ -97,3 +97,8 @@ def snapshot(df: DataFrame) -> DataFrame:
     path = f"{place(df.sparkSession)}/snapshot"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed events as a stored table, for queries that read them more than once."""
+    return snapshot(parsed(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logmill.operators import briefs, privacy, routing, views
-from logmill.plans.base import NOW, as_of, bridge, expected, parsed, query, raised, snapshot, with_alerts
+from logmill.plans.base import NOW, as_of, bridge, event_table, expected, parsed, query, raised, snapshot, with_alerts
 
 
 def seconds():
@@ -25,7 +25,7 @@ def event_filter(spark, d):
 
 @query(expected("SELECT event_id AS line_id FROM good WHERE event_type = 'sudo_command' OR http_path LIKE '%admin%'"))
 def event_search(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     return views.search(e, "COMMAND=/USR/BIN/APT").select("line_id").union(views.search(e, "Wp-AdMin").select("line_id"))
 
 
@@ -40,7 +40,7 @@ def event_page(spark, d):
 
 
 def alerts_of(spark, d):
-    return raised(parsed(spark, d))
+    return raised(event_table(spark, d))
 
 
 @query(with_alerts("SELECT id, rule_id, group_value FROM al WHERE severity = 'high' AND status = 'resolved'"))
@@ -57,14 +57,14 @@ def status_upsert(spark, d):
 
 @query(with_alerts("SELECT id, rule_title, status, c AS event_count, llm_analysis <> '' AS has_analysis FROM al"))
 def alert_list(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     a = raised(e)
     return views.listing(a, bridge(e, a)).select("id", "rule_title", "status", "event_count", "has_analysis")
 
 
 @query(with_alerts("SELECT alert_id, good.event_id AS line_id, t_s FROM br JOIN good USING (event_id) JOIN al ON al.id = alert_id WHERE rule_id = 'rule-t3'"))
 def alert_events_newest(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     a = raised(e)
     ids = a.where("rule_id = 'rule-t3'").select(F.col("id").alias("alert_id"))
     return views.events_of(ids, bridge(e, a), e).orderBy("alert_id", F.desc("timestamp"), "line_id").select("alert_id", "line_id", seconds())
@@ -77,7 +77,7 @@ def facet_counts(spark, d):
 
 @query(with_alerts(f"SELECT * FROM (SELECT count(*) AS events, count(*) FILTER (t >= {NOW} - INTERVAL 1 HOUR) AS events_last_hour FROM good), (SELECT count(*) AS alerts, count(*) FILTER (status = 'new') AS new_alerts, count(*) FILTER (status = 'new' AND severity IN ('high', 'critical')) AS urgent_alerts FROM al)"))
 def dashboard_totals(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     return views.totals(e, raised(e), as_of())
 
 
@@ -101,14 +101,14 @@ OLD = f"t < {NOW} - INTERVAL 4 DAY"
 
 @query(with_alerts(f"SELECT event_id AS line_id FROM good WHERE NOT ({OLD}) OR event_id IN (SELECT event_id FROM br JOIN al ON al.id = alert_id WHERE created_at >= {NOW} - INTERVAL 170 DAY)"))
 def retention_keep(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     a = raised(e)
     return views.retained(e, a, bridge(e, a), as_of(), 4, 170)[0].select("line_id")
 
 
 @query(with_alerts(f"SELECT (SELECT count(*) FROM al WHERE created_at < {NOW} - INTERVAL 170 DAY) AS alerts_to_delete, (SELECT count(*) FROM good WHERE {OLD} AND event_id NOT IN (SELECT event_id FROM br)) AS events_to_delete"))
 def retention_dry_run(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     a = raised(e)
     return views.dry_run(e, a, bridge(e, a), as_of(), 4, 170)
 
@@ -131,7 +131,7 @@ def policy_backtest(spark, d):
     from logmill.operators import anomaly
     from logmill.plans.detection import by_hour, votes
 
-    w = by_hour(spark, d)
+    w = snapshot(by_hour(spark, d))
     policies = spark.createDataFrame([("z2.5", 2.5, 0.0, False), ("z5", 5.0, 0.0, False), ("agree", 2.5, 0.0, True), ("agree+floor", 2.5, 0.25, True)], "policy string, z_threshold double, floor double, agree boolean")
     return views.backtest(anomaly.scored(w, anomaly.fit(w)), votes(w), policies)
 
@@ -168,7 +168,7 @@ def user_labels(spark, d):
 
 @query(expected(label_sql('"user"', "USER_", "\"user\" NOT IN ('u1', 'u2', 'u3')") + " UNION ALL SELECT DISTINCT host, \"user\", \"user\" FROM good WHERE source <> 'nginx_access' AND \"user\" IN ('u1', 'u2', 'u3')"))
 def disclosed_labels(spark, d):
-    values = scoped(spark, d, "user")
+    values = snapshot(scoped(spark, d, "user"))
     return privacy.user_labels(values, values.where(F.col("value").isin("u1", "u2", "u3")).select("scope_id", "value"))
 
 
@@ -198,17 +198,17 @@ def scrub_ips_docs(spark, d):
 @query(expected(f""", f AS (SELECT host, u, min(event_id) AS p FROM good WHERE source = 'auth' AND kind = 'purchase' GROUP BY ALL), l AS (SELECT host, u, 'USER_' || row_number() OVER (PARTITION BY host ORDER BY p, u) AS label FROM f)
     SELECT good.event_id AS line_id, label || ' : TTY=pts/0 ; PWD=<gizlendi> ; USER=root ; COMMAND=apt' AS message_scrubbed FROM good JOIN l USING (host, u) WHERE event_type = 'sudo_command'"""))
 def scrub_messages(spark, d):
-    sudo = parsed(spark, d).where(F.col("process") == "sudo").select(F.col("host").alias("scope_id"), F.col("line_id").alias("row_id"), "event_type", "message")
+    sudo = snapshot(parsed(spark, d).where(F.col("process") == "sudo").select(F.col("host").alias("scope_id"), F.col("line_id").alias("row_id"), "event_type", "message"))
     return privacy.scrub(sudo, "message")[0].where("event_type = 'sudo_command'").select(F.col("row_id").alias("line_id"), "message_scrubbed")
 
 
 @query(with_alerts("SELECT id AS alert_id, c AS n_events, least(c, 10) + CASE WHEN c > 10 THEN 1 ELSE 0 END AS n_lines, CASE WHEN c > 10 THEN '  ... ve ' || (c - 10) || ' event daha' END AS more FROM al"))
 def alert_brief(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     a = raised(e)
     own = snapshot(views.events_of(a.select(F.col("id").alias("alert_id")), bridge(e, a), e))
     rows, _ = privacy.scrub(own.withColumns({"scope_id": F.col("alert_id"), "row_id": F.col("line_id")}), "message")
-    labelled = rows.withColumns({"ip_label": F.lit("IP"), "user_label": F.lit("USER")})
+    labelled = snapshot(rows.withColumns({"ip_label": F.lit("IP"), "user_label": F.lit("USER")}))
     b = briefs.briefs(a, labelled)
     last = F.substring_index("lines", "\n", -1)
     return b.select("alert_id", "n_events", F.size(F.split("lines", "\n")).cast("long").alias("n_lines"), F.when(last.startswith("  ..."), last).alias("more"))
@@ -216,7 +216,7 @@ def alert_brief(spark, d):
 
 @query(with_alerts(f"SELECT * FROM (SELECT count(*) AS events, count(*) FILTER (t >= {NOW} - INTERVAL 24 HOUR) AS events_24h, count(*) FILTER (t >= {NOW} - INTERVAL 1 HOUR) AS events_1h FROM good), (SELECT count(*) AS alerts, count(*) FILTER (status = 'new') AS new_alerts FROM al)"))
 def situation_context(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     return briefs.situation(e, raised(e), as_of())
 
 
@@ -226,7 +226,7 @@ def situation_context(spark, d):
     SELECT src_ip, (SELECT count(*) FROM o WHERE o.src_ip = q.src_ip) AS total, (SELECT string_agg(event_type || '=' || n, ',' ORDER BY n DESC, event_type) FROM ty WHERE ty.src_ip = q.src_ip) AS types,
         (SELECT count(*) FROM al WHERE al.src_ip = q.src_ip) AS n_alerts, (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r) FROM rk WHERE rk.src_ip = q.src_ip AND r <= 5) AS last_events FROM q"""))
 def ip_dossier(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     questions = e.where("event_type = 'firewall_block' and dst_port = 20").select(F.col("line_id").alias("question_id"), F.concat(F.lit("What did "), "src_ip", F.lit(" do? 999.1.1.1 at 14:23:01")).alias("text"))
     return briefs.dossiers(briefs.asked_ips(questions, "question_id", "text").select("src_ip").distinct(), e, raised(e))
 
@@ -234,7 +234,7 @@ def ip_dossier(spark, d):
 @query(with_alerts(f"""SELECT * FROM (SELECT 'alert' AS part, id AS key, left(message, 100) AS text FROM al ORDER BY created_at DESC, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'event', CAST(event_id AS VARCHAR), event_type FROM good ORDER BY t DESC, event_id LIMIT 10)
     UNION ALL SELECT 'severity', severity, CAST(count(*) AS VARCHAR) FROM good WHERE {RECENT} GROUP BY severity UNION ALL SELECT * FROM (SELECT 'ip', src_ip, CAST(count(*) AS VARCHAR) FROM good WHERE {RECENT} AND src_ip IS NOT NULL GROUP BY src_ip ORDER BY count(*) DESC, src_ip LIMIT 5)"""))
 def recent_digest(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     part = lambda df, name, key, text: df.select(F.lit(name).alias("part"), F.col(key).cast("string").alias("key"), text.cast("string").alias("text"))
     out = part(briefs.newest(raised(e), "created_at", "id", 5), "alert", "id", F.substring("message", 1, 100)).union(part(briefs.newest(e, "timestamp", "line_id", 10), "event", "line_id", F.col("event_type")))
     return out.union(part(views.distribution(recent(e), "severity"), "severity", "severity", F.col("count"))).union(part(views.top(recent(e), "src_ip"), "ip", "src_ip", F.col("count")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logmill.operators import anomaly, features, forest, rules
-from logmill.plans.base import NOW, TEST_RULES, as_of, expected, parsed, place, query, raised, bridge, with_alerts
+from logmill.plans.base import NOW, TEST_RULES, as_of, bridge, event_table, expected, parsed, place, query, raised, snapshot, with_alerts
 
 DAY = 86400
 START = "epoch(TIMESTAMP '2024-01-01 00:00:00')::BIGINT"
@@ -76,7 +76,7 @@ def all_rules_alerts(spark, d):
 @query(with_alerts("SELECT rule_id, group_value FROM al WHERE NOT (group_value <> 'None' AND c % 2 = 0 AND CASE WHEN rule_id = 'rule-t4' THEN 3600 ELSE c * 100 END <= CASE WHEN rule_id = 'rule-t4' THEN 86400 ELSE 300 END)"))
 def rule_cooldown_tick(spark, d):
     """Earlier alerts, of half of the groups, hold back those whose cooldown isn't over."""
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     back = F.when(F.col("rule_id") == "rule-t4", 3600).otherwise(F.col("count") * 100)
     earlier = rules.fired(e, TEST_RULES, as_of()).where("count % 2 = 0").select("rule_id", "group_value", F.timestamp_seconds(F.unix_timestamp(as_of()) - back).alias("created_at"))
     return rules.alerts(e, TEST_RULES, as_of(), earlier).select("rule_id", "group_value")
@@ -110,7 +110,7 @@ def rule_replay(spark, d):
 
 @query(with_alerts("SELECT alert_id, event_id FROM br"))
 def alert_evidence(spark, d):
-    e = parsed(spark, d)
+    e = event_table(spark, d)
     return bridge(e, rules.alerts(e, TEST_RULES, as_of()))
 
 
@@ -162,13 +162,13 @@ def baseline_stats(spark, d):
 
 @query(expected(f", {BASE_SQL} SELECT window_start, feature, value, round(z, 9) AS z FROM sc WHERE flag"))
 def zscore_flags(spark, d):
-    w = by_hour(spark, d)
+    w = snapshot(by_hour(spark, d))
     return anomaly.scored(w, anomaly.fit(w)).where("flag").select("window_start", "feature", "value", *ROUND("z"))
 
 
 @query(expected(f", {BASE_SQL} SELECT window_start, string_agg(feature || '=' || CAST(value * 100 AS BIGINT), ',' ORDER BY position) AS details FROM sc WHERE flag GROUP BY 1"))
 def anomaly_details(spark, d):
-    w = by_hour(spark, d)
+    w = snapshot(by_hour(spark, d))
     v = anomaly.verdicts(anomaly.scored(w, anomaly.fit(w))).where(F.size("details") > 0)
     return v.select("window_start", F.array_join(F.transform("details", lambda x: F.concat(x["feature"], F.lit("="), (x["value"] * 100).cast("long").cast("string"))), ",").alias("details"))
 
@@ -179,7 +179,7 @@ def votes(w):
 
 
 def judged(spark, d, agree=True):
-    w = by_hour(spark, d)
+    w = snapshot(by_hour(spark, d))
     return anomaly.verdicts(anomaly.scored(w, anomaly.fit(w)), votes(w), agree)
 
 
@@ -209,7 +209,7 @@ def rolling_baseline(spark, d):
 
 @query(expected(f", {BASE_SQL} SELECT feature, round(mean, 9) AS mean, round(std, 9) AS std FROM bl"))
 def baseline_roundtrip(spark, d):
-    path, w = f"{place(spark)}/baseline", by_hour(spark, d)
+    path, w = f"{place(spark)}/baseline", snapshot(by_hour(spark, d))
     anomaly.save_baseline(anomaly.fit(w.where("total_events > 3")), path, 1)
     anomaly.save_baseline(anomaly.fit(w), path, 2)
     return anomaly.load_baseline(spark, path).select("feature", *ROUND("mean", "std"))
@@ -219,5 +219,5 @@ def baseline_roundtrip(spark, d):
 def iforest_scores(spark, d):
     from logmill.session import ship
 
-    w = by_hour(ship(spark), d)
+    w = snapshot(by_hour(ship(spark), d))
     return forest.score(w, forest.fit(w))
