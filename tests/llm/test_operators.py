@@ -8,11 +8,12 @@ import re
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import duckdb
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from logmill.llm import decontaminate, exact_dedup, language_id, licenses, mixing, quality, simhash, token_counts, url_filter, warc
+from logmill.llm import decontaminate, exact_dedup, language_id, licenses, mixing, quality, queries, simhash, token_counts, url_filter, warc
 from logmill.llm.common import shared_dir
 from logmill.llm.queries import tokenizer_path
 
@@ -336,3 +337,15 @@ def test_leaks_edges(spark, docs):
     assert decontaminate.leaks(empty(spark), bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.leaks(awkward(spark), bench).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    rows, want = queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE_SQL[name])
+    columns = sorted(rows.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert Counter(tuple(r[c] for c in columns) for r in rows.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
