@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logmill.operators.parse import parse_lines
 from logmill.operators.rules import Rule, alerts, evidence
+from logmill.session import shared_dir
 from logmill.sources.lines import SOURCES, not_ignored
 from logmill.sources.synth import EXPECTED, as_of, read_lines
 
@@ -83,18 +82,9 @@ def bridge(events: DataFrame, found: DataFrame) -> DataFrame:
     return evidence(events, TEST_RULES, found, as_of())
 
 
-def place(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or where that is unset, on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="logmill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/logmill-{uuid.uuid4().hex}"
-
-
 def snapshot(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that what follows doesn't repeat its plan."""
-    path = f"{place(df.sparkSession)}/snapshot"
+    path = f"{shared_dir(df.sparkSession)}/snapshot"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logmill.operators import anomaly, features, forest, rules
-from logmill.plans.base import NOW, TEST_RULES, as_of, bridge, event_table, expected, parsed, place, query, raised, snapshot, with_alerts
+from logmill.plans.base import NOW, TEST_RULES, as_of, bridge, event_table, expected, parsed, query, shared_dir, raised, snapshot, with_alerts
 
 DAY = 86400
 START = "epoch(TIMESTAMP '2024-01-01 00:00:00')::BIGINT"
@@ -209,7 +209,7 @@ def rolling_baseline(spark, d):
 
 @query(expected(f", {BASE_SQL} SELECT feature, round(mean, 9) AS mean, round(std, 9) AS std FROM bl"))
 def baseline_roundtrip(spark, d):
-    path, w = f"{place(spark)}/baseline", snapshot(by_hour(spark, d))
+    path, w = f"{shared_dir(spark)}/baseline", snapshot(by_hour(spark, d))
     anomaly.save_baseline(anomaly.fit(w.where("total_events > 3")), path, 1)
     anomaly.save_baseline(anomaly.fit(w), path, 2)
     return anomaly.load_baseline(spark, path).select("feature", *ROUND("mean", "std"))

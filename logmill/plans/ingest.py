@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logmill.functions.stamps import access_stamp, bsd_stamp, duration_seconds, iso_stamp
 from logmill.operators import events as ev
 from logmill.operators.parse import parse_access, parse_auth, parse_syslog
-from logmill.plans.base import NOW, as_of, expected, lines, parsed, place, query
+from logmill.plans.base import NOW, as_of, expected, lines, parsed, query, shared_dir
 from logmill.sources.lines import SOURCES, accounting, not_ignored
 
 LONG = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
@@ -118,7 +118,7 @@ def preview_lines(spark, d):
 
 @query(expected("SELECT CAST(t AS DATE)::VARCHAR AS event_date, event_type, count(*) AS n FROM good GROUP BY ALL"))
 def event_sink_roundtrip(spark, d):
-    path = f"{place(spark)}/events"
+    path = f"{shared_dir(spark)}/events"
     ev.write_events(parsed(spark, d), path)
     return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date"), "event_type").agg(F.count("*").alias("n"))
 

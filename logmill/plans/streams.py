@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logmill.operators.parse import parse_lines
 from logmill.operators.rules import tagged
-from logmill.plans.base import NOW, TEST_RULES, as_of, expected, place, query, with_alerts
+from logmill.plans.base import NOW, TEST_RULES, as_of, expected, query, shared_dir, with_alerts
 from logmill.plans.detection import features_sql, fold_sql, recursive
 from logmill.session import ship
 from logmill.sources.lines import SOURCES, not_ignored
@@ -27,35 +27,35 @@ def stream(spark, d):
 
 @query(expected("SELECT event_id AS line_id, event_type, t_s FROM good"))
 def stream_ingest(spark, d):
-    return streams.run(stream(spark, d).select("line_id", "event_type", F.unix_timestamp("timestamp").alias("t_s")), place(spark))
+    return streams.run(stream(spark, d).select("line_id", "event_type", F.unix_timestamp("timestamp").alias("t_s")), shared_dir(spark))
 
 
 @query(expected(", fb AS (SELECT * FROM good WHERE event_type = 'firewall_block'), w AS (SELECT unnest([t_s // 43200 * 43200, t_s // 43200 * 43200 - 43200]) AS window_start, src_ip AS group_value FROM fb), c AS (SELECT window_start, 'rule-s' AS rule_id, group_value, count(*) AS count FROM w GROUP BY ALL HAVING count(*) > 1) SELECT * FROM c WHERE " + CLOSED.format(span=86400, source="fb")))
 def stream_rule_counts(spark, d):
     hits = stream(spark, d).where("event_type = 'firewall_block'").select("timestamp", F.lit("rule-s").alias("rule_id"), F.col("src_ip").alias("group_value"))
-    return streams.run(streams.threshold_counts(hits, "1 day", "12 hours", 1), place(spark))
+    return streams.run(streams.threshold_counts(hits, "1 day", "12 hours", 1), shared_dir(spark))
 
 
 @query(recursive(f"{expected('')[5:]}, " + fold_sql("rule_id, group_value", "SELECT DISTINCT 'rule-s' AS rule_id, src_ip AS group_value, t_s AS ts FROM good WHERE event_type = 'firewall_block'", 86400) + " SELECT rule_id, group_value, fired_at FROM walk WHERE fired_at IS NOT NULL"))
 def stream_cooldown(spark, d):
     hits = stream(ship(spark), d).where("event_type = 'firewall_block'").select("timestamp", F.lit("rule-s").alias("rule_id"), F.col("src_ip").alias("group_value"))
-    return streams.run(streams.cooldown(hits, 86400), place(spark))
+    return streams.run(streams.cooldown(hits, 86400), shared_dir(spark))
 
 
 @query(expected(f", f AS ({features_sql(3600)}) SELECT * FROM f WHERE " + CLOSED.format(span=3600, source="good")))
 def stream_features(spark, d):
-    return streams.run(streams.features(stream(spark, d), "1 hour"), place(spark))
+    return streams.run(streams.features(stream(spark, d), "1 hour"), shared_dir(spark))
 
 
 @query(expected("SELECT event_id AS line_id, event_type FROM good"))
 def stream_dedup(spark, d):
     e = stream(spark, d).select("line_id", "event_type", "timestamp")
     twice = e.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("line_id") % 3).cast("int"))))
-    return streams.run(streams.deduplicated(twice), place(spark)).select("line_id", "event_type")
+    return streams.run(streams.deduplicated(twice), shared_dir(spark)).select("line_id", "event_type")
 
 
 @query(with_alerts("SELECT rule_id || '/' || coalesce(g, 'None') || '/' || event_id AS id, rule_id FROM tg"))
 def stream_outbox(spark, d):
     hits = tagged(stream(spark, d), TEST_RULES, as_of())
     rows = hits.select(F.concat_ws("/", "rule_id", F.coalesce("group_value", F.lit("None")), F.col("line_id").cast("string")).alias("id"), "rule_id")
-    return streams.outbox(rows, place(spark))
+    return streams.outbox(rows, shared_dir(spark))

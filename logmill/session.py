@@ -1,9 +1,10 @@
-"""What a Spark session needs before the operators run on it."""
+"""What operators need of a Spark session: the package on its executors, and a folder that all of them share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,3 +23,16 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(f.name)
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under the one that driver and executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
+    a folder of this machine is taken and set as checkpoint folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="logmill-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/logmill-{uuid.uuid4().hex}"

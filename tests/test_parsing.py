@@ -14,9 +14,9 @@ NOW = "2026-10-12 16:15:00"
 AUTH = [
     "2026-10-04T13:11:41.024533702+02:00 vmi1 sshd[3896287]: Failed password for root from 109.160.32.116 port 51012 ssh2",
     "Oct  4 13:11:41 vps sshd[123]: Invalid user admin from 1.2.3.4",
-    "2026-10-04T13:11:41Z vps sshd-session[9]: Accepted publickey for yasin from 2001:db8::1 port 22 ssh2",
-    "2026-10-04T13:11:41Z vps sudo: yasin : TTY=pts/0 ; PWD=/home/yasin ; USER=root ; COMMAND=/usr/bin/apt update",
-    "2026-10-04T13:11:41Z vps sudo:   yasin : user NOT in sudoers ; TTY= ; PWD=/ ; USER=root ; COMMAND=/bin/sh",
+    "2026-10-04T13:11:41Z vps sshd-session[9]: Accepted publickey for maria from 2001:db8::1 port 22 ssh2",
+    "2026-10-04T13:11:41Z vps sudo: maria : TTY=pts/0 ; PWD=/home/maria ; USER=root ; COMMAND=/usr/bin/apt update",
+    "2026-10-04T13:11:41Z vps sudo:   maria : user NOT in sudoers ; TTY= ; PWD=/ ; USER=root ; COMMAND=/bin/sh",
     "2026-10-04T13:11:41Z vps useradd[7]: new user: name=bob, UID=1001",
     "2026-10-04T13:11:41Z vps sshd[1]: pam_unix(sshd:auth): authentication failure; logname= rhost=5.6.7.8  user=root",
     "2026-10-04T13:11:41Z vps sshd[1]: Connection closed by 1.2.3.4 port 23054",

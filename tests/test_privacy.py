@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logmill.operators import privacy
 
-SUDO = "yasin : TTY=pts/0 ; PWD=/home/yasin ; USER=root ; COMMAND=/usr/bin/apt install /home/yasin/x.deb"
+SUDO = "maria : TTY=pts/0 ; PWD=/home/maria ; USER=root ; COMMAND=/usr/bin/apt install /home/maria/x.deb"
 
 
 def test_ip_scope(spark):
@@ -31,7 +31,7 @@ def test_numbering_and_disclosure(spark):
 
 
 def test_scrub_leaks_nothing(spark):
-    texts = [SUDO, "Failed password for invalid user yasin from 185.199.1.2 port 22, again 185.199.1.2 at 14:23:01", "version 999.1.1.1 and 256.1.2.3.4 stay", None, "", "ali : 3 incorrect password attempts ; COMMAND= ; x", "seen at /home/zoe/y by yasin and fe80::1"]
+    texts = [SUDO, "Failed password for invalid user maria from 185.199.1.2 port 22, again 185.199.1.2 at 14:23:01", "version 999.1.1.1 and 256.1.2.3.4 stay", None, "", "ali : 3 incorrect password attempts ; COMMAND= ; x", "seen at /home/zoe/y by maria and fe80::1"]
     df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "scope_id string, row_id long, message string")
     out, labels = privacy.scrub(df, "message")
     rows = {r.row_id: r.message_scrubbed for r in out.collect()}
