@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logmill.session import shared_dir
+
+__all__ = ["CHUNK_BYTES", "UPPER", "WORD", "bucket_of", "bytes_of", "chunks", "count_at_most", "lower_ascii", "shared_dir", "stored", "table", "with_results"]
+
 #: Bytes of text that a task holds as numpy arrays at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Separators between words wherever a contract says `[^\x20\x09-\x0D]+`.
+#: A word, wherever a contract says so: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -23,19 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a folder of this machine is taken and set as checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="logmill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/logmill-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Cut the lineage of df by writing it to path, a place in the shared folder, and reading it again."""
     df.write.mode("overwrite").parquet(path)
