@@ -63,8 +63,14 @@ def lines(events: DataFrame) -> DataFrame:
     return d.select(F.col("event_id").alias("line_id"), source.alias("source"), value.alias("value"), F.col("t").alias("event_ts"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that has fewer splits than the cluster has cores, dealt to all of them; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return lines(spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 #: The same values in DuckDB, straight from the events table: what parsing the lines must give.
