@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import decontaminate, exact_dedup, mixing, quality, simhash
+from logmill.llm import decontaminate, exact_dedup, mixing, near_copies, quality
 from logmill.llm.common import lower_ascii, shared_dir, stored, table
 from logmill.session import ship
 
@@ -25,8 +25,8 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with its smallest doc_id (all rows of it, if an id has several)."""
-    stay = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("lm_id")).distinct()
+    """Of each component of near copies the document with its smallest doc_id (all rows of it, if an id has several)."""
+    stay = near_copies.near_copies(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("lm_id")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("lm_id")), "left_semi")
 
 
