@@ -1,7 +1,8 @@
 """The signature rules of the licence scan, written by hand.
 
 A line is ``label; keyword; pattern; pattern; ...``. Patterns run over a text's words, lower-cased and joined by single
-spaces, and match whole words. A rule runs only on texts that have its keyword as a word. Rules higher up in TIERS
+spaces, and match whole words. A rule runs only on texts that have its keyword as a word, so each pattern
+of a line must contain the line's keyword. Rules higher up in TIERS
 stand above those further down; within a tier the order of lines decides.
 """
 
@@ -12,8 +13,10 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 #: Whole notices and names with their version.
 NOTICES = r"""
-gpl-3.0; gnu; gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version |v ?)3; gnu gpl (?:version |v ?)3; gnu gplv3(?: 0)?; gplv3 or (?:any )?later
-gpl-2.0; gnu; gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version |v ?)2; gnu gpl (?:version |v ?)2; gnu gplv2(?: 0)?; gplv2 or (?:any )?later
+gpl-3.0; gnu; gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version |v ?)3; gnu gpl (?:version |v ?)3; gnu gplv3(?: 0)?
+gpl-3.0; gplv3; gplv3 or (?:any )?later
+gpl-2.0; gnu; gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version |v ?)2; gnu gpl (?:version |v ?)2; gnu gplv2(?: 0)?
+gpl-2.0; gplv2; gplv2 or (?:any )?later
 gpl-1.0; gnu; gnu general public license (?:version |v ?)1; gnu gpl (?:version |v ?)1
 lgpl-3.0; gnu; gnu lesser general public license (?:version |v ?)3; gnu lgpl (?:version |v ?)3; gnu lgplv3
 lgpl-2.1; gnu; gnu lesser general public license (?:version |v ?)2 1; gnu lgpl (?:version |v ?)2 1; gnu lgplv2 1
@@ -31,9 +34,11 @@ mit; mit; released under the mit license; licensed under the mit license; distri
 x11; x11; x11 license; mit x11 license; licensed under the x11 license
 bsd-3-clause; redistribution; redistribution and use in source and binary forms with or without modification are permitted
 bsd-3-clause; bsd; bsd 3 clause license; 3 clause bsd license; new bsd license; modified bsd license; revised bsd license
-bsd-2-clause; bsd; bsd 2 clause license; 2 clause bsd license; simplified bsd license; freebsd license
+bsd-2-clause; bsd; bsd 2 clause license; 2 clause bsd license; simplified bsd license
+bsd-2-clause; freebsd; freebsd license
 bsd-4-clause; bsd; bsd 4 clause license; 4 clause bsd license; original bsd license; old bsd license
-0bsd; bsd; zero clause bsd license; bsd zero clause license; free public license 1 0 0
+0bsd; bsd; zero clause bsd license; bsd zero clause license
+0bsd; free; free public license 1 0 0
 mpl-2.0; mozilla; mozilla public license (?:version |v )?2 0; subject to the terms of the mozilla public license v 2 0
 mpl-1.1; mozilla; mozilla public license (?:version |v )?1 1
 mpl-1.0; mozilla; mozilla public license (?:version |v )?1 0
@@ -46,17 +51,20 @@ cddl-1.0; common; common development and distribution license(?: version)?(?: 1
 eupl-1.2; union; european union public licen[cs]e (?:version |v )?1 2
 eupl-1.1; union; european union public licen[cs]e (?:version |v )?1 1
 isc; permission; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-isc; isc; isc license; internet systems consortium license
+isc; isc; isc license
+isc; consortium; internet systems consortium license
 zlib; zlib; zlib license; zlib libpng license; licensed under the zlib license
 zlib; provided; this software is provided as is without any express or implied warranty in no event will the authors be held liable
-libpng; png; libpng license; png reference library license
+libpng; libpng; libpng license
+libpng; png; png reference library license
 bsl-1.0; boost; boost software license (?:version )?1 0; distributed under the boost software license
 unlicense; unencumbered; this is free and unencumbered software released into the public domain
 unlicense; unlicense; the unlicense; licensed under the unlicense
 wtfpl; want; do what the fuck you want to public license; do what the f you want to public license
 artistic-2.0; artistic; artistic license (?:version )?2 0
 artistic-1.0; artistic; artistic license (?:version )?1 0; clarified artistic license; perl artistic license
-python-2.0; python; python software foundation license(?: version 2)?; psf license agreement; python license 2 0
+python-2.0; python; python software foundation license(?: version 2)?; python license 2 0
+python-2.0; psf; psf license agreement
 ruby; ruby; same terms as ruby; ruby license; ruby s license
 php-3.01; php; php license (?:version )?3 01
 php-3.0; php; php license (?:version )?3 0
@@ -87,16 +95,19 @@ ijg; jpeg; independent jpeg group license; independent jpeg group s software
 curl; curl; curl license; mit like curl license
 tcl; tcl; tcl tk license; tcl license terms
 json; shall; the software shall be used for good not evil
-odbl-1.0; open; open database licen[cs]e(?: odbl)?(?: v| version)?(?: 1 0)?; odbl v1 0
+odbl-1.0; open; open database licen[cs]e(?: odbl)?(?: v| version)?(?: 1 0)?
+odbl-1.0; odbl; odbl v1 0
 odc-by-1.0; open; open data commons attribution licen[cs]e(?: v| version)?(?: 1 0)?
 pddl-1.0; open; open data commons public domain dedication and licen[cs]e
 elastic-2.0; elastic; elastic license (?:version |v )?2 0; elastic license v2
-sspl-1.0; server; server side public license(?: version)?(?: 1)?; sspl v1
+sspl-1.0; server; server side public license(?: version)?(?: 1)?
+sspl-1.0; sspl; sspl v1
 busl-1.1; business; business source license(?: version)?(?: 1 1)?
 polyform; polyform; polyform noncommercial license(?: 1 0 0)?; polyform shield license(?: 1 0 0)?; polyform small business license(?: 1 0 0)?
 commons-clause; clause; commons clause license condition(?: v1 0)?; commons clause restriction
 llama; llama; llama \d+(?: \d+)? community license agreement; llama community license
-openrail; openrail; creativeml open rail m license; bigscience openrail m license; openrail m license; openrail license
+openrail; creativeml; creativeml open rail m license
+openrail; openrail; bigscience openrail m license; openrail m license; openrail license
 gemma; gemma; gemma terms of use; gemma license
 cc-by-nc-nd; creative; creative commons attribution non ?commercial no ?deriv(?:ative|atives|s)(?: works)?(?: \d 0)?(?: international)?
 cc-by-nc-sa; creative; creative commons attribution non ?commercial share ?alike(?: \d 0)?(?: international)?
@@ -115,12 +126,14 @@ gpl-2.0; gpl; spdx license identifier gpl 2 0(?: only| or later)?; gpl 2 0(?: on
 lgpl-3.0; lgpl; spdx license identifier lgpl 3 0(?: only| or later)?; lgpl 3 0(?: only| or later)?; gnu org licenses lgpl 3 0; lgpl v3
 lgpl-2.1; lgpl; spdx license identifier lgpl 2 1(?: only| or later)?; lgpl 2 1(?: only| or later)?; gnu org licenses lgpl 2 1; lgpl v2 1
 agpl-3.0; agpl; spdx license identifier agpl 3 0(?: only| or later)?; agpl 3 0(?: only| or later)?; gnu org licenses agpl 3 0; agpl v3
-gfdl; fdl; gnu org licenses fdl(?: 1 \d)?; gnu fdl; spdx license identifier gfdl
+gfdl; fdl; gnu org licenses fdl(?: 1 \d)?; gnu fdl
+gfdl; gfdl; spdx license identifier gfdl
 apache-2.0; apache; spdx license identifier apache 2 0; apache org licenses license 2 0; apache 2 0; apache v2 0
 mit; mit; spdx license identifier mit; opensource org licenses mit(?: license)?; license mit; mit licensed
 bsd-3-clause; bsd; spdx license identifier bsd 3 clause; opensource org licenses bsd 3 clause; bsd 3 clause; license bsd
 bsd-2-clause; bsd; spdx license identifier bsd 2 clause; opensource org licenses bsd 2 clause; bsd 2 clause
-mpl-2.0; mpl; spdx license identifier mpl 2 0; mozilla org mpl 2 0; mozilla org en us mpl 2 0; mpl 2 0; mplv2
+mpl-2.0; mpl; spdx license identifier mpl 2 0; mozilla org mpl 2 0; mozilla org en us mpl 2 0; mpl 2 0
+mpl-2.0; mplv2; mplv2
 epl-2.0; epl; spdx license identifier epl 2 0; eclipse org legal epl 2 0; epl 2 0
 epl-1.0; epl; spdx license identifier epl 1 0; eclipse org legal epl v10; epl 1 0
 isc; isc; spdx license identifier isc; opensource org licenses isc; license isc
@@ -156,19 +169,23 @@ gpl; gpl; gnu gpl; under the gpl; gpl license; gpl licensed; gpl compatible
 lgpl; lgpl; gnu lgpl; under the lgpl; lgpl license
 agpl; agpl; gnu agpl; under the agpl; agpl license
 apache; apache; apache software license; apache licensed; apache style license
-bsd; bsd; bsd license; bsd style license; bsd licensed; berkeley software distribution license
-mit; mit; mit style license; mit licen[cs]e; massachusetts institute of technology license
+bsd; bsd; bsd license; bsd style license; bsd licensed
+bsd; berkeley; berkeley software distribution license
+mit; mit; mit style license; mit licen[cs]e
+mit; massachusetts; massachusetts institute of technology license
 mpl; mozilla; mozilla public license
 epl; eclipse; eclipse public license
 artistic; artistic; artistic license
 eupl; union; european union public licen[cs]e
 cddl; cddl; cddl license; under the cddl
 php; php; php license
-cc; creative; creative commons license; creative commons; cc license
+cc; creative; creative commons license; creative commons
+cc; cc; cc license
 public-domain; domain; released into the public domain; placed in the public domain; in the public domain; dedicated to the public domain; public domain
 proprietary; reserved; all rights reserved
 proprietary; confidential; proprietary and confidential; confidential and proprietary; company confidential
-proprietary; proprietary; proprietary license; proprietary software license; unauthorized copying of this file
+proprietary; proprietary; proprietary license; proprietary software license
+proprietary; unauthorized; unauthorized copying of this file
 commercial; commercial; commercial license; for commercial use contact; non commercial use only; no commercial use; personal and non commercial use
 shareware; shareware; shareware license; this is shareware
 freeware; freeware; freeware license; this is freeware
