@@ -17,9 +17,13 @@ from logmill.operators.features import FEATURES, with_ratio
 LATE = "1 hour"
 
 
-def read_stream(spark: SparkSession, path: str, per_batch: int = 8) -> DataFrame:
-    """Rows of the Parquet files at path, as they arrive; the schema is that of the files there now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+def read_stream(spark: SparkSession, path: str, per_batch: int | None = 8) -> DataFrame:
+    """Rows of the Parquet files at path, as they arrive; the schema is that of the files there now.
+
+    With per_batch None all files that are there are one batch.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)).parquet(path)
 
 
 def run(df: DataFrame, place: str, trigger: dict | None = None) -> DataFrame:
