@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logmill.session import shared_dir
 
-__all__ = ["CHUNK_BYTES", "UPPER", "WORD", "bucket_of", "bytes_of", "chunks", "count_at_most", "lower_ascii", "shared_dir", "stored", "table", "with_results"]
+__all__ = ["CHUNK_BYTES", "UPPER", "WORD", "bucket_of", "bytes_of", "chunks", "count_at_most", "lower_ascii", "shared_dir", "stored", "table", "unused", "with_results"]
 
 #: Bytes of text that a task holds as numpy arrays at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -31,6 +31,13 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A name like this one that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def lower_ascii(c: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from functools import partial
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,9 +51,11 @@ def edited(rows, rng):
     return out + [(300_000 + n, " ".join(f"w{m}" for m in range(n))) for n in (8, 9)] + [(300_100 + n, " ".join(f"v{m}" for m in range(n))) for n in (12, 14)]
 
 
-@pytest.mark.parametrize("small_group", [4, 64])
-def test_near_copies_against_all_pairs(spark, monkeypatch, small_group):
-    monkeypatch.setattr(near_copies, "SMALL_GROUP", small_group)
+@pytest.mark.parametrize("rows", [4, 512])
+def test_near_copies_against_all_pairs(spark, monkeypatch, rows):
+    monkeypatch.setattr(near_copies, "SMALL_GROUP", 4 if rows == 4 else 64)
+    monkeypatch.setattr(near_copies, "MOST_COMPARED", 9 if rows == 4 else 4096)
+    monkeypatch.setattr(near_copies, "tiles", partial(near_copies.tiles, rows=rows))
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     some = [tuple(r) for r in docs.where("length(text) between 100 and 4000").orderBy("doc_id").limit(80).collect()]
     both = docs.union(spark.createDataFrame(edited(some, random.Random(5)), "doc_id long, text string")).union(awkward(spark).select("doc_id", "text"))
@@ -72,6 +76,15 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, small_group):
     assert near_copies.near_copies(empty(spark)).count() == 0
 
 
+def test_in_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.int64)) for _ in range(40)]
+    want = [[len(np.intersect1d(a, b)) if k != j else None for j, b in enumerate(sets)] for k, a in enumerate(sets)]
+    for columns in (7, 4096):
+        got = near_copies.in_common(sets, columns)
+        assert all(got[i, j] == want[i][j] for i in range(40) for j in range(40) if i != j)
+
+
 def test_stage_keeps_one_of_each_pair(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     once = corpus_pipeline.keep_one_copy(spark, docs, None)
