@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import decontaminate, exact_dedup, mixing, near_copies, quality
-from logmill.llm.common import lower_ascii, shared_dir, stored, table
+from logmill.llm.common import lower_ascii, shared_dir, stored, table, unused
 from logmill.session import ship
 
 
@@ -19,21 +19,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id; of repeated rows with that id one."""
     kept = exact_dedup.deduplicate(docs).where("kept").select(F.col("doc_id").alias("lm_id"), F.col("text_sha256").alias("lm_sha"))
-    marked = docs.withColumn("lm_own", F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256))
-    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("lm_id")) & (F.col("lm_own") == F.col("lm_sha")), "left_semi")
-    return found.dropDuplicates(["doc_id", "lm_own"]).select(*docs.columns)
+    own = unused("lm_own", docs)
+    marked = docs.withColumn(own, F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256))
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["lm_id"]) & (marked[own] == kept["lm_sha"]), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with its smallest doc_id (all rows of it, if an id has several)."""
-    stay = near_copies.near_copies(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("lm_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("lm_id")), "left_semi")
+    """Of each component of near copies the document with its smallest doc_id."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("lm_id"), F.col("lm_text").alias("lm_hash")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("lm_id")) & (F.xxhash64("text") == F.col("lm_hash")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["lm_id"]) & (F.xxhash64(docs["text"]) == found["lm_hash"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
