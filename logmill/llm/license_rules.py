@@ -2,8 +2,8 @@
 
 A line is ``label; keyword; pattern; pattern; ...``. Patterns run over a text's words, lower-cased and joined by single
 spaces, and match whole words. A rule runs only on texts that have its keyword as a word, so each pattern
-of a line must contain the line's keyword. Rules higher up in TIERS
-stand above those further down; within a tier the order of lines decides.
+of a line must contain the line's keyword. Rules higher up in TIERS stand above those further down; within a tier the
+longer match stands above the shorter, and the order of lines decides between rules that match the same words.
 """
 
 from __future__ import annotations

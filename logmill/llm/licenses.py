@@ -1,15 +1,17 @@
 """Licence scan with ordered signature rules.
 
 A text's words are lower-cased (A-Z) and joined by single spaces. An automaton finds which keywords occur, only the
-rules with one of those run, and overlapping detections are resolved: stronger rules first, then longer matches; a
-detection that lies inside one that is kept is suppressed. Detections of the contract's base phrases always stay.
+rules with one of those run, and overlapping detections are resolved: a detection that lies inside one of a stronger
+tier, or inside a longer one of its own, is suppressed. Detections of the contract's base phrases always stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -77,11 +79,16 @@ class Scanner:
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Base detections, and of the others those that no stronger (or equal and longer) one contains."""
-    kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (-d.rule.confidence, d.start - d.end, d.rule.rank, d.start)):
-        if d.rule.base or not any(k.start <= d.start and d.end <= k.end for k in kept if not k.rule.base):
+    """Base detections, and of the others those that no stronger one contains, nor an equally strong one that is longer.
+
+    Of equally strong detections of the same place the one of the higher rule stays. A sweep from the left: whatever
+    contains a detection starts no later, so per strength the furthest end so far tells whether one does.
+    """
+    kept, furthest = [d for d in found if d.rule.base], {}
+    for d in sorted((d for d in found if not d.rule.base), key=lambda d: (d.start, -d.end, -d.rule.confidence, d.rule.rank)):
+        if all(end < d.end for strength, end in furthest.items() if strength >= d.rule.confidence):
             kept.append(d)
+        furthest[d.rule.confidence] = max(d.end, furthest.get(d.rule.confidence, 0))
     return kept
 
 
@@ -113,9 +120,10 @@ def scan(docs: DataFrame, text: str = "text", all_rules: list[Rule] | None = Non
                 joined = f" {b' '.join(words).decode('latin-1')} "
                 kept = sorted(resolve(scanner.detect(joined)), key=lambda d: (d.start, d.rule.rank))
                 base = [d for d in kept if d.rule.base]
-                place = [joined.count(" ", 0, d.start) - 1 for d in kept]
+                starts = list(accumulate((len(w) + 1 for w in words), initial=1))  # of each word in joined
+                place = [bisect_left(starts, d.start) for d in kept]
                 at = [p for p, d in zip(place, kept, strict=True) if d.rule.base]
-                rows.append((len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({d.rule.label for d in base})), ",".join(sorted({d.rule.label for d in kept})), max((d.rule.confidence for d in kept), default=0.0), [{"label": d.rule.label, "pattern": d.rule.pattern, "word": p, "n_words": joined.count(" ", d.start, d.end) + 1, "confidence": d.rule.confidence} for p, d in zip(place, kept, strict=True)]))
+                rows.append((len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({d.rule.label for d in base})), ",".join(sorted({d.rule.label for d in kept})), max((d.rule.confidence for d in kept), default=0.0), [{"label": d.rule.label, "pattern": d.rule.pattern, "word": p, "n_words": bisect_left(starts, d.end) - p, "confidence": d.rule.confidence} for p, d in zip(place, kept, strict=True)]))
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), kinds]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *columns], names=[*(f.name for f in rest), *names])
