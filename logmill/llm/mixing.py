@@ -2,7 +2,7 @@
 
 The documents of a source are shuffled by a seeded digest of doc_id and queued up to ``passes`` times over. A copy's
 virtual finish time is the source's words up to and with it, divided by the source's weight; all queues together,
-sorted by that time over the whole cluster, are the mix, cut off where the words of the budget are spent. The time of
+sorted by that time over the whole cluster, are the mix, truncated where the words of the budget are spent. The time of
 that cut is known beforehand: it is the water level V at which the sources, each limited to ``passes`` times its
 size, take min(passes * size, V * weight) words and the budget in all. The copy that stands across the cut gives the
 words that its source has been served by then, so every source meets its target to the word.
@@ -50,18 +50,19 @@ def cycle_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> Dat
     return sources.withColumn("lm_weight", F.element_at(F.array(*map(F.lit, cycle)), (nth % len(cycle) + 1).cast("int")))
 
 
-def mix(docs: DataFrame, weights=cycle_weights, passes: int = PASSES, seed: str = "mix") -> DataFrame:
-    """Append size, source_size, target, taken and finish to docs (doc_id, text, source and any other columns).
+def mix(docs: DataFrame, weights=cycle_weights, passes: int = PASSES, seed: str = "mix", text: str | None = "text") -> DataFrame:
+    """Append size, source_size, target, taken and copies to docs (doc_id, text, source and any other columns).
 
-    size is the text's words (0 for null and empty texts), source_size and target are its source's, taken the words
-    that the mix takes over all copies, finish the virtual finish time of the first copy. Null is a source like any
-    other and comes last. Repeated rows are rows of their own; rows with the same doc_id keep one order by size, and
-    alike rows share alike what they get. Without any word all targets are 0. weights: gives lm_weight, over 0, to a
-    table of lm_source. Columns of docs that have one of the new names are replaced.
+    size is the text's words (0 for null and empty texts), source_size and target are its source's. copies has the
+    copies that the mix serves of the row: their number, virtual finish time and words; taken is the sum of their
+    words. Null is a source like any other and comes last. Repeated rows are rows of their own; rows with the same
+    doc_id keep one order by size, and alike rows share alike what they get. Without any word all targets are 0.
+    weights: gives lm_weight, over 0, to a table of lm_source. text None: docs has size already. Other columns of docs
+    that have one of the new names are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "finish")
+    docs = docs.drop("source_size", "target", "taken", "copies", *(["size"] if text else []))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.withColumns({"size": n_words(), "lm_order": order}).withColumns({"lm_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "lm_range": F.substring("lm_order", 1, RANGE_DIGITS)})
+    sized = docs.withColumns({"size": n_words(text) if text else F.col("size"), "lm_order": order}).withColumns({"lm_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "lm_range": F.substring("lm_order", 1, RANGE_DIGITS)})
     ranges = sized.groupBy("lm_key", "lm_range").agg(F.sum("size").alias("lm_sum"))
     per_source = ranges.groupBy("lm_key").agg(F.sum("lm_sum").alias("lm_size")).withColumn("lm_source", F.when(F.col("lm_key") != "", F.substring("lm_key", 2, 1 << 30)))
     goal = targets(weights(per_source.drop("lm_key")), passes).withColumn("lm_key", F.coalesce(F.concat(F.lit("="), "lm_source"), F.lit(""))).drop("lm_source")
@@ -69,10 +70,13 @@ def mix(docs: DataFrame, weights=cycle_weights, passes: int = PASSES, seed: str
     starts = ranges.withColumn("lm_from", F.coalesce(F.sum("lm_sum").over(earlier), F.lit(0))).drop("lm_sum").join(goal, "lm_key")
     within = Window.partitionBy("lm_key", "lm_range").orderBy("lm_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(starts, ["lm_key", "lm_range"]).withColumn("lm_at", F.col("lm_from") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    cut = F.floor(F.col("lm_target") + 0.5)
-    taken = sum((served(F.lit(i) * F.col("lm_size") + F.col("lm_at"), F.col("size"), cut) for i in range(1, passes)), served(F.col("lm_at"), F.col("size"), cut))
-    done = placed.withColumns({"source_size": F.col("lm_size"), "target": F.col("lm_target"), "taken": taken.cast("long"), "finish": (F.col("lm_at") + F.col("size")) / F.col("lm_weight")})
-    return done.drop(*[c for c in done.columns if c.startswith("lm_") and c not in docs.columns])
+    cut, copies = F.floor(F.col("lm_target") + 0.5), []
+    for i in range(passes):
+        at = F.lit(i) * F.col("lm_size") + F.col("lm_at")
+        copies.append(F.struct(F.lit(i + 1).alias("copy"), ((at + F.col("size")) / F.col("lm_weight")).alias("finish"), served(at, F.col("size"), cut).cast("long").alias("words")))
+    queued = placed.withColumn("copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
+    done = queued.withColumns({"source_size": F.col("lm_size"), "target": F.col("lm_target"), "taken": F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"])})
+    return done.select(*docs.columns, *([] if "size" in docs.columns else ["size"]), "source_size", "target", "taken", "copies")
 
 
 def served(start: Column, size: Column, cut: Column) -> Column:
@@ -81,5 +85,6 @@ def served(start: Column, size: Column, cut: Column) -> Column:
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
-    """The rows that the mix takes words of, range-sorted by virtual finish time over the whole cluster."""
-    return mixed.where("taken > 0").orderBy("finish", "doc_id")
+    """The mix: a row for each copy that is served, with copy, finish and words, range-sorted by virtual finish time."""
+    names = [c for c in mixed.columns if c not in ("copy", "finish", "words", "copies")]
+    return mixed.select(*names, F.inline("copies")).orderBy("finish", "doc_id", "copy")

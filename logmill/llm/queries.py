@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import decontaminate, exact_dedup, language_id, licenses, mixing, quality, simhash, token_counts, url_filter, warc
-from logmill.llm.common import shared_dir, table
+from logmill.llm.common import shared_dir, stored, table
 from logmill.session import ship
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -49,8 +49,9 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("size"))
+    sized = stored(docs, f"{shared_dir(spark)}/sizes")  # texts are read once
+    return mixing.mix(sized, text=None).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

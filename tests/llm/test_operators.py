@@ -242,11 +242,20 @@ def test_mix_against_brute_force(spark, docs, frame):
     assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in names)
     assert Counter(map(str, got)) == Counter(map(str, mixing.mix(table.repartition(3)).collect()))
     assert mixing.mix(empty(spark)).count() == 0
-    order = [r.finish for r in mixing.in_order(mixing.mix(table)).collect()]
-    assert order == sorted(order)
-
-
-@pytest.mark.parametrize("capacity", [1, 50_000])
+    served = mixing.in_order(mixing.mix(table)).collect()
+    order = [r.finish for r in served]
+    assert order == sorted(order) and all(r.words > 0 and 1 <= r.copy <= 3 for r in served)
+    assert sum(r.words for r in served) == sum(taken.values())
+    # the words served before a copy, in its source's queue, never go beyond the level at which the budget is spent
+    for s in names:
+        queue, before = [r for r in served if r.source == s], 0
+        for r in queue:
+            assert math.isclose(r.finish, (before + r["size"]) / weight[s]) and r.words == min(r["size"], round(target[s]) - before)
+            before += r["size"]
+    assert Counter(map(str, mixing.mix(table.drop("size").selectExpr("doc_id", "source", "cast(coalesce(regexp_count(text, '[^ \\\\t-\\\\r]+'), 0) as long) as size"), text=None).select("doc_id", "taken").collect())) == Counter(map(str, mixing.mix(table).select("doc_id", "taken").collect()))
+
+
+@pytest.mark.parametrize("capacity", [1, 1000])
 def test_exact_dedup(spark, docs, capacity):
     both = docs.select("doc_id", "text").union(docs.select(F.col("doc_id") + 7, F.upper("text"))).union(awkward(spark).select("doc_id", "text"))
     rows = [(r.doc_id, re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in both.collect()]
@@ -260,9 +269,23 @@ def test_exact_dedup(spark, docs, capacity):
             want[(i, keep, len(ids), i == keep and first, hashlib.sha256(t.encode()).hexdigest())] += 1
             first = first and i != keep
     assert Counter(map(tuple, exact_dedup.deduplicate(both, capacity).collect())) == want
+    clash = both.selectExpr("doc_id", "text", "1 as lm_key", "2 as keep_id", "3 as chain", "4 as text_sha256")
+    assert exact_dedup.deduplicate(clash, capacity).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert exact_dedup.deduplicate(empty(spark)).count() == 0
 
 
+def test_texts_with_one_key_form_a_chain(spark, docs, monkeypatch):
+    """With keys of two bits most texts collide and must be told apart in their chain."""
+    few = docs.select("doc_id", "text").union(docs.select(F.col("doc_id") + 1000, "text")).union(docs.select(F.col("doc_id") + 2000, F.lower("text")))
+    want = Counter(map(tuple, exact_dedup.deduplicate(few).collect()))
+    narrow = F.xxhash64
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.shiftleft(F.shiftrightunsigned(narrow(*c), 62), 62))
+    assert Counter(map(tuple, exact_dedup.deduplicate(few, 1).collect())) == want
+    _, slots, index = exact_dedup.build_index(few, shared_dir(spark), 1)
+    assert index.count() == 4 == index.select("lm_bucket").distinct().count() == slots.count()
+    assert index.selectExpr("max(size(chain)) as n").first().n > 20
+
+
 def test_directory_doubles(spark):
     keys = spark.range(4000).select(F.xxhash64("id").alias("lm_key")).union(spark.range(50).select(F.lit(5).cast("long")))
     found = exact_dedup.directory(keys, 300)
