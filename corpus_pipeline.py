@@ -37,7 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, in its order, with the words taken and their source's target."""
+    """The mix: a row for each copy of a document that is served, with its words, by virtual finish time; taken sums a document's copies."""
     return mixing.in_order(mixing.mix(docs))
 
 
