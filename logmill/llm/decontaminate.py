@@ -8,20 +8,23 @@ bits away: two fingerprints that differ in at most 23 bits differ in at most 2 b
 all within the radius. What it finds is verified exactly: the weighted Jaccard similarity of the windows' and the
 item's shingles, each weighing as often as it occurs, must reach the threshold.
 
-All of it is DataFrame operations. The benchmark's side of each join is broadcast only if a count shows that it is
-small (BROADCAST_ROWS); otherwise Spark joins by shuffle.
+All of it is DataFrame operations. The benchmark's side of each join has rows of a few numbers, without texts or
+shingles, and is broadcast only if a count shows that it is small (BROADCAST_ROWS, some 10 MB); otherwise Spark joins by
+shuffle, and what is shuffled for each word is as narrow. Shingles are joined to windows and items after the lookup.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.common import count_at_most
+from logmill.llm.common import count_at_most, shared_dir, stored
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS, WIDTH, BROADCAST_ROWS = 5, 0.8, 23, 8, 8, 1_000_000
+SHINGLE, SIMILARITY, RADIUS, BLOCKS, WIDTH, BROADCAST_ROWS = 5, 0.8, 23, 8, 8, 250_000
 #: All changes of up to RADIUS // BLOCKS bits of a block.
 CHANGES = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(WIDTH), n)]
 WINDOW = ["doc_id", "lm_text", "lm_start", "lm_size"]
@@ -42,10 +45,6 @@ def once(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
-def hinted(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if count_at_most(small, BROADCAST_ROWS) else small
-
-
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, its number of words, k and its shingles' hashes; texts without a word are left out, repeated rows once."""
     split = benchmark.select("item_id", words().alias("lm_words")).where(F.size("lm_words") > 0)
@@ -53,36 +52,54 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     hashes = F.lit(None).cast("array<bigint>")
     for k in range(1, SHINGLE + 1):
         hashes = F.when(F.col("lm_k") == k, shingle_hashes(k)).otherwise(hashes)
-    return sized.select("item_id", "lm_size", "lm_k", hashes.alias("lm_hashes")).distinct()
+    known = sized.select("item_id", "lm_size", "lm_k", hashes.alias("lm_hashes")).distinct()
+    return known.withColumn("lm_item_fp", fingerprint("lm_hashes")).withColumn("lm_item_key", F.xxhash64("item_id", "lm_hashes"))
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """WINDOW and lm_hashes of the windows laid at the items' shingles; lm_text tells rows with one doc_id apart."""
+def windows(docs: DataFrame, items: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """WINDOW, lm_hashes and lm_fp of the windows laid at the items' shingles; lm_text tells rows with one doc_id apart."""
     sizes = sorted(r[0] for r in items.select("lm_k").distinct().collect())  # at most SHINGLE rows
     split = docs.select("doc_id", F.xxhash64("text").alias("lm_text"), once(words()).alias("lm_words"))
     laid = None
     for k in sizes or [SHINGLE]:
         own = items.where(F.col("lm_k") == k).select("lm_size", F.posexplode("lm_hashes").alias("lm_at", "lm_hash"), "lm_hashes")
         known = own.select("lm_hash", "lm_size", "lm_at", F.when(F.col("lm_at") > 0, F.get("lm_hashes", F.col("lm_at") - 1)).alias("lm_before")).distinct()
-        # hashes stay a column of the text's row; only matches copy their part of it
         hashed = split.select("doc_id", "lm_text", once(shingle_hashes(k)).alias("lm_all"))
-        places = hashed.select("doc_id", "lm_text", "lm_all", F.posexplode("lm_all").alias("lm_place", "lm_hash"))
-        hits = places.join(hinted(known), "lm_hash")
-        fresh = F.col("lm_before").isNull() | ~F.get("lm_all", F.greatest(F.col("lm_place") - 1, F.lit(0))).eqNullSafe(F.col("lm_before")) | (F.col("lm_place") == 0)
-        start = F.greatest(F.lit(0), F.least(F.col("lm_place") - F.col("lm_at"), F.size("lm_all") + (k - 1) - F.col("lm_size")))
-        found = hits.where(fresh).select("doc_id", "lm_text", start.alias("lm_start"), "lm_size", F.slice("lm_all", start + 1, F.col("lm_size") - (k - 1)).alias("lm_hashes"))
+        n_all, before = F.col("lm_n"), F.col("lm_previous")
+        fresh = F.col("lm_before").isNull() | ~before.eqNullSafe(F.col("lm_before"))  # in a run of an item's shingles the first lays the window
+        start = F.greatest(F.lit(0), F.least(F.col("lm_place") - F.col("lm_at"), n_all + (k - 1) - F.col("lm_size")))
+        cut = F.slice("lm_all", F.col("lm_start") + 1, F.col("lm_size") - (k - 1)).alias("lm_hashes")
+        facts = {"lm_n": F.size("lm_all"), "lm_previous": F.when(F.col("lm_place") > 0, F.get("lm_all", F.col("lm_place") - 1))}
+        if count_at_most(known, most):  # a word's row meets the items where it stands, so the text's hashes may stay beside it
+            places = hashed.select("doc_id", "lm_text", "lm_all", F.posexplode("lm_all").alias("lm_place", "lm_hash"))
+            hits = places.join(F.broadcast(known), "lm_hash").withColumns(facts).where(fresh).withColumn("lm_start", start)
+            found = hits.select("doc_id", "lm_text", "lm_start", "lm_size", cut)
+        else:
+            each = F.transform(F.sequence(F.lit(0), F.size("lm_all") - 1), lambda i: F.struct(i.alias("lm_place"), F.get("lm_all", i).alias("lm_hash"), F.when(i > 0, F.get("lm_all", i - 1)).alias("lm_previous"), F.size("lm_all").alias("lm_n")))
+            places = hashed.where(F.size("lm_all") > 0).select("doc_id", "lm_text", F.inline(each))
+            spans = places.join(known, "lm_hash").where(fresh).select("doc_id", "lm_text", start.alias("lm_start"), "lm_size").distinct()
+            texts = hashed.dropDuplicates(["doc_id", "lm_text"])
+            found = joined(spans, texts, ["doc_id", "lm_text"]).select("doc_id", "lm_text", "lm_start", "lm_size", cut)
         laid = found if laid is None else laid.union(found)
-    return laid.groupBy(*WINDOW).agg(F.first("lm_hashes").alias("lm_hashes"))
+    return laid.groupBy(*WINDOW).agg(F.first("lm_hashes").alias("lm_hashes")).withColumn("lm_fp", fingerprint("lm_hashes"))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which null keys are equal; the keys come once."""
+    other = right.select(*(F.col(k).alias(f"lm_other_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"lm_other_{k}")) for k in keys))
+    return left.join(other, on).drop(*(f"lm_other_{k}" for k in keys))
+
+
+def fingerprint(hashes: str) -> Column:
+    """The SimHash of an array of hashes: a bit is set if more have it than not."""
+    one = F.lit(1).cast("long")
 
+    def bit(b: Column) -> Column:
+        n = F.aggregate(hashes, F.lit(0), lambda total, h: total + F.call_function("shiftrightunsigned", h, b).bitwiseAND(one).cast("int"))
+        return F.when(2 * n > F.size(hashes), F.call_function("shiftleft", one, b)).otherwise(F.lit(0).cast("long"))
 
-def with_fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and lm_fp, the SimHash of lm_hashes: a bit is set if more shingles have it than not."""
-    shingles = df.select(*keys, F.explode("lm_hashes").alias("h"))
-    ones = shingles.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64)])
-    fp = F.lit(0).cast("long")
-    for b in range(64):
-        fp = fp.bitwiseOR(F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit((1 << b) - (1 << 64) * (b == 63))).otherwise(F.lit(0).cast("long")))
-    return ones.select(*keys, fp.alias("lm_fp"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda fp, b: fp.bitwiseOR(bit(b)))
 
 
 def blocks(fp: Column, changes: list[int]) -> Column:
@@ -96,24 +113,25 @@ def blocks(fp: Column, changes: list[int]) -> Column:
     return F.explode(F.flatten(F.array(*map(one, range(BLOCKS)))))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, lm_text, item_id, similarity, first_word and n_words: the best window of each text for each item it leaks.
 
     A null or empty text, and an item without a word, leaks nothing. Texts are searched whole, however long; a text
     shorter than the item is one window. Repeated rows of docs are reported once; texts that share a doc_id are told
     apart by lm_text, a hash. Items with the same text are all reported, a null item_id too. Other columns of either
-    table aren't read. Among windows of equal similarity the first counts.
+    table aren't read. Among windows of equal similarity the first counts. most: rows of the items' side up to which it
+    is broadcast; the result is the same beyond.
     """
-    items = items_of(benchmark)
-    laid = windows(docs.select("doc_id", "text"), items)
-    marked = with_fingerprint(laid, [*WINDOW, "lm_hashes"])
-    stamped = with_fingerprint(items, ["item_id", "lm_size", "lm_hashes"])
-    index = stamped.select("item_id", "lm_size", F.col("lm_hashes").alias("lm_item"), F.col("lm_fp").alias("lm_item_fp"), blocks(F.col("lm_fp"), CHANGES).alias("k")).select("*", "k.block", "k.value").drop("k")
-    probes = marked.select("*", blocks(F.col("lm_fp"), [0]).alias("k")).select("*", "k.block", "k.value").drop("k")
-    near = probes.join(hinted(index), ["lm_size", "block", "value"]).where(F.bit_count(F.col("lm_fp").bitwiseXOR(F.col("lm_item_fp"))) <= RADIUS)
-    pairs = near.select(*WINDOW, "lm_hashes", "item_id", "lm_item").distinct()
+    place = shared_dir(docs.sparkSession)
+    items = stored(items_of(benchmark), f"{place}/items")
+    laid = stored(windows(docs.select("doc_id", "text"), items, most), f"{place}/windows")
+    index = items.select("lm_size", "lm_item_key", "lm_item_fp", blocks(F.col("lm_item_fp"), CHANGES).alias("k")).select("lm_size", "k.block", "k.value", "lm_item_key", "lm_item_fp")
+    probes = laid.select(*WINDOW, "lm_fp", blocks(F.col("lm_fp"), [0]).alias("k")).select(*WINDOW, "lm_fp", "k.block", "k.value")
+    near = probes.join(F.broadcast(index) if count_at_most(index, most) else index, ["lm_size", "block", "value"]).where(F.bit_count(F.col("lm_fp").bitwiseXOR(F.col("lm_item_fp"))) <= RADIUS)
+    pairs = joined(near.select(*WINDOW, "lm_item_key").distinct(), laid.drop("lm_fp"), WINDOW)
+    sided = pairs.join(items.select("lm_item_key", "item_id", F.col("lm_hashes").alias("lm_item")), "lm_item_key")
     common = F.aggregate(F.array_intersect("lm_hashes", "lm_item"), F.lit(0), lambda n, h: n + F.least(times("lm_hashes", h), times("lm_item", h)))
-    scored = pairs.withColumn("n", common).withColumn("similarity", F.col("n") / (F.size("lm_hashes") + F.size("lm_item") - F.col("n"))).where(F.col("similarity") >= similarity)
+    scored = sided.withColumn("n", common).withColumn("similarity", F.col("n") / (F.size("lm_hashes") + F.size("lm_item") - F.col("n"))).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "lm_text", "item_id").agg(F.max(F.struct("similarity", (-F.col("lm_start")).alias("at"), "lm_size")).alias("best"))
     return best.select("doc_id", "lm_text", "item_id", "best.similarity", (-F.col("best.at")).cast("long").alias("first_word"), F.col("best.lm_size").cast("long").alias("n_words"))
 

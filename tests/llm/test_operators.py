@@ -335,7 +335,8 @@ def slow_leaks(docs, items, least=0.8):
     return out
 
 
-def test_leaks_against_all_windows(spark, docs):
+@pytest.mark.parametrize("most", [250_000, 0])
+def test_leaks_against_all_windows(spark, docs, most):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items += [(900, "one two"), (901, ""), (902, None), (903, items[0][1]), (904, " ".join(f"w{i}" for i in range(300)))]
     base = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").limit(60).collect()]
@@ -348,9 +349,16 @@ def test_leaks_against_all_windows(spark, docs):
                 if w:
                     w[rng.randrange(len(w))] = "changed"
             planted.append((3000 + 10 * i + k, f"Before it all {' '.join(w).upper() if k == 1 else ' '.join(w)} and after"))
+    for i, (item_id, item) in enumerate(items[:40]):  # words put in and left out
+        w = (item or "").split()
+        for _ in range(1 + i % 3):
+            if w:
+                at = rng.randrange(len(w))
+                w[at : at + i % 2] = [] if i % 2 else [f"new{i}"]
+        planted.append((6000 + i, f"so {' '.join(w)} it goes on and on " + "filler words " * 30))
     planted += [(9000, "one, two"), (9001, "x one"), (9002, " ".join(f"w{i}" for i in range(290))), (9003, None), (9004, ""), (9005, "w1 " * 3000)]
     rows = base + planted
-    got = decontaminate.leaks(spark.createDataFrame([(*r, "x") for r in rows + rows[:3]], "doc_id long, text string, item_id string"), spark.createDataFrame(items + items[:1], "item_id long, text string")).collect()
+    got = decontaminate.leaks(spark.createDataFrame([(*r, "x") for r in rows + rows[:3]], "doc_id long, text string, item_id string"), spark.createDataFrame(items + items[:1], "item_id long, text string"), most=most).collect()
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == slow_leaks(rows, items)
     assert len(got) == len({(r.doc_id, r.item_id) for r in got}) > 20
 
