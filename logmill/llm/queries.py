@@ -116,14 +116,21 @@ ORACLE_SQL: dict[str, str] = {
               FROM (SELECT *, s2 IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'gov.uk', 'ne.jp', 'or.jp', 'org.au', 'org.uk') AS two FROM l) GROUP BY ALL),
         d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
         s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
-        s1 AS (SELECT *, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM s0) AS m FROM s0),
-        s2 AS (SELECT (1 - r) / r AS s FROM (SELECT least(0.9, greatest(0.01, coalesce((sum(n * (k / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.01))) AS r FROM s1 WHERE n > 0)),
-        s3 AS (SELECT suffix, (k + s * m) / (n + s) AS post FROM s1, s2),
-        d1 AS (SELECT d.*, post AS m FROM d JOIN s3 USING (suffix)),
-        d2 AS (SELECT (1 - r) / r AS s FROM (SELECT least(0.9, greatest(0.01, coalesce((sum(n * (k / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.01))) AS r FROM d1 WHERE n > 0)),
-        d3 AS (SELECT suffix, domain, (k + s * m) / (n + s) AS post FROM d1, d2),
-        h1 AS (SELECT h.*, post AS m FROM h JOIN d3 USING (suffix, domain)),
-        h2 AS (SELECT (1 - r) / r AS s FROM (SELECT least(0.9, greatest(0.01, coalesce((sum(n * (k / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.01))) AS r FROM h1 WHERE n > 0)),
-        h3 AS (SELECT host, n + s + 1 AS c, (k + s * m) / (n + s) AS post FROM h1, h2)
-        SELECT page_id, l.host, path, rule, coalesce(said, CASE WHEN post - 1.645 * sqrt(post * (1 - post) / c) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM l JOIN h3 ON l.host = h3.host""",
+        top AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m, coalesce(sum(n), 0) + 3 AS c FROM s0),
+        s1 AS (SELECT s0.*, m, m * (1 - m) / c AS v FROM s0, top),
+        xs AS (SELECT (1 - r) / r AS s FROM (SELECT least(0.9, greatest(0.01, coalesce((sum(n * (k / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.01))) AS r FROM s1 WHERE n > 0)),
+        xe AS (SELECT s1.*, m * (1 - m) / ((m * (1 - m) - v) / (s + 1) + v) - 1 AS e FROM s1, xs),
+        xp AS (SELECT *, (k + e * m) / (n + e) AS post FROM xe),
+        x AS (SELECT *, post * (1 - post) / (n + e + 1) AS spread FROM xp),
+        d1 AS (SELECT d.*, post AS m, spread AS v FROM d JOIN x USING (suffix)),
+        ys AS (SELECT (1 - r) / r AS s FROM (SELECT least(0.9, greatest(0.01, coalesce((sum(n * (k / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.01))) AS r FROM d1 WHERE n > 0)),
+        ye AS (SELECT d1.*, m * (1 - m) / ((m * (1 - m) - v) / (s + 1) + v) - 1 AS e FROM d1, ys),
+        yp AS (SELECT *, (k + e * m) / (n + e) AS post FROM ye),
+        y AS (SELECT *, post * (1 - post) / (n + e + 1) AS spread FROM yp),
+        h1 AS (SELECT h.*, post AS m, spread AS v FROM h JOIN y USING (suffix, domain)),
+        zs AS (SELECT (1 - r) / r AS s FROM (SELECT least(0.9, greatest(0.01, coalesce((sum(n * (k / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.01))) AS r FROM h1 WHERE n > 0)),
+        ze AS (SELECT h1.*, m * (1 - m) / ((m * (1 - m) - v) / (s + 1) + v) - 1 AS e FROM h1, zs),
+        zp AS (SELECT *, (k + e * m) / (n + e) AS post FROM ze),
+        z AS (SELECT *, post * (1 - post) / (n + e + 1) AS spread FROM zp)
+        SELECT page_id, l.host, path, rule, coalesce(said, CASE WHEN post - 1.645 * sqrt(spread) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM l JOIN z ON l.host = z.host""",
 }

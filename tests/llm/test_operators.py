@@ -309,6 +309,17 @@ def test_url_reputation_shrinks(spark):
     assert got[201].bad_rate < got[202].bad_rate < got[200].bad_rate
 
 
+def test_url_suffix_without_outcomes_stays_allowed(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = url_filter.judge(pages).select("host", "rule", "verdict", "bad_bound").collect()
+    decided = {r.host.rpartition(".")[2] for r in rows if r.rule}
+    unknown = [r for r in rows if r.host.rpartition(".")[2] not in decided]
+    assert len(unknown) > 500 and all(r.verdict == "allow" for r in unknown)
+    few = spark.createDataFrame([(i, f"http://a{i}.co.xx/", 1) for i in range(30)] + [(90, "http://new.co.xx/", None), (91, "http://new.zz/", None)], "page_id long, url string, bad int")
+    got = {r.page_id: r for r in url_filter.judge(few, rules=(), bad="bad", two_labels=["co.xx"]).collect()}
+    assert got[90].verdict == "block" and got[91].bad_bound < got[90].bad_bound
+
+
 def slow_leaks(docs, items, least=0.8):
     """Of every window that shares a shingle with the item the similarity; the others' is 0."""
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
