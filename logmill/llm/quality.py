@@ -6,7 +6,8 @@ the two before it; each is hashed into BUCKETS weights. A text's value for a fea
 of FEW plus the sum of squared counts, so long texts weigh alike. The score is the sigmoid of the sparse dot product
 of these values and the weights.
 
-Training reads a bounded sample: ``max_rows`` labelled rows, those with the smallest hash of doc_id.
+Training reads a bounded sample: ``max_rows`` labelled rows, those with the smallest hash of doc_id, and of each the
+``max_features`` largest values. Scoring uses whole texts and all features.
 """
 
 from __future__ import annotations
@@ -108,6 +109,14 @@ def sparse(row: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return r, b, count / norm[r]
 
 
+def strongest(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the entries with the largest values, in the order they came."""
+    order = np.lexsort([bucket, -value, row])
+    nth = np.arange(len(row)) - np.searchsorted(row, row[order])
+    kept = np.sort(order[nth < most])
+    return row[kept], bucket[kept], value[kept]
+
+
 def dot(row: np.ndarray, bucket: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
     r, b, v = sparse(row, bucket, n)
     return np.bincount(r, v * weights[b], n)
@@ -132,11 +141,12 @@ class FTRL:
         self.n[i] += g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, epochs: int = 3) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, epochs: int = 3, max_features: int = 4096) -> np.ndarray:
     """Weights of BUCKETS features and, last, of the constant, from docs (doc_id, text) and labels (doc_id, quality).
 
-    Labels with null in either column are left out, one label of each doc_id counts (the largest). Without any label
-    all weights are 0 and every score is 0.5. At most max_rows labelled rows and a short part of each reach the driver.
+    Labels with null in either column are left out, one label of each doc_id counts (the largest) and one text (that of
+    the least hash). Without any label all weights are 0 and every score is 0.5. At most max_rows labelled rows and a
+    short part of each reach the driver, with max_features features of 8 bytes.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
@@ -149,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, epochs: int
         for batch in batches:
             data, offsets = bytes_of(batch.column("text"))
             for i, j in chunks(offsets):
-                rows = [sparse(*features(data, offsets[i : j + 1]), j - i)]
+                rows = [strongest(*sparse(*features(data, offsets[i : j + 1]), j - i), max_features)]
                 for k in range(i, j):  # a short part from the middle is an example too, since short texts must be told apart
                     middle = (offsets[k] + offsets[k + 1]) // 2
                     part = np.array([max(offsets[k], middle - SHORT), min(offsets[k + 1], middle + SHORT)])
@@ -159,19 +169,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, epochs: int
                 twice = [pa.concat_arrays([batch.column(c).slice(i, j - i)] * 2) for c in ("doc_id", "quality")]
                 yield pa.RecordBatch.from_arrays([*twice, *lists], names=["doc_id", "quality", "i", "x"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").mapInArrow(vectors, "doc_id long, quality int, i array<int>, x array<float>").limit(2 * max_rows).toArrow()
-    sizes = found["i"].combine_chunks().value_lengths().to_pylist() if len(found) else []
-    rows = [(d, y, k) for d, y, _, k in sorted(zip(found["doc_id"].to_pylist(), found["quality"].to_pylist(), sizes, range(len(found)), strict=True))]
-    cells = [(found["i"].combine_chunks().values.to_numpy(), found["i"].combine_chunks().offsets.to_numpy()), (found["x"].combine_chunks().values.to_numpy(), None)] if len(found) else []
+    few = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = few.mapInArrow(vectors, "doc_id long, quality int, i array<int>, x array<float>").toArrow()
+    # batch by batch, so that no second copy of the sample is made
+    rows = [(d, y, k, int(n), i, x) for k, b in enumerate(found.to_batches()) for d, y, n, i, x in zip(b["doc_id"].to_pylist(), b["quality"].to_pylist(), b["i"].value_lengths().to_pylist(), arrays(b["i"]), arrays(b["x"]), strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1], r[3], r[2]))
     rng = np.random.default_rng(3)
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            _, y, at = rows[k]
-            s = slice(cells[0][1][at], cells[0][1][at + 1])
-            model.update(np.append(cells[0][0][s], BUCKETS), np.append(cells[1][0][s].astype(np.float64), 1.0), int(y == 1))
+            _, y, _, _, i, x = rows[k]
+            model.update(np.append(i, BUCKETS), np.append(x.astype(np.float64), 1.0), int(y == 1))
     return model.weights()
 
 
+def arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Append score (0 to 1) and predicted (1 from the threshold up) to docs; the other columns stay, text too.
 
