@@ -4,9 +4,9 @@ A text is cut into windows of WINDOW bytes that cover it whole. Each byte become
 several widths slide over the window, each filter keeps its maximum, and a softmax layer gives the languages'
 probabilities. A text's probabilities are the mean over its windows, weighted by their bytes.
 
-Training reads a bounded sample: at most ``docs_per_language`` labelled texts of each of at most
-``max_languages`` languages, and at most ``windows_per_doc`` windows of each, spread over the whole text.
-The rows are chosen by a hash of doc_id, so reruns give the same network.
+Training reads a bounded sample: of every language at most ``docs_per_language`` labelled texts, fewer where
+there are so many languages that they would be over ``most_docs``, and at most ``windows_per_doc`` windows of
+each, spread over the whole text. The rows are chosen by a hash of doc_id, so reruns give the same network.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from logmill.llm.common import bucket_of, bytes_of, with_results
 
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 20
+#: Windows that are looked at together.
+TOGETHER = 2048
 UNKNOWN = "und"
 
 
@@ -59,19 +61,27 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that cover each text, zero-padded at its end; the row and the true length of each window."""
+def places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that cover each text: the row, the first byte and the length of each."""
     sizes = np.diff(offsets)
     counts = -(-sizes // WINDOW)
     row = np.repeat(np.arange(len(sizes)), counts)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = offsets[:-1][row] + nth * WINDOW
-    length = np.minimum(WINDOW, offsets[1:][row] - start)
-    padded = np.concatenate([data[offsets[0] : offsets[-1]], np.zeros(WINDOW, np.uint8)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[start - offsets[0]]
+    return row, start, np.minimum(WINDOW, offsets[1:][row] - start)
+
+
+def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of some windows, zero-padded at their ends."""
+    if not len(start):
+        return np.zeros((0, WINDOW), np.uint8)
+    lo, hi = int(start.min()), int(start.max()) + WINDOW
+    part = data[lo:hi]
+    padded = np.concatenate([part, np.zeros(hi - lo - len(part), np.uint8)]) if len(part) < hi - lo else part
+    windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[start - lo]
     short = np.flatnonzero(length < WINDOW)
     windows[short] *= np.arange(WINDOW) < length[short, None]
-    return windows, row, length
+    return windows
 
 
 def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 7) -> ByteCNN:
@@ -120,33 +130,37 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
     return net
 
 
-def train(labelled: DataFrame, docs_per_language: int = 300, windows_per_doc: int = 6, max_languages: int = 64) -> ByteCNN | None:
+def train(labelled: DataFrame, docs_per_language: int = 300, windows_per_doc: int = 6, most_docs: int = 19_200) -> ByteCNN | None:
     """Fit the network on (doc_id, text, lang); rows with a null text or lang are left out. None if no row is left.
 
-    The sample reaches the driver as windows: at most max_languages * docs_per_language * windows_per_doc * 256 bytes.
+    Every language is learnt. The sample reaches the driver as windows: at most most_docs (or one for each language) *
+    windows_per_doc * 256 bytes. Of rows with one doc_id and language one counts, that whose text has the least hash.
     """
     known = labelled.where("text is not null and lang is not null and length(text) > 0").select("doc_id", "lang", "text")
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not langs:
+    n = known.select("lang").distinct().count()
+    if not n:
         return None
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= docs_per_language)
-    ids = chosen.select("doc_id", "lang").distinct().collect()  # bounded: max_languages * docs_per_language
-    spark = labelled.sparkSession
-    small = spark.createDataFrame(ids, "doc_id long, lang string")
+    chosen = known.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= min(docs_per_language, max(1, most_docs // n)))
+    ids = chosen.select("doc_id", "lang").distinct().collect()  # bounded likewise
+    small = labelled.sparkSession.createDataFrame(ids, "lm_id long, lm_lang string")
+    few = known.join(F.broadcast(small), F.col("doc_id").eqNullSafe(F.col("lm_id")) & (F.col("lang") == F.col("lm_lang"))).groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            windows, row, _ = cut(*bytes_of(batch.column("text")))
+            data, offsets = bytes_of(batch.column("text"))
+            row, start, length = places(offsets)
             if not len(row):
                 continue
             first = np.searchsorted(row, np.arange(batch.num_rows))
             count = np.bincount(row, minlength=batch.num_rows)
             take = np.unique(np.concatenate([f + (np.arange(windows_per_doc) * c) // windows_per_doc for f, c in zip(first, count, strict=True) if c]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[take])), batch.column("lang").take(pa.array(row[take])), pa.array([w.tobytes() for w in windows[take]], pa.binary())], names=["doc_id", "lang", "window"])
+            windows = [gather(data, start[k : k + 1], length[k : k + 1])[0].tobytes() for k in take]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[take])), batch.column("lang").take(pa.array(row[take])), pa.array(windows, pa.binary())], names=["doc_id", "lang", "window"])
 
-    rows = known.join(F.broadcast(small), ["doc_id", "lang"], "left_semi").mapInArrow(sample, "doc_id long, lang string, window binary").limit(max_languages * docs_per_language * windows_per_doc).collect()
+    rows = few.mapInArrow(sample, "doc_id long, lang string, window binary").collect()
     rows.sort(key=lambda r: (r[1], r[0] if r[0] is not None else -1, bytes(r[2])))
+    langs = {r[1] for r in rows}
     names = sorted(langs)
     code = {k: i for i, k in enumerate(names)}
     windows = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint8).reshape(-1, WINDOW).copy()
@@ -173,16 +187,15 @@ def predict(docs: DataFrame, net: ByteCNN | None, text: str = "text") -> DataFra
             names, values = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             if net is not None and letters.any():
                 data, offsets = bytes_of(batch.column(text))
-                for i in range(batch.num_rows):
-                    if not letters[i]:
-                        continue
-                    total, n = np.zeros(len(net.languages)), int(offsets[i + 1] - offsets[i])
-                    for at in range(offsets[i], offsets[i + 1], WINDOW * 512):  # a bounded part of a long text at a time
-                        end = min(at + WINDOW * 512, offsets[i + 1])
-                        windows, _, length = cut(data, np.array([at, end]))
-                        total += length @ net.probabilities(windows)
-                    best = int(total.argmax())
-                    names[i], values[i] = net.languages[best], min(1.0, total[best] / n)
+                row, start, length = places(offsets)
+                row, start, length = (x[letters[row]] for x in (row, start, length))
+                total = np.zeros((batch.num_rows, len(net.languages)))
+                for at in range(0, len(row), TOGETHER):  # windows of many texts, or a bounded part of a long one
+                    part = slice(at, at + TOGETHER)
+                    np.add.at(total, row[part], length[part, None] * net.probabilities(gather(data, start[part], length[part])))
+                best, own = total.argmax(1), np.flatnonzero(letters)
+                names[own] = np.array(net.languages, object)[best[own]]
+                values[own] = np.minimum(1.0, total[own, best[own]] / np.diff(offsets)[own])
             yield with_results(batch, ["lm_letter", text], {"lang_pred": pa.array(names, pa.string()), "score": pa.array(values)})
 
     return docs.mapInArrow(score, schema)
