@@ -44,10 +44,10 @@ def train_dictionary(pages: DataFrame, payload: str, key: str, samples: int = 30
 def mark_duplicates(pages: DataFrame, payload: str, key: str, min_bytes: int = 0) -> DataFrame:
     """Append lm_keep: for rows whose payload an equal one with a larger key stands for, that key; else null.
 
-    Payloads are equal if SHA-1 and length are. Sums of equal payloads are made before the shuffle, and the join back
+    Payloads are equal if SHA-256 and length are; SHA-1 alone could be made to clash. Sums of equal payloads are made before the shuffle, and the join back
     is one that Spark splits where one payload has many rows.
     """
-    keyed = pages.withColumns({"lm_sha": F.sha1(payload), "lm_size": F.octet_length(payload)})
+    keyed = pages.withColumns({"lm_sha": F.sha2(payload, 256), "lm_size": F.octet_length(payload)})
     same = keyed.where(F.col("lm_size") >= min_bytes).groupBy("lm_sha", "lm_size").agg(F.max(key).alias("lm_last"), F.count("*").alias("lm_n")).where("lm_n > 1").drop("lm_n")
     joined = keyed.join(same, ["lm_sha", "lm_size"], "left")
     return joined.withColumn("lm_keep", F.when(~F.col(key).eqNullSafe(F.col("lm_last")), F.col("lm_last"))).drop("lm_sha", "lm_size", "lm_last")
@@ -147,32 +147,57 @@ def bare(uri: str | None) -> str | None:
     return uri.removeprefix("<").removesuffix(">") if uri else None
 
 
+def headers_of(lines: list[str]) -> dict[str, str]:
+    """Header values by lower-case name; a line that begins with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] = f"{out[name]} {line.strip()}".strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def differs(digest: str, data: bytes) -> bool:
+    """Whether a labelled SHA-1 (base32 or hex) isn't that of the data; other algorithms aren't judged."""
+    kind, _, value = digest.partition(":")
+    return kind.lower() == "sha1" and value.lower() not in (base32_sha1(data).lower(), hashlib.sha1(data).hexdigest())
+
+
 def parse(content: bytes) -> tuple:
-    """record_id to problem of RECORD. A record that breaks a rule keeps what could be read and names the problem."""
+    """record_id to problem of RECORD. A record that breaks a rule keeps what could be read and names the problem.
+
+    The payload of HTTP records is what stands behind the HTTP head, that of all others the whole block. Digests are
+    optional; payload_digest is the base32 SHA-1 of the payload, and of a revisit what its header says.
+    """
     head, gap, rest = content.partition(b"\r\n\r\n")
     version, *lines = head.decode("utf-8", "replace").split("\r\n")
-    headers = dict(x.partition(": ")[::2] for x in lines)
-    record_id, kind, digest = bare(headers.get("WARC-Record-ID")), headers.get("WARC-Type"), headers.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
-    base = (record_id, kind, headers.get("WARC-Target-URI"), bare(headers.get("WARC-Refers-To")))
-    bad = lambda why: (*base, None, None, digest, why)
-    if not gap or not re.fullmatch(r"WARC/1\.[01]", version):
+    headers = headers_of(lines)
+    record_id, kind, digest = bare(headers.get("warc-record-id")), headers.get("warc-type"), headers.get("warc-payload-digest", "")
+    base, said = (record_id, kind, headers.get("warc-target-uri"), bare(headers.get("warc-refers-to"))), digest.partition(":")[2] or None
+    bad = lambda why: (*base, None, None, said, why)
+    if not gap or not re.fullmatch(r"WARC/\d+\.\d+", version):
         return bad("no WARC head")
-    if missing := [k for k in NEEDED if k not in headers]:
+    if missing := [k for k in NEEDED if k.lower() not in headers]:
         return bad(f"without {', '.join(missing)}")
-    if not headers["Content-Length"].isdigit() or len(rest) != int(headers["Content-Length"]) + 4 or rest[-4:] != b"\r\n\r\n":
+    if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         return bad("length differs from Content-Length")
     block = rest[:-4]
-    if headers.get("WARC-Block-Digest", "") not in ("", f"sha1:{base32_sha1(block)}"):
+    if differs(headers.get("warc-block-digest", ""), block):
         return bad("block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = re.search(rb"(?mi)^Content-Length: (\d+)\r?$", http)
+    http = headers.get("content-type", "").partition(";")[0].strip().lower() == "application/http"
+    top, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    size = re.search(rb"(?mi)^Content-Length:[ \t]*(\d+)[ \t]*\r?$", top)
     if kind == "revisit":
-        return (*base, None, int(size[1]) if size else None, digest, None)
+        return (*base, None, int(size[1]) if size else None, said, None)
     if size and int(size[1]) != len(payload):
         return bad("payload differs from its HTTP length")
-    if digest != base32_sha1(payload):
+    if differs(digest, payload):
         return bad("payload digest differs")
-    return (*base, payload, len(payload), digest, None)
+    return (*base, payload, len(payload), base32_sha1(payload), None)
 
 
 def read(archives: DataFrame) -> DataFrame:

@@ -93,6 +93,101 @@ def test_warc_broken_records(spark, tmp_path):
     assert bytes(rows[0].payload) == b"hello"
 
 
+def test_warc_archives_of_others(spark, tmp_path):
+    import zstandard
+
+    def rec(lines, block):
+        return "\r\n".join(["WARC/1.0", *lines, f"content-length:{len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    own = lambda i, kind: [f"WARC-TYPE:{kind}", f"warc-record-id:<urn:x:{i}>", "WARC-Date: 2020-01-01T00:00:00Z"]
+    sha = base64.b32encode(hashlib.sha1(b"hi").digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\ncontent-length: 2\r\n\r\nhi"
+    records = [
+        rec([*own(1, "warcinfo"), "Content-Type: application/warc-fields"], b"software: x\r\n\r\n"),
+        rec([*own(2, "response"), "Content-Type: application/http; msgtype=response", "WARC-Target-URI:", " http://x/"], http),
+        rec([*own(3, "response"), "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{sha.lower()}", "WARC-Block-Digest: md5:00"], http),
+        rec([*own(4, "response"), "Content-Type: application/http", "WARC-Payload-Digest: sha1:AAAA"], http),
+        rec([*own(5, "resource"), "Content-Type: text/plain"], b""),
+        rec([*own(6, "revisit"), "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{sha}", "WARC-Refers-To: <urn:x:3>"], http[:-2]),
+    ]
+    pack = zstandard.ZstdCompressor(write_content_size=True)
+    (tmp_path / "c.warc.zst").write_bytes(b"".join(map(pack.compress, records)))
+    rows = warc.read(spark.createDataFrame([(f"{tmp_path}/c.warc.zst",)], "archive string")).orderBy("offset").collect()
+    assert [r.record_id for r in rows] == [f"urn:x:{i}" for i in range(1, 7)] and rows[1].target_uri == "http://x/"
+    assert [r.problem for r in rows] == [None, None, None, "payload digest differs", None, None]
+    assert [None if r.payload is None else bytes(r.payload) for r in rows] == [b"software: x\r\n\r\n", b"hi", b"hi", None, b"", None]
+    assert rows[1].payload_digest == sha and rows[5].payload_bytes == 2 and rows[5].refers_to == "urn:x:3"
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(spark, none, shared_dir(spark)).count() == 0
+
+
+def test_warc_rolls_over_and_keeps_large_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200)
+    rng = random.Random(1)
+    rows = [(i, "http://x", "".join(rng.choices("abcdefgh", k=n))) for i, n in enumerate([10, 500, 17 << 20, 0, 40])]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), shared_dir(spark)).collect()
+    assert {r.record_id: len(r.payload) for r in got} == {f"urn:page:{i}": len(t) for i, _, t in rows}
+
+
+def slow_probabilities(net, text):
+    """The network by loops over windows, places and filters."""
+    total, data = [0.0] * len(net.languages), text.encode()
+    for at in range(0, len(data), language_id.WINDOW):
+        window = data[at : at + language_id.WINDOW]
+        x = [net.embed[b] for b in window] + [net.embed[0]] * (language_id.WINDOW - len(window))
+        wide = max(language_id.WIDTHS)
+        hidden = [max(0.0, max(sum(float(x[p + w][d]) * float(net.filters[w * language_id.DIM + d, f]) for w in range(wide) for d in range(language_id.DIM)) for p in range(len(x) - wide + 1)) + float(net.bias[f])) for f in range(net.filters.shape[1])]
+        z = [sum(h * float(net.out[f, k]) for f, h in enumerate(hidden)) + float(net.out_bias[k]) for k in range(len(net.languages))]
+        e = [math.exp(v - max(z)) for v in z]
+        for k, v in enumerate(e):
+            total[k] += len(window) * v / sum(e)
+    return [t / len(data) for t in total]
+
+
+def test_language_network_by_loops(spark):
+    rows = [(i, f"{w} " * 20, k) for i, (w, k) in enumerate((w, k) for k, ws in {"aa": ["the and", "of in"], "bb": ["der und", "das ein"], "cc": ["żółw", "nie tak"]}.items() for w in ws)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.train(docs)
+    texts = ["the of and", "ż" * 200 + " nie", "ein x" * 60, "123", None]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).orderBy("doc_id").collect()
+    for r, text in zip(got[:3], texts, strict=False):
+        want = slow_probabilities(net, text)
+        assert r.lang_pred == net.languages[want.index(max(want))] and math.isclose(r.score, max(want), rel_tol=1e-3)
+    assert [r.lang_pred for r in got[3:]] == ["und", "und"]
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(70)], "doc_id long, text string, lang string")
+    assert len(language_id.train(many).languages) == 70 and len(language_id.train(many, most_docs=10).languages) == 70
+
+
+def test_quality_learner_by_loops():
+    import numpy as np
+
+    rng, model = random.Random(3), quality.FTRL()
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        sign = (z[i] > 0) - (z[i] < 0)
+        return 0.0 if abs(z[i]) <= model.l1 else -(z[i] - sign * model.l1) / ((model.beta + math.sqrt(n[i])) / model.alpha + model.l2)
+
+    for _ in range(200):
+        row = {rng.randrange(40): rng.random() for _ in range(6)}
+        y = rng.randrange(2)
+        w = {i: weight(i) for i in row}
+        p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in row.items())))
+        for i, x in row.items():
+            g = (p - y) * x
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / model.alpha * w[i]
+            n[i] += g * g
+        model.update(np.array(list(row)), np.array(list(row.values())), y)
+    assert all(math.isclose(float(model.weights()[i]), weight(i), abs_tol=1e-9) for i in range(40))
+    data = "One two two.  three\nfour x".encode()
+    r, b, v = quality.sparse(*quality.features(np.frombuffer(data, np.uint8), np.array([0, 20, len(data)])), 2)
+    weights = np.array([rng.random() for _ in range(quality.BUCKETS + 1)])
+    want = [sum(float(x) * weights[i] for k, i, x in zip(r, b, v, strict=True) if k == row) for row in (0, 1)]
+    assert np.allclose(quality.dot(*quality.features(np.frombuffer(data, np.uint8), np.array([0, 20, len(data)])), 2, weights), want)
+    kept = quality.strongest(np.array([0, 0, 0, 1]), np.array([4, 5, 6, 7]), np.array([0.1, 0.3, 0.2, 0.1]), 2)
+    assert kept[1].tolist() == [5, 6, 7]
+
+
 def test_token_counts_are_the_librarys(spark, docs):
     import sentencepiece
 
