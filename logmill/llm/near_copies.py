@@ -30,8 +30,8 @@ from logmill.llm.components import connected
 from logmill.llm.simhash import SEED, links
 
 WORDS, SIMILARITY, CLOSE, RADIUS, SHORT = 5, 0.8, 3, 23, 32
-#: Texts of the sample, in how many of them a shingle is frequent, and how many such shingles are kept.
-SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 3, 100_000
+#: Least texts and share of the sample, in how many of them a shingle is frequent, and how many such shingles are kept.
+SAMPLE, SAMPLE_SHARE, FREQUENT, MOST_FREQUENT = 4000, 0.04, 3, 1_000_000
 #: Rows of one shingle that are compared together with those of others, and those up to which rows near to none are left out.
 SMALL_GROUP, MOST_COMPARED = 64, 4096
 #: Rows and shingles that a part of a block has, more or less; a tile has two parts.
@@ -85,11 +85,12 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of many texts of a sample picked by a hash of the id, the least frequent first."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").repartition(8)
+    """Shingles of many texts of a sample picked by a hash of the id, the least frequent first; it grows with the table."""
+    share = max(SAMPLE_SHARE, SAMPLE / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) < int(10_000 * share))
     counts = sets(sample, words).select(F.explode("lm_set").alias("h")).groupBy("h").count().where(F.col("count") >= FREQUENT)
-    rows = counts.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()
-    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
+    rows = counts.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h").toArrow()
+    return rows["h"].to_numpy()[::-1].copy().view(np.uint64)
 
 
 def least_common(n: int, share: Fraction) -> int:
