@@ -51,7 +51,7 @@ def verdicts(features: DataFrame, votes: DataFrame | None = None, require_agreem
     fitted = F.col("fitted")
     score = F.when(fitted, signals / checks).otherwise(0.0)
     anomaly = fitted & (signals == checks if require_agreement else signals > 0)
-    method = F.when(~fitted, "none").when(checks == 2, "combined").otherwise("z_score")
+    method = F.when(~fitted, "none").when(checks == 2, "z_score+isolation_forest").otherwise("z_score")
     return w.select("window_start", "details", "forest_vote", score.alias("score"), anomaly.alias("is_anomaly"), method.alias("method"), severity(score).alias("severity"))
 
 

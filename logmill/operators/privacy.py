@@ -118,10 +118,17 @@ def hide_commands(text: Column) -> Column:
     return F.regexp_replace(out, r"(?i)\bCOMMAND=(?!<bos>)\s*(?:[^\s;]*/)?([^\s;/]*).*?(?=\s*(?:;|$))", "COMMAND=$1")
 
 
+def tokens(text: Column) -> Column:
+    """What may be a name in a text: runs of the characters that names have, also without marks at their ends."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\w.$-]+"), F.lit(0))
+    return F.array_distinct(F.concat(runs, F.transform(runs, lambda t: F.regexp_replace(t, r"^[.-]+|[.-]+$", ""))))
+
+
 def scrub(df: DataFrame, text: str, position: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Add <text>_scrubbed to df (scope_id, row_id, text) and give the labels (scope_id, kind, value, label).
 
-    Values are numbered by row_id and place in the text. A null text is an empty one.
+    Values are numbered by row_id and place in the text. A name that one row of a scope shows is replaced in all rows of
+    the scope, wherever it stands as a whole word. A null text is an empty one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     at = lambda c: F.posexplode(c).alias("p", "value")
@@ -131,7 +138,7 @@ def scrub(df: DataFrame, text: str, position: Column | None = None) -> tuple[Dat
     labels = ips.withColumn("kind", F.lit("ip")).unionByName(users.withColumn("kind", F.lit("user")))
     pair = F.struct("value", "label")
     per_row = lambda found, own: df.select("scope_id", "row_id", F.explode(F.array_distinct(found)).alias("value")).join(own, ["scope_id", "value"]).groupBy("scope_id", "row_id").agg(F.collect_list(pair).alias("m"))
-    out = df.join(per_row(found_ips(t), ips).withColumnRenamed("m", "lm_ips"), ["scope_id", "row_id"], "left").join(per_row(found_users(t), users).withColumnRenamed("m", "lm_users"), ["scope_id", "row_id"], "left")
+    out = df.join(per_row(found_ips(t), ips).withColumnRenamed("m", "lm_ips"), ["scope_id", "row_id"], "left").join(per_row(F.concat(found_users(t), tokens(t)), users).withColumnRenamed("m", "lm_users"), ["scope_id", "row_id"], "left")
     none = F.array().cast("array<struct<value:string,label:string>>")
     lm_ips, lm_users = F.coalesce("lm_ips", none), F.coalesce("lm_users", none)
     label = lambda v: F.get(F.transform(F.filter(lm_ips, lambda x: x["value"] == v), lambda x: x["label"]), 0)

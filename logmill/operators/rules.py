@@ -11,11 +11,13 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logmill.operators.parse import CORE, EXTRA
+from logmill.operators.parse import CORE, EXTRA, INTS
 
 DEFAULT_COOLDOWN = 300
 CONDITION = r"selection\s*\|\s*count\((\w+)\)\s*(>=|<=|==|>|<)\s*(\d+)"
 FIELDS = {*CORE, "source", "user"}
+#: What a selection may name.
+KNOWN = {*FIELDS, *EXTRA, "service"}
 
 
 @dataclass(frozen=True)
@@ -85,8 +87,8 @@ def load_rules(folder: str) -> list[Rule]:
 
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
-    rows = [(r.id, r.title, r.level, r.condition, r.timeframe, r.seconds, r.cooldown_s, r.group_by, r.op, r.n, list(r.tags), r.message or "") for r in rules]
-    return spark.createDataFrame(rows, "rule_id string, rule_title string, level string, condition string, timeframe string, timeframe_s long, cooldown_s long, group_by string, op string, n long, tags array<string>, template string")
+    rows = [(r.id, r.title, r.level, r.condition, r.timeframe, r.seconds, r.cooldown_s, r.group_by, r.op, r.n, list(r.tags), r.message or "", problem_of(r)) for r in rules]
+    return spark.createDataFrame(rows, "rule_id string, rule_title string, level string, condition string, timeframe string, timeframe_s long, cooldown_s long, group_by string, op string, n long, tags array<string>, template string, problem string")
 
 
 def field_column(name: str) -> Column:
@@ -96,33 +98,60 @@ def field_column(name: str) -> Column:
 COMPARE = {"": eq, "gte": ge, "gt": gt, "lte": le, "lt": lt, "contains": lambda c, v: c.contains(v), "in": lambda c, v: c.isin(*v)}
 
 
+def problem_of(rule: Rule) -> str | None:
+    """Why a rule can't run: an unreadable condition, a group or field that no event has, or an unknown comparison."""
+    if not rule.op:
+        return "condition unreadable"
+    if rule.group_by not in FIELDS:
+        return "group is no event column"
+    for key, value in rule.selection.items():
+        name, _, how = key.partition("__")
+        if name not in KNOWN:
+            return f"field unknown: {name}"
+        if how not in COMPARE:
+            return f"comparison unknown: {how}"
+        if how == "in" and not isinstance(value, (list, tuple)):
+            return f"no list: {key}"
+    return None
+
+
 def predicate(selection: dict) -> Column:
     """All fields equal; service means process, true and false are booleans, and a suffix compares: __gte __gt __lte __lt __contains __in.
 
-    A field that is neither a column nor in extra is an error when the plan is made.
+    A field that is neither a column nor in extra, or an unknown suffix, matches no event.
     """
     parts = []
     for key, value in selection.items():
         name, _, how = key.partition("__")
+        if name not in KNOWN or how not in COMPARE or (how == "in" and not isinstance(value, (list, tuple))):
+            return F.lit(False)
         c = field_column("process" if name == "service" else name)
         if isinstance(value, str) and value.lower() in ("true", "false"):
             value = value.lower() == "true"
         if isinstance(value, bool) and EXTRA.get(name) != "boolean":
             parts.append(F.lit(False))  # types are strict
             continue
-        parts.append(COMPARE[how](c, value))
+        if how in ("gte", "gt", "lte", "lt"):
+            c = c if EXTRA.get(name) == "int" or name in INTS or name == "timestamp" else c.cast("string")
+            value = F.lit(value).try_cast("double") if EXTRA.get(name) == "int" or name in INTS else value
+        elif how == "contains":
+            c, value = c.cast("string"), str(value)
+        elif how == "" and (EXTRA.get(name) == "int" or name in INTS):
+            value = F.lit(value).try_cast("bigint")
+        parts.append(F.coalesce(COMPARE[how](c, value), F.lit(False)))
     return reduce(and_, parts, F.lit(True))
 
 
 def tagged(events: DataFrame, rules, as_of: Column) -> DataFrame:
     """Event rows once for each rule that selects them within its lookback, with rule_id and group_value.
 
-    The lookback has no upper end. Rules whose condition can't be read select nothing.
+    The lookback has no upper end. Rules that can't run (problem_of) select nothing and don't hold up the others.
     """
-    usable = [r for r in rules if r.op]
+    usable = [r for r in rules if not problem_of(r)]
     ts = F.unix_micros("timestamp")
     hit = [F.when(predicate(r.selection) & (ts >= F.unix_micros(as_of) - r.seconds * 1_000_000), F.struct(F.lit(r.id).alias("rule_id"), field_column(r.group_by).cast("string").alias("group_value"))) for r in usable]
-    return events.withColumn("lm_hit", F.explode(F.array_compact(F.array(*hit)))).select("*", "lm_hit.*").drop("lm_hit")
+    none = F.array().cast("array<struct<rule_id:string,group_value:string>>")
+    return events.withColumn("lm_hit", F.explode(F.array_compact(F.array(*hit)) if hit else none)).select("*", "lm_hit.*").drop("lm_hit")
 
 
 def compare(n: Column, op: Column, limit: Column) -> Column:
@@ -136,7 +165,7 @@ def group_counts(events: DataFrame, rules, as_of: Column) -> DataFrame:
 
 def fired(events: DataFrame, rules, as_of: Column, null_groups: str = "emit") -> DataFrame:
     """Groups over their rule's threshold, with the rule's columns."""
-    table = rule_table(events.sparkSession, [r for r in rules if r.op])
+    table = rule_table(events.sparkSession, [r for r in rules if not problem_of(r)]).drop("problem")
     out = group_counts(events, rules, as_of).join(F.broadcast(table), "rule_id").where(compare(F.col("count"), F.col("op"), F.col("n")))
     return out if null_groups == "emit" else out.where("group_value is not null")
 
@@ -205,10 +234,11 @@ def technique_rollup(found: DataFrame) -> DataFrame:
 
 
 def lint(rules: DataFrame) -> DataFrame:
-    """rule_id and problem: cooldown under the timeframe, unreadable condition, id used twice, no technique tag."""
+    """rule_id and problem: cooldown under the timeframe, unreadable condition, unknown field or comparison, id used twice, no technique tag."""
     twice = rules.groupBy("rule_id").agg(F.count("*").alias("c")).where("c > 1").select("rule_id", F.lit("id used twice").alias("problem"))
     checks = [(F.col("cooldown_s") < F.col("timeframe_s"), "cooldown under timeframe"), (F.col("op") == "", "condition unreadable"), (~F.exists("tags", lambda t: t.startswith("attack.t")), "no technique tag"), (~F.col("group_by").isin(*FIELDS, ""), "group is no event column")]
-    own = rules.select("rule_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(p)) for c, p in checks]))).alias("problem"))
+    fields = F.when(F.col("problem").rlike("^(field|comparison) unknown|^no list"), F.col("problem"))
+    own = rules.select("rule_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(p)) for c, p in checks], fields))).alias("problem"))
     return own.union(twice)
 
 

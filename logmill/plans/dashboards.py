@@ -202,6 +202,16 @@ def scrub_messages(spark, d):
     return privacy.scrub(sudo, "message")[0].where("event_type = 'sudo_command'").select(F.col("row_id").alias("line_id"), "message_scrubbed")
 
 
+@query(expected(""", f AS (SELECT host, u, min(event_id) AS p FROM good WHERE source = 'auth' AND kind = 'purchase' GROUP BY ALL), l AS (SELECT host, u, 'USER_' || row_number() OVER (PARTITION BY host ORDER BY p, u) AS label FROM f)
+    SELECT good.event_id AS line_id, 'session closed for user ' || label AS message_scrubbed FROM good JOIN l USING (host, u) WHERE event_type = 'sudo_command'"""))
+def scrub_scope(spark, d):
+    """A line that no pattern reads: its name is known from the scope's other lines."""
+    sudo = snapshot(parsed(spark, d).where(F.col("process") == "sudo").select(F.col("host").alias("scope_id"), F.col("line_id").alias("row_id"), "event_type", "message", "user"))
+    closed = sudo.where("event_type = 'sudo_command'").select("scope_id", (F.col("row_id") + (1 << 40)).alias("row_id"), F.concat(F.lit("session closed for user "), "user").alias("message"))
+    out = privacy.scrub(sudo.select("scope_id", "row_id", "message").unionByName(closed), "message")[0]
+    return out.where(F.col("row_id") >= 1 << 40).select((F.col("row_id") - (1 << 40)).alias("line_id"), "message_scrubbed")
+
+
 @query(with_alerts("SELECT id AS alert_id, c AS n_events, least(c, 10) + CASE WHEN c > 10 THEN 1 ELSE 0 END AS n_lines, CASE WHEN c > 10 THEN '  ... ve ' || (c - 10) || ' event daha' END AS more FROM al"))
 def alert_brief(spark, d):
     e = event_table(spark, d)

@@ -73,6 +73,21 @@ def all_rules_alerts(spark, d):
     return alert_columns(rules.alerts(parsed(spark, d), TEST_RULES, as_of()))
 
 
+BROKEN = (
+    rules.Rule("broken-1", "Unknown field", {"event_type": "auth_failure", "no_such": 1}, "selection | count(src_ip) > 0"),
+    rules.Rule("broken-2", "Unknown comparison", {"http_path__startswith": "/"}, "selection | count(src_ip) > 0"),
+    rules.Rule("broken-3", "Unreadable", {"event_type": "auth_failure"}, "selection"),
+    rules.Rule("broken-4", "Unknown group", {"event_type": "auth_failure"}, "selection | count(no_such) > 0"),
+    rules.Rule("broken-5", "Number and text", {"http_status__gte": "many", "http_path__contains": 7}, "selection | count(src_ip) > 0"),
+)
+
+
+@query(with_alerts(f"SELECT {ALERT_COLUMNS} FROM al"))
+def rule_isolation(spark, d):
+    """Rules that can't run find nothing, and the others find what they find alone."""
+    return alert_columns(rules.alerts(parsed(spark, d), (*BROKEN[:3], *TEST_RULES, *BROKEN[3:]), as_of()))
+
+
 @query(with_alerts("SELECT rule_id, group_value FROM al WHERE NOT (group_value <> 'None' AND c % 2 = 0 AND CASE WHEN rule_id = 'rule-t4' THEN 3600 ELSE c * 100 END <= CASE WHEN rule_id = 'rule-t4' THEN 86400 ELSE 300 END)"))
 def rule_cooldown_tick(spark, d):
     """Earlier alerts, of half of the groups, hold back those whose cooldown isn't over."""
@@ -186,18 +201,18 @@ def judged(spark, d, agree=True):
 VERDICT_SQL = f"{BASE_SQL}, {VOTE_SQL}, vd AS (SELECT window_start, forest_vote, count(*) FILTER (flag) AS flags, (CASE WHEN count(*) FILTER (flag) > 0 THEN 1 ELSE 0 END + CASE WHEN forest_vote THEN 1 ELSE 0 END) / 2.0 AS score FROM sc JOIN vt USING (window_start) GROUP BY window_start, forest_vote)"
 
 
-@query(expected(f", {VERDICT_SQL} SELECT window_start, score::DOUBLE AS score, score > 0 AS is_anomaly, 'combined' AS method, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM vd"))
+@query(expected(f", {VERDICT_SQL} SELECT window_start, score::DOUBLE AS score, score > 0 AS is_anomaly, 'z_score+isolation_forest' AS method, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM vd"))
 def consensus_severity(spark, d):
     return judged(spark, d, agree=False).select("window_start", "score", "is_anomaly", "method", "severity")
 
 
-@query(expected(f", {VERDICT_SQL} SELECT window_start, 'ML Anomaly detected (score=1.00, method=combined)' || chr(10) || 'Window: ' || strftime(make_timestamp(window_start * 1000000), '%Y-%m-%d %H:%M:%S') || ' — ' || strftime(make_timestamp((window_start + 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS head, flags FROM vd WHERE score = 1"))
+@query(expected(f", {VERDICT_SQL} SELECT window_start, 'ML Anomaly detected (score=1.00, method=z_score+isolation_forest)' || chr(10) || 'Window: ' || strftime(make_timestamp(window_start * 1000000), '%Y-%m-%d %H:%M:%S') || ' — ' || strftime(make_timestamp((window_start + 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS head, flags FROM vd WHERE score = 1"))
 def anomaly_messages(spark, d):
     m = judged(spark, d).where("is_anomaly").withColumn("message", anomaly.message(60))
     return m.select("window_start", F.substring_index("message", "\n", 2).alias("head"), F.size("details").cast("long").alias("flags"))
 
 
-@query(recursive(f"{expected('')[5:]}, {VERDICT_SQL}, " + fold_sql("rule_id", "SELECT 'ml-anomaly' AS rule_id, window_start AS ts FROM vd WHERE score > 0", 3 * 3600) + " SELECT fired_at AS window_start, 'ml,anomaly,combined' AS tags FROM walk WHERE fired_at IS NOT NULL"))
+@query(recursive(f"{expected('')[5:]}, {VERDICT_SQL}, " + fold_sql("rule_id", "SELECT 'ml-anomaly' AS rule_id, window_start AS ts FROM vd WHERE score > 0", 3 * 3600) + " SELECT fired_at AS window_start, 'ml,anomaly,z_score+isolation_forest' AS tags FROM walk WHERE fired_at IS NOT NULL"))
 def anomaly_cooldown(spark, d):
     return anomaly.anomaly_alerts(judged(spark, d, agree=False), 3 * 3600).select("window_start", F.array_join("tags", ",").alias("tags"))
 

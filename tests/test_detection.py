@@ -125,3 +125,11 @@ def test_retention_keeps_evidence(spark):
     kept, stay = views.retained(events, alerts, bridge, as_of())
     assert sorted(r.line_id for r in kept.collect()) == [1, 3] and [r.id for r in stay.collect()] == ["young"]
     assert tuple(views.dry_run(events, alerts, bridge, as_of()).first()) == (1, 1)
+
+
+def test_one_bad_rule_stops_no_other(spark):
+    from logmill.plans.detection import BROKEN
+
+    assert [rules.problem_of(r) for r in BROKEN] == ["field unknown: no_such", "comparison unknown: startswith", "condition unreadable", "group is no event column", None]
+    told = {(r.rule_id, r.problem) for r in rules.lint(rules.rule_table(spark, BROKEN)).collect()}
+    assert {("broken-1", "field unknown: no_such"), ("broken-2", "comparison unknown: startswith"), ("broken-3", "condition unreadable"), ("broken-4", "group is no event column")} <= told

@@ -42,3 +42,10 @@ def test_scrub_leaks_nothing(spark):
     again, _ = privacy.scrub(out.select("scope_id", "row_id", F.col("message_scrubbed").alias("message")), "message")
     assert {r.row_id: r.message_scrubbed for r in again.collect()}[1] == rows[1]
     assert labels.where("kind = 'ip'").count() == 2
+
+
+def test_names_of_a_scope_are_replaced_everywhere(spark):
+    texts = [("s", "Accepted password for yasin from 10.0.0.1 port 22"), ("s", "session closed for user yasin"), ("s", "yasin, yasin. (yasin) yasinx"), ("t", "session closed for user yasin")]
+    df = spark.createDataFrame([(s, i, t) for i, (s, t) in enumerate(texts)], "scope_id string, row_id long, message string")
+    rows = {r.row_id: r.message_scrubbed for r in privacy.scrub(df, "message")[0].collect()}
+    assert rows[1] == "session closed for user USER_1" and rows[2] == "USER_1, yasin. (USER_1) yasinx" and rows[3] == texts[3][1]
