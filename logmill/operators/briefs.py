@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmill.operators.privacy import found_ips
+from logmill.operators.privacy import found_ips, scrub
+
+# Fixed value: what stands for the lines of an alert without events.
+NO_EVENTS = "Event detayi mevcut degil."
 
 
 def event_line() -> Column:
@@ -14,15 +17,50 @@ def event_line() -> Column:
 
 
 def briefs(alerts: DataFrame, events: DataFrame, most: int = 10) -> DataFrame:
-    """alert_id, n_events and lines: the newest events of each alert, and how many more there are.
+    """alert_id, n_events, ip_label, user_label, message_scrubbed and lines of each alert: its newest events, and how many more there are.
 
-    events: alert_id and the columns of event_line. Of each alert only the newest ``most`` lines gather.
+    events: alert_id and event columns. Every alert is a scope of its own, in which its own address, user and message come
+    before its events, newest first; of each alert only the newest ``most`` events gather. The raw line is never read.
     """
     nth = F.row_number().over(Window.partitionBy("alert_id").orderBy(F.desc("timestamp"), "line_id"))
-    first = events.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("alert_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", event_line().alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    columns = ["severity", "event_type", "timestamp", "message", "src_ip", "user"]
+    newest_ = events.withColumn("row_id", nth.cast("long")).where(F.col("row_id") <= most).select(F.col("alert_id").alias("scope_id"), "row_id", *columns)
+    head = alerts.select(F.col("id").alias("scope_id"), F.lit(0).cast("long").alias("row_id"), "severity", F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("timestamp").alias("timestamp"), "message", "src_ip", "user")
+    rows, _ = scrub(head.unionByName(newest_), "message", "src_ip", "user")
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("row_id") > 0, F.struct("row_id", event_line().alias("line"))))), lambda x: x["line"]), "\n")
+    own = lambda c: F.max(F.when(F.col("row_id") == 0, F.col(c))).alias(c)
+    labelled = rows.groupBy(F.col("scope_id").alias("alert_id")).agg(own("ip_label"), own("user_label"), own("message_scrubbed"), lines.alias("lines"))
     n = events.groupBy("alert_id").agg(F.count("*").alias("n_events"))
-    more = F.when(F.col("n_events") > most, F.concat("lines", F.lit("\n  ... ve "), (F.col("n_events") - most).cast("string"), F.lit(" event daha"))).otherwise(F.col("lines"))
-    return alerts.select(F.col("id").alias("alert_id")).join(n, "alert_id", "left").join(first, "alert_id", "left").select("alert_id", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce(more, F.lit("Event detayi mevcut degil.")).alias("lines"))
+    text = F.when(F.col("n_events") > most, F.concat("lines", F.lit("\n  ... ve "), (F.col("n_events") - most).cast("string"), F.lit(" event daha"))).when(F.col("n_events") > 0, F.col("lines")).otherwise(NO_EVENTS)
+    return labelled.join(n, "alert_id", "left").select("alert_id", F.coalesce("n_events", F.lit(0)).alias("n_events"), "ip_label", "user_label", "message_scrubbed", text.alias("lines"))
+
+
+def digest(alerts: DataFrame, events: DataFrame, as_of: Column, hours: int = 24, last_alerts: int = 5, last_events: int = 10, ips: int = 5, cut: int = 100) -> DataFrame:
+    """part, nth and text of the newest alerts, the most frequent addresses and the newest events, in one scope, and the severities of the last hours.
+
+    Alerts come first in the numbering of labels, then addresses, then events. Only these few rows are labelled.
+    """
+    since = events.where(F.col("timestamp") >= as_of - F.expr(f"interval {hours} hours"))
+    first = lambda df, by, k: df.withColumn("nth", F.row_number().over(Window.orderBy(*by)).cast("long")).where(F.col("nth") <= k)
+    columns = ["severity", "title", "source", "event_type", "status", "timestamp", "count", "message", "src_ip", "user"]
+
+    def rows(df: DataFrame, part: str, at: int) -> DataFrame:
+        text = {"timestamp": "timestamp", "count": "long"}
+        more = [F.lit(None).cast(text.get(c, "string")).alias(c) for c in columns if c not in df.columns]
+        return df.select("*", *more).select(F.lit(1).alias("scope_id"), (F.col("nth") + at).alias("row_id"), F.lit(part).alias("part"), "nth", *[F.col(c) for c in columns])
+
+    a = first(newest(alerts, "created_at", "id", last_alerts), [F.desc("created_at"), "id"], last_alerts).select("nth", "severity", F.col("rule_title").alias("title"), "status", "message", "src_ip", "user")
+    counts = since.where("src_ip is not null").groupBy("src_ip").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "src_ip").limit(ips)
+    t = first(counts, [F.desc("count"), "src_ip"], ips)
+    e = first(newest(events.select("timestamp", "line_id", "severity", "source", "event_type", "src_ip", "user"), "timestamp", "line_id", last_events), [F.desc("timestamp"), "line_id"], last_events).drop("line_id")
+    known, _ = scrub(rows(a, "alert", 0).unionByName(rows(t, "ip", last_alerts)).unionByName(rows(e, "event", last_alerts + ips)), "message", "src_ip", "user")
+    line = (
+        F.when(F.col("part") == "alert", F.format_string("  - [%s] %s | IP: %s | Status: %s | %s", "severity", "title", "ip_label", "status", F.substring("message_scrubbed", 1, cut)))
+        .when(F.col("part") == "ip", F.format_string("  - %s: %s event", "ip_label", F.col("count").cast("string")))
+        .otherwise(F.format_string("  - [%s] %s/%s | IP: %s | User: %s | %s", "severity", "source", "event_type", "ip_label", "user_label", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")))
+    )
+    severities = since.groupBy("severity").agg(F.count("*").alias("n")).select(F.lit("severity").alias("part"), F.lit(0).cast("long").alias("nth"), F.format_string("%s: %s", "severity", F.col("n").cast("string")).alias("text"))
+    return known.select("part", "nth", line.alias("text")).unionByName(severities)
 
 
 def situation(events: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame:

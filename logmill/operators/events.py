@@ -27,7 +27,7 @@ def decode(envelopes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     defaults = {"host": "unknown", "event_type": "unknown", "severity": "info", "message": "", "raw": ""}
     core = [F.coalesce(F.try_to_timestamp("d.timestamp"), now).alias(c) if c == "timestamp" else F.coalesce(F.col(f"d.{c}"), F.lit(defaults[c])).alias(c) if c in defaults else F.col(f"d.{c}") for c in CORE]
     good = read.where(~poison).select("line_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.try_to_timestamp("collected_at").alias("collected_at"), *core, F.struct(*[F.col(f"d.{k}") for k in EXTRA]).alias("extra"))
-    return good, envelopes.join(read.where(poison).select("line_id"), "line_id", "left_semi")
+    return good, read.where(poison).select(*envelopes.columns)
 
 
 def with_id(events: DataFrame) -> DataFrame:
@@ -49,5 +49,5 @@ def ingest_lag(events: DataFrame, created_at: Column) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Append to the event table, a folder for each date."""
-    events.withColumn("event_date", F.to_date("timestamp")).repartition("event_date").sortWithinPartitions("timestamp").write.mode("append").partitionBy("event_date").parquet(path)
+    """Append to the event table, a folder for each date; a date with many rows is split over tasks and files, small ones share a task."""
+    events.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date").sortWithinPartitions("timestamp").write.mode("append").partitionBy("event_date").parquet(path)

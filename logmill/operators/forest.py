@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmill.operators.features import FEATURES
+from logmill.session import shared_dir
 
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.1, 42
 
@@ -71,6 +72,9 @@ def score(windows: DataFrame, forest: DataFrame, contamination: float = CONTAMIN
             yield pd.DataFrame({"window_start": pdf["window_start"], "raw": -np.power(2.0, -depth / len(shared.value) / norm)})
 
     raw = windows.select("window_start", *[F.col(f).cast("double") for f in FEATURES]).mapInPandas(apply, "window_start long, raw double")
+    place = f"{shared_dir(windows.sparkSession)}/raw"  # stored, since the limit and the rows would each score all windows
+    raw.write.parquet(place)
+    raw = windows.sparkSession.read.schema(raw.schema).parquet(place)
     limit = F.broadcast(raw.agg(F.percentile("raw", contamination).alias("limit")))  # one row
     decision = F.round(F.col("raw") - F.col("limit"), 4)
     return raw.join(limit).select("window_start", decision.alias("decision"), (F.col("raw") < F.col("limit")).alias("forest_vote"))

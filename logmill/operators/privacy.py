@@ -124,23 +124,26 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(runs, F.transform(runs, lambda t: F.regexp_replace(t, r"^[.-]+|[.-]+$", ""))))
 
 
-def scrub(df: DataFrame, text: str, position: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def scrub(df: DataFrame, text: str, ip: str | None = None, user: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Add <text>_scrubbed to df (scope_id, row_id, text) and give the labels (scope_id, kind, value, label).
 
-    Values are numbered by row_id and place in the text. A name that one row of a scope shows is replaced in all rows of
-    the scope, wherever it stands as a whole word. A null text is an empty one.
+    Values are numbered by row_id and place in the text; what stands in the columns ip and user comes before the text of
+    its row, and ip_label and user_label (N/A without a value) are added for them. A name that one row of a scope shows is
+    replaced in all rows of the scope, wherever it stands as a whole word. A null text is an empty one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    at = lambda c: F.posexplode(c).alias("p", "value")
-    place = F.struct("row_id", "p").alias("position")
-    ips = ip_labels(df.select("scope_id", "row_id", at(found_ips(t))).select("scope_id", place, "value"))
-    users = user_labels(df.select("scope_id", "row_id", at(found_users(t))).select("scope_id", place, "value"))
+    field = lambda c: F.array(F.col(c)) if c else F.array().cast("array<string>")
+    seen = lambda c, found: df.select("scope_id", "row_id", F.posexplode(F.concat(field(c), found)).alias("p", "value")).select("scope_id", F.struct("row_id", "p").alias("position"), "value")
+    ips, users = ip_labels(seen(ip, found_ips(t))), user_labels(seen(user, found_users(t)))
     labels = ips.withColumn("kind", F.lit("ip")).unionByName(users.withColumn("kind", F.lit("user")))
     pair = F.struct("value", "label")
-    per_row = lambda found, own: df.select("scope_id", "row_id", F.explode(F.array_distinct(found)).alias("value")).join(own, ["scope_id", "value"]).groupBy("scope_id", "row_id").agg(F.collect_list(pair).alias("m"))
-    out = df.join(per_row(found_ips(t), ips).withColumnRenamed("m", "lm_ips"), ["scope_id", "row_id"], "left").join(per_row(F.concat(found_users(t), tokens(t)), users).withColumnRenamed("m", "lm_users"), ["scope_id", "row_id"], "left")
+    per_row = lambda found, own, name: df.select("scope_id", "row_id", F.explode(F.array_distinct(found)).alias("value")).join(own, ["scope_id", "value"]).groupBy("scope_id", "row_id").agg(F.collect_list(pair).alias(name))
+    out = df.join(per_row(F.concat(field(ip), found_ips(t)), ips, "lm_ips"), ["scope_id", "row_id"], "left").join(per_row(F.concat(field(user), found_users(t), tokens(t)), users, "lm_users"), ["scope_id", "row_id"], "left")
     none = F.array().cast("array<struct<value:string,label:string>>")
     lm_ips, lm_users = F.coalesce("lm_ips", none), F.coalesce("lm_users", none)
-    label = lambda v: F.get(F.transform(F.filter(lm_ips, lambda x: x["value"] == v), lambda x: x["label"]), 0)
-    done = hide_commands(replace_names(replace_ips(t, label), lm_users))
-    return out.withColumn(f"{text}_scrubbed", done).drop("lm_ips", "lm_users"), labels
+    label = lambda pairs, v: F.get(F.transform(F.filter(pairs, lambda x: x["value"] == v), lambda x: x["label"]), 0)
+    done = {f"{text}_scrubbed": hide_commands(replace_names(replace_ips(t, lambda v: label(lm_ips, v)), lm_users))}
+    for c, name, pairs in ((ip, "ip_label", lm_ips), (user, "user_label", lm_users)):
+        if c:
+            done[name] = F.when(F.coalesce(F.col(c), F.lit("")).isin("", "N/A"), "N/A").otherwise(F.coalesce(label(pairs, F.col(c)), F.col(c)))
+    return out.withColumns(done).drop("lm_ips", "lm_users"), labels

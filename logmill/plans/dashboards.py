@@ -186,20 +186,39 @@ def label_summary(spark, d):
     return privacy.summary(all_labels(spark, d))
 
 
-@query("""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b'), lambda x: regexp_matches(x, '^(?:(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)$'))) AS BIGINT) AS addresses, CAST(0 AS BIGINT) AS left_over
-    FROM documents WHERE regexp_matches(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b')""")
+DOC_IPS = f"list_filter(regexp_extract_all(text, '{privacy.LOOSE}'), lambda x: regexp_matches(x, '{privacy.IPV4}') OR regexp_matches(x, '^(?:{privacy.H}:){{7}}{privacy.H}$') OR (length(x) - length(replace(x, ':', '')) <= 7 AND regexp_matches(x, '^(?:{privacy.H}(?::{privacy.H})*)?::(?:{privacy.H}(?::{privacy.H})*)?$')))"
+
+
+@query(f"SELECT doc_id, CAST(coalesce(len({DOC_IPS}), 0) AS BIGINT) AS addresses, coalesce(array_to_string({DOC_IPS}, ' '), '') AS found, CAST(0 AS BIGINT) AS left_over FROM documents")
 def scrub_ips_docs(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").rlike(privacy.IPV4_LOOSE)).select("doc_id", "text")
-    gone = privacy.replace_ips(F.col("text"), lambda v: F.lit("IP"))
-    v4 = lambda t: F.size(F.filter(F.regexp_extract_all(t, F.lit(privacy.IPV4_LOOSE), F.lit(0)), lambda x: x.rlike(privacy.IPV4))).cast("long")
-    return docs.select("doc_id", v4(F.col("text")).alias("addresses"), v4(gone).alias("left_over"))
+    text = F.coalesce("text", F.lit(""))
+    gone = privacy.replace_ips(text, lambda v: F.lit("IP"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(privacy.found_ips(text)).cast("long").alias("addresses"), F.array_join(privacy.found_ips(text), " ").alias("found"), F.size(privacy.found_ips(gone)).cast("long").alias("left_over"))
+
+
+def message_sql(u, ip, dst):
+    """The scrubbed message of a row of good with these labels."""
+    packet = f"'IN=eth0 OUT= SRC=' || {ip} || ' DST=' || {dst} || ' LEN=60 PROTO=TCP SPT=' || port || ' DPT=' || (k + 20) || ' LEN=40'"
+    return f"""CASE kind WHEN 'click' THEN click_message
+        WHEN 'error' THEN CASE WHEN k % 10 <= 6 THEN 'Failed password for ' || CASE WHEN k % 10 > 4 THEN 'invalid user ' ELSE '' END || {u} || ' from ' || {ip} || ' port ' || port || ' ssh2' WHEN k % 10 = 7 THEN 'Invalid user ' || {u} || ' from ' || {ip} || ' port ' || port
+            WHEN k % 10 = 8 THEN 'pam_unix(sshd:auth): authentication failure; logname= uid=0 euid=0 tty=ssh ruser= rhost=' || {ip} || ' user=' || {u} ELSE 'Connection closed by authenticating user ' || {u} || ' ' || {ip} || ' port ' || port || ' [preauth]' END
+        WHEN 'purchase' THEN {u} || CASE WHEN k % 10 < 9 THEN ' : TTY=pts/0 ; PWD=<gizlendi> ; USER=root ; COMMAND=apt' ELSE ' : 3 incorrect password attempts ; TTY=pts/0 ; PWD=<gizlendi> ; USER=root ; COMMAND=sh' END
+        WHEN 'signup' THEN CASE WHEN k % 10 < 8 THEN 'Accepted publickey for ' || {u} || ' from ' || {ip} || ' port ' || port || ' ssh2' ELSE 'new user: name=' || {u} || ', UID=1001, GID=1001, home=/home/' || {u} END
+        ELSE CASE WHEN k % 2 = 0 THEN '[UFW BLOCK] ' || {packet} WHEN k % 10 = 1 THEN '[UFW AUDIT] ' || {packet} ELSE 'Started unit' || k || '.service' END END"""
 
 
-@query(expected(f""", f AS (SELECT host, u, min(event_id) AS p FROM good WHERE source = 'auth' AND kind = 'purchase' GROUP BY ALL), l AS (SELECT host, u, 'USER_' || row_number() OVER (PARTITION BY host ORDER BY p, u) AS label FROM f)
-    SELECT good.event_id AS line_id, label || ' : TTY=pts/0 ; PWD=<gizlendi> ; USER=root ; COMMAND=apt' AS message_scrubbed FROM good JOIN l USING (host, u) WHERE event_type = 'sudo_command'"""))
+def numbers_sql(scope, values, prefix):
+    """scope, v and its label l of values (scope, v, p)."""
+    kind = "|| CASE WHEN starts_with(v, '10.') THEN ' (yerel)' ELSE ' (harici)' END" if prefix == "IP_" else ""
+    return f"(SELECT {scope}, v, '{prefix}' || row_number() OVER (PARTITION BY {scope} ORDER BY min(p), v) {kind} AS l FROM ({values}) WHERE v IS NOT NULL GROUP BY {scope}, v)"
+
+
+@query(expected(f""", il AS {numbers_sql("host", "SELECT host, src_ip AS v, event_id * 2 AS p FROM good WHERE kind <> 'click' UNION ALL SELECT host, dst_ip, event_id * 2 + 1 FROM good", "IP_")},
+    ul AS {numbers_sql("host", "SELECT host, u AS v, event_id AS p FROM good WHERE kind IN ('error', 'signup', 'purchase')", "USER_")}
+    SELECT event_id AS line_id, {message_sql("ul.l", "sl.l", "dl.l")} AS message_scrubbed FROM good LEFT JOIN ul ON good.host = ul.host AND u = ul.v LEFT JOIN il AS sl ON good.host = sl.host AND src_ip = sl.v LEFT JOIN il AS dl ON good.host = dl.host AND dst_ip = dl.v"""))
 def scrub_messages(spark, d):
-    sudo = snapshot(parsed(spark, d).where(F.col("process") == "sudo").select(F.col("host").alias("scope_id"), F.col("line_id").alias("row_id"), "event_type", "message"))
-    return privacy.scrub(sudo, "message")[0].where("event_type = 'sudo_command'").select(F.col("row_id").alias("line_id"), "message_scrubbed")
+    rows = snapshot(parsed(spark, d).select(F.col("host").alias("scope_id"), F.col("line_id").alias("row_id"), "message"))
+    return privacy.scrub(rows, "message")[0].select(F.col("row_id").alias("line_id"), "message_scrubbed")
 
 
 @query(expected(""", f AS (SELECT host, u, min(event_id) AS p FROM good WHERE source = 'auth' AND kind = 'purchase' GROUP BY ALL), l AS (SELECT host, u, 'USER_' || row_number() OVER (PARTITION BY host ORDER BY p, u) AS label FROM f)
@@ -212,16 +231,18 @@ def scrub_scope(spark, d):
     return out.where(F.col("row_id") >= 1 << 40).select((F.col("row_id") - (1 << 40)).alias("line_id"), "message_scrubbed")
 
 
-@query(with_alerts("SELECT id AS alert_id, c AS n_events, least(c, 10) + CASE WHEN c > 10 THEN 1 ELSE 0 END AS n_lines, CASE WHEN c > 10 THEN '  ... ve ' || (c - 10) || ' event daha' END AS more FROM al"))
+@query(with_alerts(f""", bn AS (SELECT alert_id, good.*, row_number() OVER (PARTITION BY alert_id ORDER BY t DESC, event_id) AS nth FROM br JOIN good USING (event_id) QUALIFY nth <= 10),
+    il AS {numbers_sql("alert_id", "SELECT id AS alert_id, src_ip AS v, 0 AS p FROM al UNION ALL SELECT alert_id, src_ip, nth FROM bn", "IP_")},
+    ul AS {numbers_sql("alert_id", "SELECT id AS alert_id, CASE WHEN gb = 'user' THEN group_value END AS v, 0 AS p FROM al UNION ALL SELECT alert_id, " + '"user"' + ", nth FROM bn", "USER_")},
+    bl AS (SELECT bn.alert_id, string_agg('  - [' || severity || '] ' || event_type || ' | IP: ' || coalesce(il.l, 'N/A') || ' | User: ' || coalesce(ul.l, 'N/A') || ' | Time: ' || strftime(t, '%Y-%m-%d %H:%M:%S') || ' | ' || {message_sql("ul.l", "il.l", "''")}, chr(10) ORDER BY nth) AS x
+        FROM bn LEFT JOIN il ON bn.alert_id = il.alert_id AND src_ip = il.v LEFT JOIN ul ON bn.alert_id = ul.alert_id AND "user" = ul.v GROUP BY 1)
+    SELECT id AS alert_id, c AS n_events, coalesce(il.l, 'N/A') AS ip_label, CASE WHEN "user" IS NULL THEN 'N/A' ELSE ul.l END AS user_label,
+        rule_title || ': ' || c || ' events detected from ' || gb || '=' || CASE gb WHEN 'user' THEN ul.l ELSE il.l END || ' in last ' || tf AS message_scrubbed, x || CASE WHEN c > 10 THEN chr(10) || '  ... ve ' || (c - 10) || ' event daha' ELSE '' END AS lines
+    FROM al JOIN bl ON bl.alert_id = id LEFT JOIN il ON il.alert_id = id AND src_ip = il.v LEFT JOIN ul ON ul.alert_id = id AND gb = 'user' AND group_value = ul.v"""))
 def alert_brief(spark, d):
     e = event_table(spark, d)
-    a = raised(e)
-    own = snapshot(views.events_of(a.select(F.col("id").alias("alert_id")), bridge(e, a), e))
-    rows, _ = privacy.scrub(own.withColumns({"scope_id": F.col("alert_id"), "row_id": F.col("line_id")}), "message")
-    labelled = snapshot(rows.withColumns({"ip_label": F.lit("IP"), "user_label": F.lit("USER")}))
-    b = briefs.briefs(a, labelled)
-    last = F.substring_index("lines", "\n", -1)
-    return b.select("alert_id", "n_events", F.size(F.split("lines", "\n")).cast("long").alias("n_lines"), F.when(last.startswith("  ..."), last).alias("more"))
+    a = snapshot(raised(e))
+    return briefs.briefs(a, snapshot(views.events_of(a.select(F.col("id").alias("alert_id")), bridge(e, a), e)))
 
 
 @query(with_alerts(f"SELECT * FROM (SELECT count(*) AS events, count(*) FILTER (t >= {NOW} - INTERVAL 24 HOUR) AS events_24h, count(*) FILTER (t >= {NOW} - INTERVAL 1 HOUR) AS events_1h FROM good), (SELECT count(*) AS alerts, count(*) FILTER (status = 'new') AS new_alerts FROM al)"))
@@ -230,24 +251,30 @@ def situation_context(spark, d):
     return briefs.situation(e, raised(e), as_of())
 
 
-@query(with_alerts(""", q AS (SELECT DISTINCT src_ip FROM good WHERE event_type = 'firewall_block' AND k = 0),
+@query(with_alerts(""", q AS (SELECT DISTINCT src_ip FROM good WHERE src_ip IS NOT NULL),
     o AS (SELECT good.* FROM good JOIN q USING (src_ip)), ty AS (SELECT src_ip, event_type, count(*) AS n FROM o GROUP BY ALL),
     rk AS (SELECT src_ip, event_id, row_number() OVER (PARTITION BY src_ip ORDER BY t DESC, event_id DESC) AS r FROM o)
     SELECT src_ip, (SELECT count(*) FROM o WHERE o.src_ip = q.src_ip) AS total, (SELECT string_agg(event_type || '=' || n, ',' ORDER BY n DESC, event_type) FROM ty WHERE ty.src_ip = q.src_ip) AS types,
         (SELECT count(*) FROM al WHERE al.src_ip = q.src_ip) AS n_alerts, (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r) FROM rk WHERE rk.src_ip = q.src_ip AND r <= 5) AS last_events FROM q"""))
 def ip_dossier(spark, d):
     e = event_table(spark, d)
-    questions = e.where("event_type = 'firewall_block' and dst_port = 20").select(F.col("line_id").alias("question_id"), F.concat(F.lit("What did "), "src_ip", F.lit(" do? 999.1.1.1 at 14:23:01")).alias("text"))
+    questions = e.where("src_ip is not null").select(F.col("line_id").alias("question_id"), F.concat(F.lit("What did "), "src_ip", F.lit(" do? 999.1.1.1 at 14:23:01")).alias("text"))
     return briefs.dossiers(briefs.asked_ips(questions, "question_id", "text").select("src_ip").distinct(), e, raised(e))
 
 
-@query(with_alerts(f"""SELECT * FROM (SELECT 'alert' AS part, id AS key, left(message, 100) AS text FROM al ORDER BY created_at DESC, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'event', CAST(event_id AS VARCHAR), event_type FROM good ORDER BY t DESC, event_id LIMIT 10)
-    UNION ALL SELECT 'severity', severity, CAST(count(*) AS VARCHAR) FROM good WHERE {RECENT} GROUP BY severity UNION ALL SELECT * FROM (SELECT 'ip', src_ip, CAST(count(*) AS VARCHAR) FROM good WHERE {RECENT} AND src_ip IS NOT NULL GROUP BY src_ip ORDER BY count(*) DESC, src_ip LIMIT 5)"""))
+@query(with_alerts(f""", da AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS nth FROM al QUALIFY nth <= 5),
+    dt AS (SELECT src_ip, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, src_ip) AS nth FROM good WHERE {RECENT} AND src_ip IS NOT NULL GROUP BY src_ip QUALIFY nth <= 5),
+    de AS (SELECT *, row_number() OVER (ORDER BY t DESC, event_id) AS nth FROM good QUALIFY nth <= 10),
+    il AS {numbers_sql("z", "SELECT 1 AS z, src_ip AS v, nth AS p FROM da UNION ALL SELECT 1, src_ip, nth + 5 FROM dt UNION ALL SELECT 1, src_ip, nth + 10 FROM de", "IP_")},
+    ul AS {numbers_sql("z", "SELECT 1 AS z, CASE WHEN gb = 'user' THEN group_value END AS v, nth AS p FROM da UNION ALL SELECT 1, " + '"user"' + ", nth + 10 FROM de", "USER_")}
+    SELECT 'alert' AS part, nth, '  - [' || severity || '] ' || rule_title || ' | IP: ' || coalesce(il.l, 'N/A') || ' | Status: ' || status || ' | ' || left(rule_title || ': ' || c || ' events detected from ' || gb || '=' || CASE gb WHEN 'user' THEN ul.l ELSE il.l END || ' in last ' || tf, 100) AS text
+        FROM da LEFT JOIN il ON src_ip = il.v LEFT JOIN ul ON gb = 'user' AND group_value = ul.v
+    UNION ALL SELECT 'ip', nth, '  - ' || il.l || ': ' || n || ' event' FROM dt JOIN il ON src_ip = il.v
+    UNION ALL SELECT 'event', nth, '  - [' || severity || '] ' || source || '/' || event_type || ' | IP: ' || coalesce(il.l, 'N/A') || ' | User: ' || coalesce(ul.l, 'N/A') || ' | ' || strftime(t, '%Y-%m-%d %H:%M:%S') FROM de LEFT JOIN il ON src_ip = il.v LEFT JOIN ul ON "user" = ul.v
+    UNION ALL SELECT 'severity', 0, severity || ': ' || count(*) FROM good WHERE {RECENT} GROUP BY severity"""))
 def recent_digest(spark, d):
     e = event_table(spark, d)
-    part = lambda df, name, key, text: df.select(F.lit(name).alias("part"), F.col(key).cast("string").alias("key"), text.cast("string").alias("text"))
-    out = part(briefs.newest(raised(e), "created_at", "id", 5), "alert", "id", F.substring("message", 1, 100)).union(part(briefs.newest(e, "timestamp", "line_id", 10), "event", "line_id", F.col("event_type")))
-    return out.union(part(views.distribution(recent(e), "severity"), "severity", "severity", F.col("count"))).union(part(views.top(recent(e), "src_ip"), "ip", "src_ip", F.col("count")))
+    return briefs.digest(raised(e), e, as_of(), hours=96)
 
 
 @query(with_alerts("SELECT id, CASE WHEN c % 2 = 0 AND (llm_analysis = '' OR severity = 'high') THEN 'fresh' ELSE llm_analysis END AS llm_analysis, llm_analysis = '' OR severity = 'high' AS was_queued FROM al"))

@@ -26,10 +26,17 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.trim("value") != "")
 
 
-def read_text(spark: SparkSession, source: dict, stream: bool = False) -> DataFrame:
-    """value and source of every line of a text log; bytes that aren't UTF-8 become U+FFFD. stream: only what arrives, with replay by checkpoint."""
+def read_text(spark: SparkSession, source: dict, stream: bool = False, since: Column | None = None) -> DataFrame:
+    """value and source of every line of a text log; bytes that aren't UTF-8 become U+FFFD.
+
+    stream: files as they arrive, each once by the checkpoint, from the first file on. With since only files changed at
+    that time or later are read, so a stream that starts at the present leaves out what is there already.
+    """
     reader = spark.readStream if stream else spark.read
-    return tidy(reader.text(source["path"])).withColumn("source", F.lit(source["name"]))
+    lines = reader.text(source["path"])
+    if since is not None:
+        lines = lines.where(F.col("_metadata.file_modification_time") >= since)
+    return tidy(lines).withColumn("source", F.lit(source["name"]))
 
 
 def read_sources(spark: SparkSession, sources: list[dict]) -> DataFrame:
@@ -53,8 +60,12 @@ def not_ignored(lines: DataFrame, sources: list[dict]) -> DataFrame:
     return lines.where(~ignored(sources))
 
 
-def accounting(lines: DataFrame, parsed: DataFrame, sources: list[dict], key: str = "line_id") -> DataFrame:
-    """Per source the lines ignored, parsed and unparsed, so that nothing is dropped silently."""
-    seen = parsed.select(key, F.lit(True).alias("lm_ok"))
-    marked = lines.withColumn("lm_ignored", ignored(sources)).join(seen, key, "left")
-    return marked.groupBy("source").agg(F.count_if("lm_ignored").alias("ignored"), F.count_if(~F.col("lm_ignored") & F.col("lm_ok").isNotNull()).alias("parsed"), F.count_if(~F.col("lm_ignored") & F.col("lm_ok").isNull()).alias("unparsed"))
+def accounting(lines: DataFrame, parsed: DataFrame, sources: list[dict]) -> DataFrame:
+    """Per source the lines ignored, parsed and unparsed, so that nothing is dropped silently.
+
+    parsed has an event for each line that isn't ignored and could be parsed. Only counts are shuffled.
+    """
+    seen = lines.groupBy("source").agg(F.count("*").alias("lm_all"), F.count_if(ignored(sources)).alias("ignored"))
+    good = parsed.groupBy("source").agg(F.count("*").alias("lm_parsed"))
+    done = F.coalesce("lm_parsed", F.lit(0))
+    return seen.join(good, "source", "left").select("source", "ignored", done.alias("parsed"), (F.col("lm_all") - F.col("ignored") - done).alias("unparsed"))

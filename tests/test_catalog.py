@@ -11,7 +11,7 @@ import __spark_entry__ as entry_point
 from logmill import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["parse_all_normalised", "envelope_roundtrip", "all_rules_alerts", "rule_replay", "feature_series_filled", "rolling_baseline", "consensus_severity", "retention_keep", "label_map", "scrub_messages", "ip_dossier", "notify_text", "stream_cooldown", "stream_features", "stream_dedup"]
+SOME = ["parse_all_normalised", "envelope_roundtrip", "all_rules_alerts", "rule_replay", "feature_series_filled", "rolling_baseline", "consensus_severity", "retention_keep", "label_map", "scrub_messages", "scrub_ips_docs", "alert_brief", "recent_digest", "ignore_accounting", "poison_quarantine", "event_sink_roundtrip", "ip_dossier", "notify_text", "stream_cooldown", "stream_features", "stream_dedup"]
 
 
 def plain(v):

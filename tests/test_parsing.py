@@ -1,5 +1,6 @@
 """Parsers, stamps and the line sources against hand-written values."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -9,6 +10,7 @@ from logmill.functions.stamps import access_stamp, bsd_stamp, duration_seconds,
 from logmill.operators.parse import parse_access, parse_auth, parse_lines, parse_syslog, parser_for
 from logmill.operators.rules import seconds
 from logmill.sources.lines import load_sources, not_ignored, read_text, tidy
+from logmill.streaming.streams import run
 
 NOW = "2026-10-12 16:15:00"
 AUTH = [
@@ -102,3 +104,22 @@ def test_sources(spark, tmp_path):
     assert parser_for("syslog", "my_auth") is parse_auth and parser_for("other", "x") is None
     with pytest.raises(ValueError):
         parse_lines(table(spark, ["x"]), [{"name": "x", "type": "other"}], now())
+
+
+def test_a_stream_from_the_start_or_the_present(spark, tmp_path):
+    """A stream reads each file once; with since it leaves out what was there before."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.log").write_text("old 1\nold 2\n")
+    os.utime(logs / "a.log", (1_700_000_000, 1_700_000_000))
+    source = {"name": "s", "type": "syslog", "path": str(logs)}
+    since = F.timestamp_seconds(F.lit(1_700_000_060))
+
+    def arrived(name, **more):
+        return sorted(r.value for r in run(read_text(spark, source, stream=True, **more), str(tmp_path / name)).collect())
+
+    assert arrived("all") == ["old 1", "old 2"] and arrived("new", since=since) == []
+    (logs / "b.log").write_text("new 1\n\n")
+    os.utime(logs / "b.log", (1_700_000_060, 1_700_000_060))
+    assert arrived("all") == ["new 1", "old 1", "old 2"] and arrived("new", since=since) == ["new 1"]
+    assert sorted(r.value for r in read_text(spark, source, since=since).collect()) == ["new 1"]

@@ -4,7 +4,7 @@ import ipaddress
 
 from pyspark.sql import functions as F
 
-from logmill.operators import privacy
+from logmill.operators import briefs, privacy
 
 SUDO = "maria : TTY=pts/0 ; PWD=/home/maria ; USER=root ; COMMAND=/usr/bin/apt install /home/maria/x.deb"
 
@@ -49,3 +49,18 @@ def test_names_of_a_scope_are_replaced_everywhere(spark):
     df = spark.createDataFrame([(s, i, t) for i, (s, t) in enumerate(texts)], "scope_id string, row_id long, message string")
     rows = {r.row_id: r.message_scrubbed for r in privacy.scrub(df, "message")[0].collect()}
     assert rows[1] == "session closed for user USER_1" and rows[2] == "USER_1, yasin. (USER_1) yasinx" and rows[3] == texts[3][1]
+
+
+def test_columns_come_before_the_text(spark):
+    rows = [("s", 0, "1.1.1.1", "ayla", "from 2.2.2.2 for user=can"), ("s", 1, None, "root", "ayla and 1.1.1.1"), ("s", 2, "N/A", "", None), ("s", 3, "host-a", None, "x")]
+    out, labels = privacy.scrub(spark.createDataFrame(rows, "scope_id string, row_id long, src_ip string, user string, message string"), "message", "src_ip", "user")
+    got = {r.row_id: (r.ip_label, r.user_label, r.message_scrubbed) for r in out.collect()}
+    assert got[0] == ("IP_1 (harici)", "USER_1", "from IP_2 (harici) for user=USER_2")
+    assert got[1] == ("N/A", "root", "USER_1 and IP_1 (harici)") and got[2] == ("N/A", "N/A", "") and got[3] == ("IP_3 (bilinmiyor)", "N/A", "x")
+    assert labels.count() == 5
+
+
+def test_an_alert_without_events_has_a_brief(spark):
+    alerts = spark.createDataFrame([("a", "high", "by user=can", None, "can")], "id string, severity string, message string, src_ip string, user string")
+    events = spark.createDataFrame([], "alert_id string, line_id long, severity string, event_type string, timestamp timestamp, message string, src_ip string, user string")
+    assert [tuple(r) for r in briefs.briefs(alerts, events).collect()] == [("a", 0, "N/A", "USER_1", "by user=USER_1", briefs.NO_EVENTS)]
