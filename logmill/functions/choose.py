@@ -33,6 +33,14 @@ def group(text: str | Column, pattern: str, n: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
+def captures(text: Column, pattern: str, groups: int) -> Column:
+    """All captures of the first match in one pass: an array whose element 0 is empty, captures that are absent are empty too.
+
+    The text must not hold a line break. Without a match the array has one element, the text.
+    """
+    return F.split(F.regexp_replace(text, f"^.*?(?:{pattern}).*$", "".join(f"\n${i + 1}" for i in range(groups))), "\n")
+
+
 def contains_any(text: Column, parts) -> Column:
     """Whether the text has one of the parts."""
     return text.rlike("|".join(rf"\Q{p}\E" for p in parts))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def iso_stamp(text: Column, now: Column) -> Column:
     """ISO 8601 with Z or an offset and any fraction, cut to microseconds; no offset means UTC; bad text means now."""
-    return F.coalesce(F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{6})\d+", "$1")), now)
+    zoned = F.regexp_replace(text, r"(:\d{2}:\d{2}(?:\.\d+)?)$", "$1Z")  # in any session zone
+    return F.coalesce(F.try_to_timestamp(F.regexp_replace(zoned, r"(\.\d{6})\d+", "$1")), now)
 
 
 def bsd_stamp(text: Column, now: Column, zone: str = "UTC") -> Column:
@@ -17,7 +18,7 @@ def bsd_stamp(text: Column, now: Column, zone: str = "UTC") -> Column:
     squeezed = F.regexp_replace(text, r"\s+", " ")
 
     def in_year(year: Column) -> Column:
-        return F.to_utc_timestamp(F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), squeezed), F.lit("yyyy MMM d HH:mm:ss")), zone)
+        return F.to_utc_timestamp(F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), squeezed, F.lit(" Z")), F.lit("yyyy MMM d HH:mm:ss X")), zone)
 
     this, last = in_year(F.year(now)), in_year(F.year(now) - 1)
     return F.coalesce(F.when(this > now + F.expr("interval 1 day"), F.coalesce(last, this)).otherwise(F.coalesce(this, last)), now)

@@ -5,10 +5,12 @@ Each parser drops lines that don't have its format. Unmatched captures are null.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.functions.choose import contains_any, first_case, group, once, unpack
+from logmill.functions.choose import captures, contains_any, first_case, once, unpack
 from logmill.functions.stamps import access_stamp, syslog_stamp
 
 CORE = ["timestamp", "host", "event_type", "severity", "src_ip", "dst_ip", "src_port", "dst_port", "user", "process", "pid", "message", "raw"]
@@ -44,11 +46,16 @@ SUSPICIOUS_AGENTS = (
 
 
 def framed(lines: DataFrame, now: Column, zone: str = "UTC") -> DataFrame:
-    """Syslog frame: timestamp, host, process, pid and message; lines without it are dropped."""
-    has = lines.where(F.col("value").rlike(FRAME))
-    part = lambda n: F.regexp_extract("value", FRAME, n)
-    split = has.select("*", once(part(1).alias("lm_ts"), part(2).alias("host"), part(3).alias("process"), part(4).try_cast("int").alias("pid"), part(5).alias("message")))
-    return split.withColumns({"timestamp": syslog_stamp(F.col("lm_ts"), now, zone), "raw": F.col("value")}).drop("lm_ts")
+    """Syslog frame: timestamp, host, process, pid and message; lines without it are dropped.
+
+    One pass puts the parts in an array, the stamp last, since the others can't hold a line break. A line with the
+    frame never begins with one, so the empty first element tells which lines have it.
+    """
+    parts = lines.select("*", once(F.split(F.regexp_replace("value", FRAME, "\n$2\n$3\n$4\n$5\n$1"), "\n", 6).alias("lm_part")))
+    p = lambda i: F.col("lm_part")[i]
+    has = parts.where((F.size("lm_part") == 6) & (p(0) == "") & ~F.col("value").startswith("\n"))
+    stamp = once(syslog_stamp(F.trim(p(5)), now, zone).alias("timestamp"))
+    return has.select(*[c for c in lines.columns if c != "timestamp"], stamp, p(1).alias("host"), p(2).alias("process"), p(3).try_cast("int").alias("pid"), p(4).alias("message"), F.col("value").alias("raw"))
 
 
 def own_columns(lines: DataFrame) -> list[str]:
@@ -62,24 +69,41 @@ def finished(df: DataFrame, keep: list[str], values: dict[str, Column]) -> DataF
     return df.select(*keep, *core, extra.alias("extra"))
 
 
+#: Prefix of the process, pattern, event type, severity and the fields: a number is a capture, a text is the value itself.
+AUTH_CASES = (
+    ("sshd", FAILED, "auth_failure", "medium", {"auth_method": 1, "user": 2, "src_ip": 3, "src_port": 4}),
+    ("sshd", ACCEPTED, "auth_success", "info", {"auth_method": 1, "user": 2, "src_ip": 3, "src_port": 4}),
+    ("sshd", INVALID, "auth_failure", "medium", {"auth_method": "invalid_user", "user": 1, "src_ip": 2, "src_port": 3}),
+    ("sshd", PAM, "auth_failure", "medium", {"auth_method": "pam", "src_ip": 1, "user": 2}),
+    ("sshd", CLOSED, "connection_closed", "low", {"user": 1, "src_ip": 2, "src_port": 3}),
+    ("sudo", SUDO, "sudo_command", "low", {"user": 1, "tty": 2, "pwd": 3, "target_user": 4, "command": 5}),
+    ("sudo", SUDO_FAILED, "sudo_failure", "high", {"user": 1, "reason": 2}),
+    ("useradd", ADDED, "user_added", "medium", {"user": 1}),
+)
+MAY_BE_EMPTY = {"tty", "pwd"}
+
+
 def parse_auth(lines: DataFrame, now: Column, zone: str = "UTC") -> DataFrame:
-    """sshd, sudo and useradd lines by prefix of the process, first match wins; all other frames are auth_other."""
+    """sshd, sudo and useradd lines by prefix of the process, first match wins; all other frames are auth_other.
+
+    The case that holds and its captures are found once per line; fields only pick from them.
+    """
     df, m = framed(lines, now, zone), F.col("message")
-    ssh, sudo = F.col("process").startswith("sshd"), F.col("process").startswith("sudo")
-    of = lambda kind, severity, **more: {"event_type": F.lit(kind), "severity": F.lit(severity)} | more
-    cases = [
-        (ssh & m.rlike(FAILED), of("auth_failure", "medium", auth_method=group(m, FAILED, 1), user=group(m, FAILED, 2), src_ip=group(m, FAILED, 3), src_port=group(m, FAILED, 4))),
-        (ssh & m.rlike(ACCEPTED), of("auth_success", "info", auth_method=group(m, ACCEPTED, 1), user=group(m, ACCEPTED, 2), src_ip=group(m, ACCEPTED, 3), src_port=group(m, ACCEPTED, 4))),
-        (ssh & m.rlike(INVALID), of("auth_failure", "medium", auth_method=F.lit("invalid_user"), user=group(m, INVALID, 1), src_ip=group(m, INVALID, 2), src_port=group(m, INVALID, 3))),
-        (ssh & m.rlike(PAM), of("auth_failure", "medium", auth_method=F.lit("pam"), src_ip=group(m, PAM, 1), user=group(m, PAM, 2))),
-        (ssh & m.rlike(CLOSED), of("connection_closed", "low", user=group(m, CLOSED, 1), src_ip=group(m, CLOSED, 2), src_port=group(m, CLOSED, 3))),
-        (sudo & m.rlike(SUDO), of("sudo_command", "low", user=group(m, SUDO, 1), tty=F.regexp_extract(m, SUDO, 2), pwd=F.regexp_extract(m, SUDO, 3), target_user=group(m, SUDO, 4), command=group(m, SUDO, 5))),
-        (sudo & m.rlike(SUDO_FAILED), of("sudo_failure", "high", user=group(m, SUDO_FAILED, 1), reason=group(m, SUDO_FAILED, 2))),
-        (F.col("process").startswith("useradd") & m.rlike(ADDED), of("user_added", "medium", user=group(m, ADDED, 1))),
-        (None, of("auth_other", "info")),
-    ]
-    names = ["event_type", "severity", "src_ip", "src_port", "user", "auth_method", "target_user", "command", "tty", "pwd", "reason"]
-    return finished(df.select("*", unpack(first_case(names, cases))), own_columns(lines), {n: F.col(n) for n in names})
+    found = F.struct(F.lit(-1).alias("lm_case"), F.array().cast("array<string>").alias("lm_part"))
+    for i, (process, pattern, *_) in reversed(list(enumerate(AUTH_CASES))):
+        found = F.when(F.col("process").startswith(process) & m.rlike(pattern), F.struct(F.lit(i).alias("lm_case"), captures(m, pattern, re.compile(pattern).groups).alias("lm_part"))).otherwise(found)
+
+    def field(name: str) -> Column:
+        out = F.lit(None).cast("string")
+        for i, (*_, fields) in enumerate(AUTH_CASES):
+            if name in fields:
+                part = F.try_element_at("lm_part", F.lit(fields[name] + 1)) if isinstance(fields[name], int) else F.lit(fields[name])
+                out = F.when(F.col("lm_case") == i, part).otherwise(out)
+        return out if name in MAY_BE_EMPTY else F.nullif(out, F.lit(""))
+
+    names = {n for *_, fields in AUTH_CASES for n in fields}
+    kinds = {n: F.coalesce(F.try_element_at(F.array(*[F.lit(case[at]) for case in AUTH_CASES]), F.nullif(F.col("lm_case") + 1, F.lit(0))), F.lit(other)) for n, at, other in (("event_type", 2, "auth_other"), ("severity", 3, "info"))}
+    return finished(df.select("*", unpack(found)), own_columns(lines), kinds | {n: field(n) for n in sorted(names)})
 
 
 def suspicious(path: Column, agent: Column) -> Column:
@@ -88,12 +112,12 @@ def suspicious(path: Column, agent: Column) -> Column:
 
 
 def parse_access(lines: DataFrame, now: Column, host: str = "localhost") -> DataFrame:
-    """Combined access log; other lines are dropped. Sizes that aren't numbers count as 0."""
-    has = lines.where(F.col("value").rlike(ACCESS))
+    """Combined access log; other lines are dropped, also values with a line break inside. Sizes that aren't numbers count as 0."""
     names = ["src_ip", "user", "stamp", "method", "path", "proto", "status", "bytes", "referer", "agent"]
-    df = has.select(*own_columns(lines), once(*[F.regexp_extract("value", ACCESS, i + 1).alias(f"lm_{n}") for i, n in enumerate(names)]))
-    p = {n: F.col(f"lm_{n}") for n in names}
-    odd = suspicious(p["path"], p["agent"])
+    parts = lines.where(~F.col("value").contains("\n")).select(*own_columns(lines), once(captures(F.col("value"), ACCESS, len(names)).alias("lm_part")))
+    has = parts.where((F.size("lm_part") == len(names) + 1))
+    p = {n: F.col("lm_part")[i + 1] for i, n in enumerate(names)}
+    df, odd = has.select("*", once(suspicious(p["path"], p["agent"]).alias("lm_odd"))), F.col("lm_odd")
     values = {
         "timestamp": access_stamp(p["stamp"], now), "host": F.lit(host), "event_type": F.lit("http_request"), "process": F.lit("nginx"), "raw": F.col("value"),
         "severity": F.when(odd, "low").when(p["status"].startswith("5"), "medium").otherwise("info"),
@@ -112,11 +136,13 @@ def last_pair(pairs: Column, key: str) -> Column:
 def parse_syslog(lines: DataFrame, now: Column, zone: str = "UTC") -> DataFrame:
     """Firewall lines and, for every other frame, service events."""
     df, m = framed(lines, now, zone), F.col("message")
-    df = df.select("*", once(F.arrays_zip(F.regexp_extract_all(m, F.lit(PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(m, F.lit(PAIR), F.lit(2)).alias("v")).alias("lm_kv")))
-    action = group(m, FIREWALL, 1)
+    pairs = F.arrays_zip(F.regexp_extract_all(m, F.lit(PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(m, F.lit(PAIR), F.lit(2)).alias("v"))
+    wall_line = F.regexp_extract(m, FIREWALL, 1)  # without a match empty
+    df = df.select("*", once(wall_line.alias("lm_action"))).select("*", once(F.when(F.col("lm_action") != "", pairs).alias("lm_kv")))
+    action = F.col("lm_action")
     kv = lambda k: last_pair(F.col("lm_kv"), k)
     wall = {"event_type": F.when(action == "BLOCK", "firewall_block").otherwise("firewall_audit"), "severity": F.lit("low"), "src_ip": kv("SRC"), "dst_ip": kv("DST"), "src_port": kv("SPT").try_cast("int"), "dst_port": kv("DPT").try_cast("int"), "protocol": kv("PROTO"), "interface_in": kv("IN"), "interface_out": kv("OUT"), "fw_action": action}
-    case = first_case(list(wall), [(m.rlike(FIREWALL), wall), (None, {"event_type": F.lit("service_event"), "severity": F.lit("info")})])
+    case = first_case(list(wall), [(action != "", wall), (None, {"event_type": F.lit("service_event"), "severity": F.lit("info")})])
     return finished(df.select("*", unpack(case)), own_columns(lines), {n: F.col(n) for n in wall})
 
 

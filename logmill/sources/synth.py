@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logmill.functions.choose import once
+
 AS_OF = "2024-02-01 00:00:00"
 PATHS = ("/", "/index.html", "/wp-admin/install.php", "/.env", "/api/items")
 STATUSES = (200, 404, 301, 500)
@@ -60,7 +62,7 @@ def lines(events: DataFrame) -> DataFrame:
     junk = (kind == "error") & (F.col("event_id") % 97 == 0)
     value = F.when(junk, f("not a log line %s", "id")).when(kind == "click", access).otherwise(F.concat(stamp, F.lit(" "), "host", F.lit(" "), process, F.lit(": "), message))
     source = F.when(kind == "click", "nginx_access").when(kind == "view", "syslog").otherwise("auth")
-    return d.select(F.col("event_id").alias("line_id"), source.alias("source"), value.alias("value"), F.col("t").alias("event_ts"))
+    return d.select(F.col("event_id").alias("line_id"), source.alias("source"), F.col("t").alias("event_ts"), once(value.alias("value")))
 
 
 def spread(df: DataFrame) -> DataFrame:

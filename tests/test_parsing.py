@@ -123,3 +123,20 @@ def test_a_stream_from_the_start_or_the_present(spark, tmp_path):
     os.utime(logs / "b.log", (1_700_000_060, 1_700_000_060))
     assert arrived("all") == ["new 1", "old 1", "old 2"] and arrived("new", since=since) == ["new 1"]
     assert sorted(r.value for r in read_text(spark, source, since=since).collect()) == ["new 1"]
+
+
+def test_stamps_without_offset_mean_utc_in_any_session(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = spark.range(1).select(*[F.unix_timestamp(f).alias(n) for n, f in {"iso": iso_stamp(F.lit("2024-01-31T10:00:00.5"), now()), "offset": iso_stamp(F.lit("2024-01-31T10:00:00+02:00"), now()), "bsd": bsd_stamp(F.lit("Jan  9 10:00:00"), now()), "zone": bsd_stamp(F.lit("Jan  9 10:00:00"), now(), "Europe/Berlin")}.items()]).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got.asDict() == {"iso": 1706695200, "offset": 1706688000, "bsd": 1767952800, "zone": 1767949200}
+
+
+def test_lines_with_breaks_inside(spark):
+    line = "2024-01-31T10:00:00Z vps1 sshd[7]: Failed password for root from 1.2.3.4 port 22 ssh2"
+    odd = [line + "\n", "\n" + line, line.replace("vps1 ", "vps1 \n"), "a\nb\nc\nd\ne\nf", None, ""]
+    assert [r.user for r in parse_auth(table(spark, odd), now()).collect()] == ["root", "root"]
+    access = '1.2.3.4 - - [31/Jan/2024:10:00:00 +0000] "GET / HTTP/1.1" 200 5 "-" "curl/8"'
+    assert parse_access(table(spark, [access, access + " more", access + "\n", None], "nginx_access"), now()).count() == 2
