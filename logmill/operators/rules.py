@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, eq, ge, gt, le, lt
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logmill.operators.parse import CORE, EXTRA, INTS
 
 DEFAULT_COOLDOWN = 300
+#: Fired moments that a task gives out at a time.
+MOST_MOMENTS = 10_000
 CONDITION = r"selection\s*\|\s*count\((\w+)\)\s*(>=|<=|==|>|<)\s*(\d+)"
 FIELDS = {*CORE, "source", "user"}
 #: What a selection may name.
@@ -194,38 +199,68 @@ def evidence(events: DataFrame, rules, found: DataFrame, as_of: Column) -> DataF
     return own.join(found.select(F.col("id").alias("alert_id"), "rule_id", "group_value"), ["rule_id", "group_value"]).select("alert_id", "event_id")
 
 
+def walk(spans: DataFrame, keys: list[str], period: int, step: int = 1, origin: Column | int = 0) -> DataFrame:
+    """Of each key's spans (lm_a to lm_b, long seconds) the moments that fire: the first in a span, then each at least period
+    seconds after the last that fired; with a step only moments at origin plus its multiples count.
+
+    Spark deals keys to tasks and sorts them there, on disk where needed. A task passes over the sorted rows with the
+    last fired moment of one key in memory, so no key is gathered in a row. Keys may be null.
+    """
+    zero = F.lit(origin) if isinstance(origin, int) else origin
+    own = spans.select(*keys, F.col("lm_a").cast("long").alias("lm_a"), F.col("lm_b").cast("long").alias("lm_b"), zero.cast("long").alias("lm_zero"))
+    dealt = own.repartition(*keys).sortWithinPartitions(*keys, "lm_a", "lm_b")
+    schema = StructType([*[f for f in own.schema.fields if f.name in keys], StructField("fired_at", LongType())])
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+            rows, moments = [], []
+            for i, (start, end, zero) in enumerate(zip(*(batch.column(len(keys) + j).to_pylist() for j in range(3)), strict=True)):
+                own_key = tuple(c[i] for c in columns)
+                if own_key != key:
+                    key, last = own_key, None
+                t = start if last is None else max(start, last + period)
+                t = zero + -(-(t - zero) // step) * step
+                while t <= end:
+                    rows.append(i)
+                    moments.append(t)
+                    last = t
+                    t = zero + -(-(t + period - zero) // step) * step
+                    if len(moments) == MOST_MOMENTS:
+                        yield with_moments(batch, rows, moments)
+                        rows, moments = [], []
+            yield with_moments(batch, rows, moments)
+
+    def with_moments(batch: pa.RecordBatch, rows: list[int], moments: list[int]) -> pa.RecordBatch:
+        at = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keys))], pa.array(moments, pa.int64())], names=[*keys, "fired_at"])
+
+    return dealt.mapInArrow(fire, schema)
+
+
 def cooldown_fold(hits: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
     """Of the times (long seconds) of each key those that fire: the first, then each over gap seconds after the last that fired.
 
-    A key's times are folded within its row; times that fall in the same second are counted once before they gather.
+    Times that fall in the same second are counted once, spread over all tasks, before keys are dealt; null times don't count.
     """
-    times = F.sort_array(F.collect_set(at))
-    fold = F.aggregate(times, F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t > F.try_element_at(acc, F.lit(-1)) + gap), F.array_append(acc, t)).otherwise(acc))
-    return hits.groupBy(*keys).agg(fold.alias("lm_fired")).select(*keys, F.explode("lm_fired").alias("fired_at"))
+    times = hits.select(*keys, F.col(at).alias("lm_a")).where("lm_a is not null").distinct()
+    return walk(times.withColumn("lm_b", F.col("lm_a")), keys, gap + 1)
 
 
 def replay(events: DataFrame, rule: Rule, start: Column, end: Column, tick: int) -> DataFrame:
     """group_value and fired_at (seconds) of the alerts of a rule if it were run every tick from start to end.
 
     Each event raises its group's count when it comes and lowers it when its lookback ends. Running sums give the spans
-    in which the threshold holds, and only those spans are folded, so no event is copied to every tick.
+    in which the threshold holds, and only those spans are walked, so no event is copied to every tick.
     """
     s, e, period = start.cast("long"), end.cast("long"), rule.cooldown_s + 1
-    step = -(-period // tick) * tick  # the first tick after the cooldown
     own = events.where(predicate(rule.selection)).select(field_column(rule.group_by).cast("string").alias("group_value"), F.unix_timestamp("timestamp").alias("ts")).where("group_value is not null")
     edges = own.select("group_value", F.explode(F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("d")), F.struct((F.col("ts") + rule.seconds + 1).alias("at"), F.lit(-1).alias("d")))).alias("x")).groupBy("group_value", "x.at").agg(F.sum("x.d").alias("d"))
     w = Window.partitionBy("group_value").orderBy("at")
     spans = edges.withColumns({"n": F.sum("d").over(w), "until": F.coalesce(F.lead("at").over(w) - 1, e)}).where(compare(F.col("n"), F.lit(rule.op), F.lit(rule.n)) & (F.col("n") >= 1))
-    spans = spans.select("group_value", F.greatest(F.col("at"), s).alias("a"), F.least(F.col("until"), e).alias("b")).where("a <= b")
-    up = lambda x: s + F.ceil((x - s) / tick) * tick
-
-    def fire(acc: Column, span: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        first = up(F.greatest(span["a"], F.coalesce(last + period, span["a"])))
-        return F.when(first <= span["b"], F.concat(acc, F.sequence(first, span["b"], F.lit(step).cast("long")))).otherwise(acc)
-
-    folded = spans.groupBy("group_value").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    return folded.select("group_value", F.explode(F.aggregate("spans", F.array().cast("array<bigint>"), fire)).alias("fired_at"))
+    spans = spans.select("group_value", F.greatest(F.col("at"), s).alias("lm_a"), F.least(F.col("until"), e).alias("lm_b")).where("lm_a <= lm_b")
+    return walk(spans, ["group_value"], period, tick, s)
 
 
 def technique_rollup(found: DataFrame) -> DataFrame:

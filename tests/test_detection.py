@@ -67,6 +67,21 @@ def test_cooldown_fold(spark):
     assert sorted(r.fired_at for r in rules.cooldown_fold(hits, ["k"], "at", 300).collect()) == [0, 301, 650]
 
 
+def test_cooldown_fold_of_many_times(spark, monkeypatch):
+    """A key with most of the times, keys and times that are null, repeated times, and key columns of any name."""
+    monkeypatch.setattr(rules, "MOST_MOMENTS", 7)
+    rng = random.Random(3)
+    hits = [("hot", 1, rng.randrange(400_000)) for _ in range(30_000)] + [(rng.choice(["x", None]), rng.choice([2, None]), rng.choice([None, *range(0, 3000, 100)])) for _ in range(500)]
+    got = sorted(map(tuple, rules.cooldown_fold(spark.createDataFrame(hits, "a string, b int, at long"), ["a", "b"], "at", 300).collect()), key=str)
+    want, last = [], {}
+    for a, b, at in sorted((h for h in set(hits) if h[2] is not None), key=lambda h: h[2]):
+        if (a, b) not in last or at > last[a, b] + 300:
+            want.append((a, b, at))
+            last[a, b] = at
+    assert got == sorted(want, key=str) and len(want) > 1000
+    assert rules.cooldown_fold(spark.createDataFrame([], "a string, b int, at long"), ["a", "b"], "at", 300).count() == 0
+
+
 def test_replay_against_ticks(spark):
     rng = random.Random(1)
     items = [(rng.choice("ab"), rng.randrange(40_000)) for _ in range(120)]
