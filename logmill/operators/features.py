@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 FEATURES = ("total_events", "unique_src_ips", "unique_dst_ports", "unique_event_types", "auth_failures", "auth_successes", "auth_failure_ratio", "suspicious_requests", "http_4xx_count", "firewall_blocks", "sudo_count")
 
 
-def aggregates(distinct=F.count_distinct) -> list[Column]:
+#: Features that count the distinct values of a column.
+DISTINCT = {"unique_src_ips": "src_ip", "unique_dst_ports": "dst_port", "unique_event_types": "event_type"}
+
+
+def counts() -> dict[str, Column]:
+    """The features that count events."""
     kind, status = F.col("event_type"), F.col("extra.http_status")
-    return [
-        F.count("*").alias("total_events"), distinct("src_ip").alias("unique_src_ips"), distinct("dst_port").alias("unique_dst_ports"), distinct("event_type").alias("unique_event_types"),
-        F.count_if(kind == "auth_failure").alias("auth_failures"), F.count_if(kind == "auth_success").alias("auth_successes"),
-        F.count_if(F.col("extra.is_suspicious")).alias("suspicious_requests"), F.count_if((kind == "http_request") & status.between(400, 499)).alias("http_4xx_count"),
-        F.count_if(kind == "firewall_block").alias("firewall_blocks"), F.count_if(kind == "sudo_command").alias("sudo_count"),
-    ]
+    return {
+        "total_events": F.count("*"), "auth_failures": F.count_if(kind == "auth_failure"), "auth_successes": F.count_if(kind == "auth_success"),
+        "suspicious_requests": F.count_if(F.col("extra.is_suspicious")), "http_4xx_count": F.count_if((kind == "http_request") & status.between(400, 499)),
+        "firewall_blocks": F.count_if(kind == "firewall_block"), "sudo_count": F.count_if(kind == "sudo_command"),
+    }
+
+
+def aggregates() -> list[Column]:
+    return [c.alias(n) for n, c in counts().items()] + [F.count_distinct(c).alias(n) for n, c in DISTINCT.items()]
 
 
 def with_ratio(df: DataFrame) -> DataFrame:

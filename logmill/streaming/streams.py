@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from logmill.operators.features import FEATURES, with_ratio
+from logmill.operators.features import DISTINCT, FEATURES, counts, with_ratio
 
 LATE = "1 hour"
 
@@ -61,12 +61,19 @@ def cooldown(hits: DataFrame, gap: int) -> DataFrame:
 
 
 def features(events: DataFrame, span: str = "10 minutes") -> DataFrame:
-    """Features of closed windows; distinct values gather in sets, since streams have no distinct counts."""
-    from logmill.operators.features import aggregates
+    """Features of closed windows, by two aggregations, since streams have no distinct counts.
 
-    distinct = lambda c: F.size(F.collect_set(c)).cast("long")
-    w = F.window("timestamp", span)
-    return with_ratio(events.withWatermark("timestamp", LATE).groupBy(w.alias("w")).agg(*aggregates(distinct))).select(F.unix_timestamp("w.start").alias("window_start"), *FEATURES)
+    The first has a state row for each window, counted column and value; the second counts those rows when the window
+    closes, so no state row grows with its window. Events are counted with their event_type.
+    """
+    values = F.array(*[F.struct(F.lit(n).alias("lm_name"), F.col(c).cast("string").alias("lm_value")) for n, c in DISTINCT.items()])
+    each = events.withWatermark("timestamp", LATE).withColumn("lm_x", F.explode(values))
+    once = F.col("lm_x.lm_name") == "unique_event_types"
+    first = each.groupBy(F.window("timestamp", span).alias("lm_w"), once.alias("lm_once"), "lm_x.lm_name", "lm_x.lm_value").agg(*[c.alias(n) for n, c in counts().items()])
+    sums = [F.coalesce(F.sum(F.when(F.col("lm_once"), F.col(n))), F.lit(0)).cast("long").alias(n) for n in counts()]
+    distinct = [F.count_if((F.col("lm_name") == n) & F.col("lm_value").isNotNull()).alias(n) for n in DISTINCT]
+    closed = first.groupBy(F.window("lm_w", span).alias("w")).agg(*sums, *distinct)
+    return with_ratio(closed).select(F.unix_timestamp("w.start").alias("window_start"), *FEATURES)
 
 
 def deduplicated(events: DataFrame, key: str = "line_id") -> DataFrame:

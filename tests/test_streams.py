@@ -2,11 +2,14 @@
 
 import os
 from collections import Counter
+from datetime import datetime, timezone
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from logmill import catalog
+from logmill.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +32,25 @@ def many_files(tmp_path_factory):
 def test_many_files(spark, many_files, name):
     rows = lambda d: Counter(map(tuple, catalog.QUERIES[name](spark, d).collect()))
     assert rows(many_files) == rows(SF)
+
+
+def test_features_of_several_batches(spark, tmp_path):
+    """Windows whose values are spread over batches, nulls, and an event that comes after its window has closed."""
+    (tmp_path / "in").mkdir()
+    row = lambda t, kind, ip, port=None: (datetime.fromtimestamp(t, timezone.utc), kind, ip, port, None, None)
+    batches = [
+        [row(0, "auth_failure", "a", 1), row(5, "auth_failure", "b", 1), row(700, "sudo_command", None)],
+        [row(9, "auth_success", "a", 2), row(10, None, "c"), row(30_000, "auth_failure", "z")],
+        [row(30_001, "firewall_block", "z", 3)],  # with this batch the first windows close
+        [row(20, "auth_failure", "late")],
+        [row(90_000, "auth_failure", "y")],
+    ]
+    schema = "timestamp timestamp, event_type string, src_ip string, dst_port int, is_suspicious boolean, http_status int"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "out" / str(i)))
+        (part,) = (tmp_path / "out" / str(i)).glob("*.parquet")
+        part.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    events = streams.read_stream(spark, str(tmp_path / "in"), 1).withColumn("extra", F.struct("is_suspicious", "http_status"))
+    got = {r.window_start: (r.total_events, r.unique_src_ips, r.unique_dst_ports, r.unique_event_types, r.auth_failures, r.auth_successes, r.auth_failure_ratio, r.sudo_count, r.firewall_blocks) for r in streams.run(streams.features(events), str(tmp_path / "run")).collect()}
+    assert got == {0: (4, 3, 2, 2, 2, 1, 0.6667, 0, 0), 600: (1, 0, 0, 1, 0, 0, 0.0, 1, 0), 30_000: (2, 1, 1, 2, 1, 0, 1.0, 0, 1)}
