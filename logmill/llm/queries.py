@@ -8,11 +8,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import decontaminate, exact_dedup, language_id, licenses, mixing, quality, simhash, token_counts, url_filter, warc
+from logmill.llm import decontaminate, exact_dedup, language_id, licenses, middle, mixing, quality, simhash, token_counts, token_files, url_filter, warc
 from logmill.llm.common import shared_dir, stored, table
 from logmill.session import ship
 
 TOKENIZER = "piece_bpe_32k.model"
+BYTE_TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -67,6 +68,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "first_word", "n_words")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(table(ship(spark), sf_dir, "documents").select("doc_id", "text"))
+    return middle.restore(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    path = f"{shared_dir(ship(spark))}/ids"
+    token_files.write(table(spark, sf_dir, "documents"), Path(model or tokenizer_path(BYTE_TOKENIZER)).read_text(), path, END_ID)
+    return token_files.with_checksum(token_files.read(spark, path))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_warc_archives, op3_token_counts, op4_quality, op5_license_scan, op6_simhash_bktree, op7_fair_mix, op8_exact_dedup, op9_url_filter, op10_decontaminate, pipeline)
+    for f in (op1_language_id, op2_warc_archives, op3_token_counts, op4_quality, op5_license_scan, op6_simhash_bktree, op7_fair_mix, op8_exact_dedup, op9_url_filter, op10_decontaminate, op11_fill_in_middle, op12_token_files, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -133,4 +145,12 @@ ORACLE_SQL: dict[str, str] = {
         zp AS (SELECT *, (k + e * m) / (n + e) AS post FROM ze),
         z AS (SELECT *, post * (1 - post) / (n + e + 1) AS spread FROM zp)
         SELECT page_id, l.host, path, rule, coalesce(said, CASE WHEN post - 1.645 * sqrt(spread) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM l JOIN z ON l.host = z.host""",
+    "op11_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        x AS (SELECT *, CAST(len(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+        f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+                least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM x),
+        p AS (SELECT doc_id, n, form, text, array_to_string(t[1:a], '') AS pre, array_to_string(t[a + 1:b], '') AS mid, array_to_string(t[b + 1:], '') AS suf FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
