@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import decontaminate, exact_dedup, language_id, licenses, middle, mixing, quality, simhash, token_counts, token_files, url_filter, warc
-from logmill.llm.common import shared_dir, stored, table
+from logmill.llm import decontaminate, exact_dedup, language_id, licenses, middle, mixing, quality, runs, simhash, token_counts, token_files, url_filter, warc
+from logmill.llm.common import WORD, shared_dir, stored, table
 from logmill.session import ship
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -79,6 +79,25 @@ def op12_token_files(spark: SparkSession, sf_dir: str, model: str | None = None)
     return token_files.with_checksum(token_files.read(spark, path))
 
 
+def with_loops(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with the words of a tenth of the texts (by crc32 of doc_id) going round from some word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    looped = docs.where(h % 10 == 0).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), F.floor(h / 10).alias("g"), "text").withColumn("n", F.size("w"))
+    looped = looped.withColumn("a", F.when(F.col("n") > 0, F.expr("int(g % n)"))).withColumn("p", F.expr("int(1 + floor((n - a) / (3 + g % 8)))"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), int(ceil((n - a) / p)))), 1, n - a)")
+    looped = looped.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.expr("slice(w, 1, a)"), tail), " ")).otherwise(F.col("text")).alias("text"))
+    return docs.where(h % 10 != 0).select("doc_id", "text").union(looped)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_loops(table(ship(spark), sf_dir, "documents")))
+    best = F.expr("aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_warc_archives, op3_token_counts, op4_quality, op5_license_scan, op6_simhash_bktree, op7_fair_mix, op8_exact_dedup, op9_url_filter, op10_decontaminate, op11_fill_in_middle, op12_token_files, pipeline)
+    for f in (op1_language_id, op2_warc_archives, op3_token_counts, op4_quality, op5_license_scan, op6_simhash_bktree, op7_fair_mix, op8_exact_dedup, op9_url_filter, op10_decontaminate, op11_fill_in_middle, op12_token_files, op13_periodic_runs, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
