@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, date, datetime
 from functools import reduce
 from operator import and_, eq, ge, gt, le, lt
 from pathlib import Path
@@ -17,6 +19,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from logmill.operators.parse import CORE, EXTRA, INTS
 
 DEFAULT_COOLDOWN = 300
+#: Seconds of some 3,000 years: further back there is no event.
+LONGEST = 10**11
 #: Fired moments that a task gives out at a time.
 MOST_MOMENTS = 10_000
 CONDITION = r"selection\s*\|\s*count\((\w+)\)\s*(>=|<=|==|>|<)\s*(\d+)"
@@ -42,7 +46,7 @@ class Rule:
     n: int = field(init=False, default=0)
 
     def __post_init__(self):
-        if m := re.search(CONDITION, self.condition):
+        if m := re.search(CONDITION, str(self.condition)):
             for k, v in zip(("group_by", "op", "n"), (m[1], m[2], int(m[3])), strict=True):
                 object.__setattr__(self, k, v)
 
@@ -56,9 +60,9 @@ class Rule:
 
 
 def seconds(text: str | None) -> int:
-    """Ns, Nm, Nh or Nd; another unit counts as minutes, no number or nothing as 300 s."""
+    """Ns, Nm, Nh or Nd; another unit counts as minutes, no number or nothing as 300 s; LONGEST at most."""
     try:
-        return int(text[:-1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}.get(text[-1].lower(), 60)
+        return max(-LONGEST, min(LONGEST, int(text[:-1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}.get(text[-1].lower(), 60)))
     except (ValueError, TypeError, IndexError):
         return 300
 
@@ -83,7 +87,7 @@ def load_rules(folder: str) -> list[Rule]:
         try:
             d = yaml.safe_load(p.read_text())
             detection, response = d["detection"], d.get("response") or {}
-            rule = Rule(str(d.get("id", p.stem)), d["title"], detection.get("selection") or {}, detection.get("condition", ""), d.get("level", "medium"), str(detection.get("timeframe", "5m")), response.get("cooldown"), tuple(d.get("tags") or ()), d.get("status", "active"), response.get("message"))
+            rule = Rule(str(d.get("id", p.stem)), str(d["title"]), detection.get("selection") or {}, str(detection.get("condition", "")), str(d.get("level", "medium")), str(detection.get("timeframe", "5m")), response.get("cooldown"), tuple(map(str, d.get("tags") or ())), d.get("status", "active"), response.get("message"))
         except (yaml.YAMLError, KeyError, TypeError, AttributeError):
             continue
         if rule.status == "active":
@@ -92,7 +96,7 @@ def load_rules(folder: str) -> list[Rule]:
 
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
-    rows = [(r.id, r.title, r.level, r.condition, r.timeframe, r.seconds, r.cooldown_s, r.group_by, r.op, r.n, list(r.tags), r.message or "", problem_of(r)) for r in rules]
+    rows = [(str(r.id), str(r.title), str(r.level), str(r.condition), str(r.timeframe), r.seconds, r.cooldown_s, r.group_by, r.op, min(r.n, MOST), [str(t) for t in r.tags], str(r.message or ""), problem_of(r)) for r in rules]
     return spark.createDataFrame(rows, "rule_id string, rule_title string, level string, condition string, timeframe string, timeframe_s long, cooldown_s long, group_by string, op string, n long, tags array<string>, template string, problem string")
 
 
@@ -101,50 +105,127 @@ def field_column(name: str) -> Column:
 
 
 COMPARE = {"": eq, "gte": ge, "gt": gt, "lte": le, "lt": lt, "contains": lambda c, v: c.contains(v), "in": lambda c, v: c.isin(*v)}
+#: The largest whole number of a column.
+MOST = 2**63 - 1
+
+
+class Unfit(ValueError):
+    """Why a part of a selection can match no event."""
+
+
+def kind_of(name: str) -> str:
+    return EXTRA.get(name) or ("int" if name in INTS else "timestamp" if name == "timestamp" else "string")
+
+
+def fitted(name: str, value: object) -> object:
+    """The value in the type that the field has. Columns take numbers for text and text for numbers and times, as a
+    database does; what stands in extra is JSON, where types are strict."""
+    kind, column = kind_of(name), name not in EXTRA
+    try:
+        if isinstance(value, bool):
+            if kind == "boolean":
+                return value
+        elif kind == "int":
+            value = int(value) if column and isinstance(value, str) else value
+            if isinstance(value, (int, float)) and not math.isnan(value):
+                return value if isinstance(value, int) and abs(value) <= MOST else float(value)
+        elif kind == "timestamp":
+            at = datetime.fromisoformat(value) if isinstance(value, str) else value if isinstance(value, datetime) else datetime(value.year, value.month, value.day) if isinstance(value, date) else None
+            if at:
+                return at if at.tzinfo else at.replace(tzinfo=UTC)
+        elif kind == "string" and (isinstance(value, str) or column and isinstance(value, (int, float))):
+            str(value).encode()
+            return str(value)
+    except (ValueError, OverflowError):
+        pass
+    raise Unfit(f"value of another type: {name}")
+
+
+def term(key: object, value: object) -> tuple[str, str, object]:
+    """Field, comparison and value of a part of a selection, the value in the field's type; Unfit if no event can match."""
+    name, _, how = str(key).partition("__")
+    name = "process" if name == "service" else name
+    if name not in KNOWN:
+        raise Unfit(f"field unknown: {name}")
+    if how not in COMPARE:
+        raise Unfit(f"comparison unknown: {how}")
+    truth = lambda v: v.lower() == "true" if isinstance(v, str) and v.lower() in ("true", "false") else v
+    if how == "in":
+        if not isinstance(value, (list, tuple)):
+            raise Unfit(f"no list: {key}")
+        fit = []
+        for v in value:
+            try:
+                fit += [fitted(name, v)] if v is not None else []
+            except Unfit:
+                if name not in EXTRA:
+                    raise
+        if not fit:
+            raise Unfit(f"no value of its type: {name}")
+        return name, how, fit
+    if how == "contains":
+        if not isinstance(value, str):
+            raise Unfit(f"value of another type: {name}")
+        return name, how, value
+    if value is None:
+        if how or name in EXTRA:
+            raise Unfit(f"never null: {name}")
+        return name, how, None
+    value = fitted(name, truth(value))
+    if how and kind_of(name) == "boolean":
+        raise Unfit(f"no order: {name}")
+    return name, how, value
 
 
 def problem_of(rule: Rule) -> str | None:
-    """Why a rule can't run: an unreadable condition, a group or field that no event has, or an unknown comparison."""
+    """Why a rule can't run: an unreadable condition, a group or field that no event has, an unknown comparison, or a
+    value that no event can have there."""
     if not rule.op:
         return "condition unreadable"
     if rule.group_by not in FIELDS:
         return "group is no event column"
-    for key, value in rule.selection.items():
-        name, _, how = key.partition("__")
-        if name not in KNOWN:
-            return f"field unknown: {name}"
-        if how not in COMPARE:
-            return f"comparison unknown: {how}"
-        if how == "in" and not isinstance(value, (list, tuple)):
-            return f"no list: {key}"
+    if not isinstance(rule.selection, dict):
+        return "selection is no mapping"
+    try:
+        for key, value in rule.selection.items():
+            term(key, value)
+    except Unfit as e:
+        return str(e)
     return None
 
 
+def matches(name: str, how: str, value: object) -> Column:
+    """Whether a field compares to a value of its type; null fields don't, but for equality with null."""
+    c = field_column(name)
+    if value is None:
+        return c.isNull()
+    if how == "contains":
+        c = c.cast("string")
+    elif kind_of(name) == "int":
+        whole = lambda v: not isinstance(v, float) or v.is_integer() and abs(v) <= 2**53
+        if how == "in":
+            value = [int(v) for v in value if whole(v)]
+        elif how == "":
+            if not whole(value):
+                return F.lit(False)
+            value = int(value)
+    if how == "in":
+        value = [F.lit(v) for v in value]
+    return F.coalesce(COMPARE[how](c, value if how == "in" else F.lit(value)), F.lit(False))
+
+
 def predicate(selection: dict) -> Column:
-    """All fields equal; service means process, true and false are booleans, and a suffix compares: __gte __gt __lte __lt __contains __in.
+    """All fields equal; service means process, true and false are booleans, null means a column without value, and a
+    suffix compares: __gte __gt __lte __lt __contains __in.
 
-    A field that is neither a column nor in extra, or an unknown suffix, matches no event.
+    Values are brought to their field's type here, never the field, so no event can make a selection fail. A field that is
+    neither a column nor in extra, an unknown suffix, or a value that the field can't have matches no event; a list is a
+    value only for __in, where those of another type don't count for fields of extra.
     """
-    parts = []
-    for key, value in selection.items():
-        name, _, how = key.partition("__")
-        if name not in KNOWN or how not in COMPARE or (how == "in" and not isinstance(value, (list, tuple))):
-            return F.lit(False)
-        c = field_column("process" if name == "service" else name)
-        if isinstance(value, str) and value.lower() in ("true", "false"):
-            value = value.lower() == "true"
-        if isinstance(value, bool) and EXTRA.get(name) != "boolean":
-            parts.append(F.lit(False))  # types are strict
-            continue
-        if how in ("gte", "gt", "lte", "lt"):
-            c = c if EXTRA.get(name) == "int" or name in INTS or name == "timestamp" else c.cast("string")
-            value = F.lit(value).try_cast("double") if EXTRA.get(name) == "int" or name in INTS else value
-        elif how == "contains":
-            c, value = c.cast("string"), str(value)
-        elif how == "" and (EXTRA.get(name) == "int" or name in INTS):
-            value = F.lit(value).try_cast("bigint")
-        parts.append(F.coalesce(COMPARE[how](c, value), F.lit(False)))
-    return reduce(and_, parts, F.lit(True))
+    try:
+        return reduce(and_, [matches(*term(k, v)) for k, v in selection.items()], F.lit(True))
+    except Unfit:
+        return F.lit(False)
 
 
 def tagged(events: DataFrame, rules, as_of: Column) -> DataFrame:
@@ -154,7 +235,7 @@ def tagged(events: DataFrame, rules, as_of: Column) -> DataFrame:
     """
     usable = [r for r in rules if not problem_of(r)]
     ts = F.unix_micros("timestamp")
-    hit = [F.when(predicate(r.selection) & (ts >= F.unix_micros(as_of) - r.seconds * 1_000_000), F.struct(F.lit(r.id).alias("rule_id"), field_column(r.group_by).cast("string").alias("group_value"))) for r in usable]
+    hit = [F.when(predicate(r.selection) & (ts >= F.unix_micros(as_of) - r.seconds * 1_000_000), F.struct(F.lit(str(r.id)).alias("rule_id"), field_column(r.group_by).cast("string").alias("group_value"))) for r in usable]
     none = F.array().cast("array<struct<rule_id:string,group_value:string>>")
     return events.withColumn("lm_hit", F.explode(F.array_compact(F.array(*hit)) if hit else none)).select("*", "lm_hit.*").drop("lm_hit")
 
@@ -269,10 +350,10 @@ def technique_rollup(found: DataFrame) -> DataFrame:
 
 
 def lint(rules: DataFrame) -> DataFrame:
-    """rule_id and problem: cooldown under the timeframe, unreadable condition, unknown field or comparison, id used twice, no technique tag."""
+    """rule_id and problem: cooldown under the timeframe, unreadable condition, whatever else problem_of finds, id used twice, no technique tag."""
     twice = rules.groupBy("rule_id").agg(F.count("*").alias("c")).where("c > 1").select("rule_id", F.lit("id used twice").alias("problem"))
     checks = [(F.col("cooldown_s") < F.col("timeframe_s"), "cooldown under timeframe"), (F.col("op") == "", "condition unreadable"), (~F.exists("tags", lambda t: t.startswith("attack.t")), "no technique tag"), (~F.col("group_by").isin(*FIELDS, ""), "group is no event column")]
-    fields = F.when(F.col("problem").rlike("^(field|comparison) unknown|^no list"), F.col("problem"))
+    fields = F.when(~F.col("problem").isin("condition unreadable", "group is no event column"), F.col("problem"))
     own = rules.select("rule_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(p)) for c, p in checks], fields))).alias("problem"))
     return own.union(twice)
 

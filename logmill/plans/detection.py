@@ -79,6 +79,13 @@ BROKEN = (
     rules.Rule("broken-3", "Unreadable", {"event_type": "auth_failure"}, "selection"),
     rules.Rule("broken-4", "Unknown group", {"event_type": "auth_failure"}, "selection | count(no_such) > 0"),
     rules.Rule("broken-5", "Number and text", {"http_status__gte": "many", "http_path__contains": 7}, "selection | count(src_ip) > 0"),
+    *[
+        rules.Rule(f"broken-{6 + i}", "Value of another type", selection, "selection | count(src_ip) > 0")
+        for i, selection in enumerate((
+            {"http_path": 404}, {"user": 5}, {"http_path__in": [1, 2]}, {"pid__in": ["a"]}, {"timestamp__gte": "garbage"}, {"timestamp": "garbage"}, {"event_type": ["auth_failure", "http_request"]}, {"event_type": {"a": 1}},
+            {"is_suspicious": 1}, {"http_status": 404.5}, {"http_status": "404"}, {"is_suspicious": "yes"}, {"pid": 10**30}, {"http_status__gt": float("nan")}, {"reason": None}, {"is_suspicious__gte": True}, {5: 5}, ["event_type"],
+        ))
+    ],
 )
 
 
@@ -88,6 +95,22 @@ def rule_isolation(spark, d):
     return alert_columns(rules.alerts(parsed(spark, d), (*BROKEN[:3], *TEST_RULES, *BROKEN[3:]), as_of()))
 
 
+#: Selections whose values are of many types, and what they mean in SQL.
+TYPED = (
+    ({"http_status": 404}, "http_status = 404"), ({"http_status": 404.0}, "http_status = 404"), ({"http_status": 404.5}, "false"), ({"http_status": "404"}, "false"), ({"http_status__in": [404, "500", 200.0]}, "http_status IN (404, 200)"),
+    ({"http_status__gte": 399.5, "http_status__lt": 10**30}, "http_status >= 400"), ({"is_suspicious": "TRUE"}, "is_suspicious"), ({"is_suspicious": False}, "NOT is_suspicious"), ({"is_suspicious": "yes"}, "false"), ({"is_suspicious": 1}, "false"),
+    ({"user": None}, '"user" IS NULL'), ({"user": None, "event_type": "http_request"}, "\"user\" IS NULL AND event_type = 'http_request'"), ({"user": 5}, "\"user\" = '5'"), ({"dst_port": "22"}, "dst_port = 22"), ({"dst_port__in": ["22", 80]}, "dst_port IN (22, 80)"), ({"dst_port__in": ["22", "x"]}, "false"),
+    ({"reason": None}, "false"), ({"event_type": ["http_request"]}, "false"), ({"event_type__in": ["http_request", None]}, "event_type = 'http_request'"), ({"timestamp__gte": "2024-01-10", "timestamp__lt": "2024-01-12T06:00:00+02:00"}, "t >= TIMESTAMP '2024-01-10 00:00:00' AND t < TIMESTAMP '2024-01-12 04:00:00'"), ({"timestamp__gte": "garbage"}, "false"), ({}, "true"),
+)
+
+
+@query(expected(" UNION ALL ".join(f"SELECT {i}::BIGINT AS selection, count(*) FILTER ({sql}) AS events FROM good" for i, (_, sql) in enumerate(TYPED))))
+def selection_types(spark, d):
+    """How many events each selection finds, all in one pass."""
+    counts = parsed(spark, d).agg(F.array(*[F.count_if(rules.predicate(s)) for s, _ in TYPED]).alias("n"))
+    return counts.select(F.posexplode("n").alias("selection", "events")).select(F.col("selection").cast("long"), "events")
+
+
 @query(with_alerts("SELECT rule_id, group_value FROM al WHERE NOT (group_value <> 'None' AND c % 2 = 0 AND CASE WHEN rule_id = 'rule-t4' THEN 3600 ELSE c * 100 END <= CASE WHEN rule_id = 'rule-t4' THEN 86400 ELSE 300 END)"))
 def rule_cooldown_tick(spark, d):
     """Earlier alerts, of half of the groups, hold back those whose cooldown isn't over."""

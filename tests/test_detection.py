@@ -52,6 +52,20 @@ def test_selections(spark):
     assert rules.Rule("x", "X", {}, "selection | count(user) >= 12 and more").n == 12 and rules.Rule("x", "X", {}, "nothing").op == ""
 
 
+def test_values_are_brought_to_the_type_of_their_field(spark):
+    unfit = lambda selection: rules.problem_of(rules.Rule("x", "X", selection, "selection | count(user) > 0"))
+    for selection in ({"http_path": 404}, {"http_path__in": [1, 2]}, {"pid__in": ["a"]}, {"timestamp__gte": "garbage"}, {"event_type": ["a"]}, {"event_type": {"a": 1}}, {"is_suspicious": 1}, {"is_suspicious": "yes"}, {"http_status": "404"}, {"http_status": True}, {"pid": float("nan")}, {"user": "\ud800"}, {"reason": None}, {"user__gte": None}, {"user__contains": 7}, {"user__in": "ann"}, {"user__in": [None]}, {3: 3}, ["user"], "user"):
+        assert unfit(selection), selection
+    for selection in ({}, {"user": None}, {"user": 5}, {"pid": "77"}, {"pid": 7.5}, {"pid__gt": 10**30}, {"http_status__in": ["404", 404]}, {"timestamp__gte": datetime(2026, 1, 1)}, {"timestamp__lt": NOW.date()}, {"is_suspicious": "False"}):
+        assert unfit(selection) is None, selection
+    events = sudo_events(spark, [("ann", 1), (None, 1), ("5", 1)]).withColumn("user", F.nullif("user", F.lit("None")))
+    finds = lambda selection: events.where(rules.predicate(selection)).count()
+    assert [finds(s) for s in ({"user": None}, {"user": 5}, {"timestamp__gte": str(NOW - timedelta(seconds=2))}, {"timestamp__gt": NOW.date()}, {"pid": None}, {"pid__in": []})] == [1, 1, 3, 3, 3, 0]
+    odd = [rules.Rule(7, 8, {"user": 5}, "selection | count(user) > 0", 9, "99999999999999999999d", 4, (1, 2)), rules.Rule("big", "B", {}, f"selection | count(user) > {10**30}"), rules.Rule("none", "N", {"pid": 1}, None)]
+    assert [(a.rule_id, a.rule_title, a.tags) for a in rules.alerts(events, odd, as_of()).collect()] == [("7", "8", ["1", "2"])]
+    assert {"value of another type: pid", "no technique tag"} <= {r.problem for r in rules.lint(rules.rule_table(spark, [rules.Rule("x", "X", {"pid": "a"}, "selection | count(user) > 0")])).collect()}
+
+
 def test_rules_from_files(spark, tmp_path):
     (tmp_path / "b.yml").write_text("title: B\nid: b\ndetection:\n  selection: {event_type: x}\n  condition: selection | count(user) > 3\n  timeframe: 2h\nresponse: {cooldown: 1d}\ntags: [attack.t1]\n")
     (tmp_path / "a.yaml").write_text("title: A\nstatus: disabled\ndetection: {selection: {}, condition: x}\n")
