@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from logmill.operators.parse import CORE, EXTRA, INTS
+from logmill.session import shared_dir
 
 DEFAULT_COOLDOWN = 300
 #: Seconds of some 3,000 years: further back there is no event.
 LONGEST = 10**11
 #: Fired moments that a task gives out at a time.
 MOST_MOMENTS = 10_000
+#: Buckets of a period that one task looks over.
+TOGETHER = 4096
 CONDITION = r"selection\s*\|\s*count\((\w+)\)\s*(>=|<=|==|>|<)\s*(\d+)"
 FIELDS = {*CORE, "source", "user"}
 #: What a selection may name.
@@ -320,13 +323,75 @@ def walk(spans: DataFrame, keys: list[str], period: int, step: int = 1, origin:
     return dealt.mapInArrow(fire, schema)
 
 
-def cooldown_fold(hits: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
+def pointers(times: DataFrame, period: int) -> DataFrame:
+    """For each time lm_t of a key lm_k the first one of the key at least period later: lm_k, lm_t, lm_next (null without one).
+
+    Times are dealt to buckets of a period. What is looked for stands in the next bucket behind the same place, found by a
+    running minimum over the two buckets' rows, or else it is the first one of the next bucket that has any. No task has
+    more than the distinct seconds of two periods, or of some thousand buckets' first times.
+    """
+    own = times.select("lm_k", "lm_t", F.floor(F.col("lm_t") / period).alias("lm_b")).withColumn("lm_r", F.col("lm_t") - F.col("lm_b") * period)
+    both = own.withColumn("lm_kind", F.lit(1)).unionByName(own.withColumns({"lm_kind": F.lit(0), "lm_b": F.col("lm_b") + 1}))
+    down = Window.partitionBy("lm_k", "lm_b").orderBy(F.desc("lm_r"), F.desc("lm_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("lm_near", F.min(F.when(F.col("lm_kind") == 1, F.col("lm_t"))).over(down)).where("lm_kind = 0").select("lm_k", "lm_t", (F.col("lm_b") - 1).alias("lm_b"), "lm_near")
+    firsts = own.groupBy("lm_k", "lm_b").agg(F.min("lm_t").alias("lm_first")).withColumns({"lm_s": F.floor(F.col("lm_b") / TOGETHER), "lm_x": F.struct("lm_b", "lm_first")})
+    heads = firsts.groupBy("lm_k", "lm_s").agg(F.slice(F.array_sort(F.collect_list("lm_x")), 1, 2).alias("lm_heads"))  # of TOGETHER at most
+    over, inside = Window.partitionBy("lm_k").orderBy("lm_s"), Window.partitionBy("lm_k", "lm_s").orderBy("lm_b")
+    empty = F.array().cast("array<struct<lm_b:long,lm_first:long>>")
+    later = heads.select("lm_k", "lm_s", F.concat(*[F.coalesce(F.lead("lm_heads", i).over(over), empty) for i in (1, 2)]).alias("lm_later"))
+    after = firsts.withColumn("lm_after", F.array_compact(F.array(F.lead("lm_x", 1).over(inside), F.lead("lm_x", 2).over(inside)))).join(later, ["lm_k", "lm_s"])
+    far = F.filter(F.concat("lm_after", "lm_later"), lambda x: x["lm_b"] >= F.col("lm_b") + 2)
+    after = after.select("lm_k", "lm_b", F.try_element_at(far, F.lit(1))["lm_first"].alias("lm_far"))
+    return near.join(after, ["lm_k", "lm_b"]).select("lm_k", "lm_t", F.coalesce("lm_near", "lm_far").alias("lm_next"))
+
+
+def doubled(times: DataFrame, period: int) -> DataFrame:
+    """Of the times lm_t of each key lm_k those that fire, by pointer doubling: lm_k and lm_t.
+
+    A round lets what has fired jump along its pointers, and then joins pointers with themselves, so they reach twice as
+    far: as many rounds as the number of fired times has bits. Rows of a key are spread by time in every join, and each
+    round is a stored table, so a lost executor costs one round.
+    """
+    spark, place = times.sparkSession, shared_dir(times.sparkSession)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{place}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{place}/{name}")
+
+    jump = kept(pointers(times, period), "jump-0")
+    new = kept(times.groupBy("lm_k").agg(F.min("lm_t").alias("lm_t")), "fired-0")
+    fired, i = new, 0
+    while True:
+        i += 1
+        new = kept(fired.join(jump.where("lm_next is not null"), ["lm_k", "lm_t"]).select("lm_k", F.col("lm_next").alias("lm_t")), f"fired-{i}")
+        if new.isEmpty():
+            return fired
+        fired = fired.unionByName(new)
+        then = jump.select("lm_k", F.col("lm_t").alias("lm_next"), F.col("lm_next").alias("lm_then"))
+        jump = kept(jump.where("lm_next is not null").join(then, ["lm_k", "lm_next"]).select("lm_k", "lm_t", F.col("lm_then").alias("lm_next")), f"jump-{i}")
+
+
+def cooldown_fold(hits: DataFrame, keys: list[str], at: str, gap: int, most: int = 2_000_000) -> DataFrame:
     """Of the times (long seconds) of each key those that fire: the first, then each over gap seconds after the last that fired.
 
-    Times that fall in the same second are counted once, spread over all tasks, before keys are dealt; null times don't count.
+    Times that fall in the same second are counted once, spread over all tasks, before keys are dealt; null times don't
+    count. A key with up to most of them is walked by a task; those of keys with more are spread over tasks, by pointer
+    doubling. These keys' table has a row for every most times at most, and is broadcast. Both ways give the same rows.
     """
-    times = hits.select(*keys, F.col(at).alias("lm_a")).where("lm_a is not null").distinct()
-    return walk(times.withColumn("lm_b", F.col("lm_a")), keys, gap + 1)
+    spark, place = hits.sparkSession, shared_dir(hits.sparkSession)
+    distinct = hits.select(*keys, F.col(at).alias("lm_a")).where("lm_a is not null").distinct()
+    distinct.write.parquet(f"{place}/times")
+    times = spark.read.schema(distinct.schema).parquet(f"{place}/times")
+    walked = lambda df: walk(df.withColumn("lm_b", F.col("lm_a")), keys, gap + 1)
+    if times.count() <= most:  # the files know
+        return walked(times)
+    hot = times.groupBy(*keys).agg(F.count("*").alias("lm_n")).where(F.col("lm_n") > most).select(*[F.col(k).alias(f"lm_h_{k}") for k in keys], F.monotonically_increasing_id().alias("lm_k"))
+    hot.write.parquet(f"{place}/hot")
+    hot = F.broadcast(spark.read.schema(hot.schema).parquet(f"{place}/hot"))
+    same = reduce(and_, [times[k].eqNullSafe(hot[f"lm_h_{k}"]) for k in keys])
+    own = doubled(times.join(hot, same).select("lm_k", F.col("lm_a").cast("long").alias("lm_t")), gap + 1)
+    found = own.join(hot, "lm_k").select(*[F.col(f"lm_h_{k}").alias(k) for k in keys], F.col("lm_t").alias("fired_at"))
+    return walked(times.join(hot, same, "left_anti")).unionByName(found)
 
 
 def replay(events: DataFrame, rule: Rule, start: Column, end: Column, tick: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from logmill.operators import anomaly, features, forest, rules, views
@@ -96,6 +97,19 @@ def test_cooldown_fold_of_many_times(spark, monkeypatch):
     assert rules.cooldown_fold(spark.createDataFrame([], "a string, b int, at long"), ["a", "b"], "at", 300).count() == 0
 
 
+@pytest.mark.parametrize(("period", "together"), [(301, 4096), (7, 2), (1, 3)])
+def test_pointer_doubling(spark, monkeypatch, period, together):
+    """The same as the walk, with keys of many, one and null values, gaps of many periods and negative times."""
+    monkeypatch.setattr(rules, "TOGETHER", together)
+    rng = random.Random(period)
+    hits = [("hot", 1, rng.randrange(-5_000, 40_000)) for _ in range(6_000)] + [("hot", None, 50_000 * i * i + rng.randrange(400)) for i in range(300)] + [(None, 2, t) for t in range(0, 300, 3)] + [("one", 1, 7), ("few", 3, 1), ("few", 3, 2), ("few", 3, None)]
+    frame = spark.createDataFrame(hits, "a string, b int, at long")
+    rows = lambda most: sorted(map(str, rules.cooldown_fold(frame, ["a", "b"], "at", period - 1, most).collect()))
+    walked = rows(10**6)
+    assert rows(50) == walked == rows(0)
+
+
+
 def test_replay_against_ticks(spark):
     rng = random.Random(1)
     items = [(rng.choice("ab"), rng.randrange(40_000)) for _ in range(120)]
