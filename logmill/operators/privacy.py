@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_network
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,14 @@ IPV4_LOOSE = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 H = r"[0-9a-fA-F]{1,4}"
 IPV6_LOOSE = rf"\b(?:{H}:){{3,7}}{H}\b|\b(?:{H})?::(?:{H}:?){{0,6}}[0-9a-fA-F]{{0,4}}\b"
 LOOSE = f"{IPV4_LOOSE}|{IPV6_LOOSE}"
-IPV6 = rf"^(?:(?:{H}:){{7}}{H}|(?=(?:[^:]*:){{2,7}}[^:]*$)(?!.*::.*::)(?:{H}(?::{H})*)?::(?:{H}(?::{H})*)?)$"
-#: Networks that aren't public, as (first address, prefix length).
+IPV6 = rf"^(?:(?:{H}:){{7}}{H}|(?=(?:[^:]*:){{2,7}}[^:]*$|::(?:{H}:){{6}}{H}$|(?:{H}:){{7}}:$)(?!.*::.*::)(?:{H}(?::{H})*)?::(?:{H}(?::{H})*)?)$"
+#: Networks that aren't public, and parts of them that are, by the registries of special addresses.
 PRIVATE_NETS = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24), ("192.168.0.0", 16),
-    ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4), ("255.255.255.255", 32),
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
 )
+PUBLIC_PARTS = ("192.0.0.9/32", "192.0.0.10/32")
+PRIVATE_NETS_6 = ("::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10")
+PUBLIC_PARTS_6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
 NAME = r"([A-Za-z0-9._\-$]{1,32})"
 USER_PATTERNS = (
     rf"(?i)\bfor\s+(?:invalid\s+user\s+)?{NAME}\s+from\b",
@@ -36,9 +40,35 @@ HOME = r"/(home|Users)/([A-Za-z0-9._-]+)"
 USER_LABEL, IP_LABEL = r"^USER_\d+$", r"^IP_\d+(?:\s*\([^)]*\))?$"
 
 
-def ipv4_number(ip: Column) -> Column:
-    p = F.split(ip, r"\.")
-    return sum((F.try_element_at(p, F.lit(i + 1)).try_cast("long") * (1 << (24 - 8 * i)) for i in range(1, 4)), F.try_element_at(p, F.lit(1)).try_cast("long") * (1 << 24))
+def numbers_of(parts: Column, base: int) -> Column:
+    return F.transform(parts, lambda x: F.conv(x, base, 10).try_cast("long"))
+
+
+def within(groups: Column, nets: tuple[str, ...]) -> Column:
+    """Whether an address, as an array of its 4 bytes or 8 groups of 16 bits, is in one of the networks."""
+    any_ = F.lit(False)
+    for net in map(ip_network, nets):
+        width, size = (8, 4) if net.version == 4 else (16, 8)
+        first, here = int(net.network_address), F.lit(True)
+        for i in range(-(-net.prefixlen // width)):
+            keep = min(width, net.prefixlen - width * i)  # bits of this group that count
+            value = first >> (width * (size - 1 - i)) & (1 << width) - 1
+            here = here & (F.shiftright(F.get(groups, i), width - keep) == value >> (width - keep))
+        any_ = any_ | here
+    return any_
+
+
+def ipv6_groups(text: Column) -> Column:
+    """The 8 groups of an IPv6 address, which may end in an IPv4 address and a zone; null if it is none."""
+    bare = F.regexp_replace(text, r"^([^%]*)%[^%]+$", "$1")
+    last = numbers_of(F.split(F.substring_index(bare, ":", -1), r"\."), 10)
+    pair = lambda i: F.lower(F.hex(F.get(last, i) * 256 + F.get(last, i + 1)))
+    dotted = bare.contains(".")
+    plain = F.when(~dotted, bare).when(F.substring_index(bare, ":", -1).rlike(IPV4), F.concat(F.regexp_replace(bare, "[^:]*$", ""), pair(0), F.lit(":"), pair(2)))
+    sides = F.split(plain, "::")
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(sides, i), F.lit("")), ":"), lambda x: x != "")
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(groups(0)) - F.size(groups(1))))
+    return F.when(plain.rlike(IPV6), numbers_of(F.concat(groups(0), zeros, groups(1)), 16))
 
 
 def is_ip(text: Column) -> Column:
@@ -46,17 +76,15 @@ def is_ip(text: Column) -> Column:
 
 
 def ip_scope(ip: Column) -> Column:
-    """localhost, private, public or unknown (not an address)."""
-    n, low = ipv4_number(ip), F.lower(ip)
-    in_net = lambda net, bits: n.between(lo := sum(int(x) << (24 - 8 * i) for i, x in enumerate(net.split("."))), lo + (1 << (32 - bits)) - 1)
-    private = F.lit(False)
-    for net, bits in PRIVATE_NETS:
-        private = private | in_net(net, bits)
-    return (
-        F.when(ip.rlike(IPV4), F.when(in_net("127.0.0.0", 8), LOCALHOST).when(private, PRIVATE).otherwise(PUBLIC))
-        .when(ip.rlike(IPV6), F.when(low.isin("::1", "0:0:0:0:0:0:0:1"), LOCALHOST).when(low.rlike("^(?:f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]|2001:0?db8|::$)"), PRIVATE).otherwise(PUBLIC))
-        .otherwise(UNKNOWN)
-    )
+    """localhost, private, public or unknown (not an address), as the registries have it; an IPv4 address that is mapped
+    into IPv6 has its own scope, a zone (``%eth0``) makes no difference."""
+    four = lambda g: F.when(F.get(g, 0) == 127, LOCALHOST).when(within(g, PRIVATE_NETS) & ~within(g, PUBLIC_PARTS), PRIVATE).otherwise(PUBLIC)
+    six = lambda g: F.when(within(g, ("::1/128",)), LOCALHOST).when(within(g, PRIVATE_NETS_6) & ~within(g, PUBLIC_PARTS_6), PRIVATE).otherwise(PUBLIC)
+    inner = lambda g: F.array(*[F.shiftright(F.get(g, 6 + i // 2), 8 * (1 - i % 2)).bitwiseAND(255) for i in range(4)])
+    mapped = lambda g: F.when(within(g, ("::ffff:0:0/96",)), four(inner(g))).otherwise(six(g))
+    once = lambda groups, f: F.get(F.transform(F.array(groups), f), 0)  # noqa: E731  the groups are worked out once
+    v6 = once(ipv6_groups(ip), lambda g: F.when(g.isNull(), UNKNOWN).otherwise(mapped(g)))
+    return F.when(ip.rlike(IPV4), once(numbers_of(F.split(ip, r"\."), 10), four)).when(ip.contains(":"), v6).otherwise(UNKNOWN)
 
 
 def numbered(values: DataFrame, prefix: str, disclosed: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Pseudonyms and scrubbed text."""
 
 import ipaddress
+import random
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ def test_ip_scope(spark):
             return "bilinmiyor"
         return "localhost" if a.is_loopback else "yerel" if a.is_private else "harici"
 
+    values += ["::ffff:a00:1", "2001::1", "100::1", "2001:10::1", "2002::1", "64:ff9b:1::1", "192.0.0.8", "192.0.0.9", "192.0.0.170", "0::1", "::ffff:10.0.0.1", "::ffff:127.0.0.1", "::ffff:8.8.8.8", "fe80::1%eth0", "::1%lo", "1::%", "1::%a%b", "::1.2.3.4", "::1.2.3.04", "1.2.3.4::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "1::2::3", ":1::", "::", ":", ":::", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "2001:1::1", "2001:1::3", "2001:3::", "2001:2f::1", "fdff::", "fe00::", "febf::1", "FE80::A", "12345::"]
+    rng = random.Random(5)
+    values += [":".join(rng.choice(["", "0", "1", "ffff", "2001", "fe80", "db8", "10.0.0.1", "127.0.0.1", "g"]) for _ in range(rng.randrange(2, 10))) for _ in range(1500)]
+    values += [str(ipaddress.IPv6Address(rng.choice([rng.getrandbits(128), int(ipaddress.ip_address(rng.choice(["2001::", "::ffff:0:0", "64:ff9b:1::", "fc00::", "100::"]))) + rng.getrandbits(rng.randrange(128))]) % 2**128)) for _ in range(500)] + [str(ipaddress.IPv4Address(rng.choice([rng.getrandbits(32), (192 << 24) + rng.getrandbits(12), (198 << 24) + rng.getrandbits(21)]))) for _ in range(300)]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", privacy.ip_scope(F.col("v")).alias("s")).collect()
     assert {r.v: r.s for r in rows} == {v: want(v) for v in values}
 
