@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, time, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logmill.session import shared_dir
+
 STATUSES = ("new", "acknowledged", "resolved", "false_positive")
 
 
@@ -92,6 +95,57 @@ def dry_run(events: DataFrame, alerts: DataFrame, bridge: DataFrame, as_of: Colu
     return e.join(F.broadcast(k)).join(F.broadcast(a)).join(F.broadcast(s)).select((F.col("a") - F.col("s")).alias("alerts_to_delete"), (F.col("e") - F.col("k")).alias("events_to_delete"))
 
 
+def prune_in_place(events_path: str, alerts: DataFrame, links: DataFrame, as_of: datetime, event_days: int = 90, alert_days: int = 365) -> tuple[DataFrame, DataFrame]:
+    """Prune the event table at events_path (folders event_date=...) as retained does; returns what was done to each old
+    date (event_date, action, kept) and the alerts that stay.
+
+    Dates that are young aren't read, and their files stay. Of old dates only ids of events that an alert that stays still
+    needs are looked for, and with a column event_date in links (alert_id, event_id) only in dates that have any: other
+    dates go as folders, unread. What stays of a date is stored in the shared folder first and then replaces that date
+    alone (dynamic partition overwrite), so a run that fails can be run again, or what it was writing be taken from there.
+    Events without a timestamp stay. The cutoff's own date keeps its young events.
+    """
+    spark = alerts.sparkSession
+    cutoff, oldest = (as_of - timedelta(days=d) for d in (event_days, alert_days))
+    stay = alerts.where(F.col("created_at") >= F.lit(oldest))
+    needed = links.join(stay.select(F.col("id").alias("alert_id")), "alert_id", "left_semi")
+    path = spark._jvm.org.apache.hadoop.fs.Path(events_path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {s.getPath().getName().removeprefix("event_date="): s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("event_date=2") or s.getPath().getName().startswith("event_date=1")}
+    last = cutoff.date().isoformat()
+    old = sorted(d for d in folders if d < last or d == last and cutoff.time() != time())
+    held = [str(r[0]) for r in needed.select("event_date").distinct().collect()] if "event_date" in links.columns else old  # dates only
+    part = spark.read.parquet(events_path).where(F.col("event_date").cast("string").isin([d for d in old if d in held or d == last]))
+    kept = part.where(F.col("timestamp") >= F.lit(cutoff)).unionByName(part.where(F.col("timestamp") < F.lit(cutoff)).join(needed.select(F.col("event_id").alias("line_id")).distinct(), "line_id", "left_semi").select(*part.columns))
+    place = f"{shared_dir(spark)}/kept"
+    kept.write.partitionBy("event_date").parquet(place)
+    rows = spark.read.schema(part.schema).parquet(place)
+    counts = {str(r[0]): r[1] for r in rows.groupBy("event_date").count().collect()}  # a row for each old date
+    if counts:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(events_path)
+    for d in old:
+        if d not in counts:
+            files.delete(folders[d], True)
+    done = [(d, "rewritten" if d in counts else "dropped", counts.get(d, 0)) for d in old]
+    return spark.createDataFrame(done, "event_date string, action string, kept long"), stay
+
+
+def active_days(events: DataFrame) -> DataFrame:
+    """src_ip, month (its first day) and days: a bit for each day of the month on which the address was seen.
+
+    A row of a few bytes for each address and month, which can be stored; rows of later days are added to it.
+    """
+    day = F.to_date("timestamp")
+    return events.where("src_ip is not null and timestamp is not null").groupBy("src_ip", F.trunc(day, "month").alias("month")).agg(F.bit_or(F.expr("shiftleft(1, day(timestamp) - 1)")).alias("days"))
+
+
+def persistence_of(days: DataFrame, levels=(3, 25)) -> DataFrame:
+    """The row that persistence gives, from stored active_days alone, several rows of an address and month merged."""
+    months = days.groupBy("src_ip", "month").agg(F.bit_or("days").alias("days"))
+    own = months.groupBy("src_ip").agg(F.sum(F.bit_count("days")).alias("d"))
+    return own.agg(F.count("*").alias("addresses"), *[F.count_if(F.col("d") >= n).alias(f"at_least_{n}_days") for n in levels])
+
+
 def persistence(events: DataFrame, levels=(3, 25)) -> DataFrame:
     """One row: addresses seen, and how many of them on at least so many days."""
     days = events.where("src_ip is not null").groupBy("src_ip").agg(F.count_distinct(F.to_date("timestamp")).alias("d"))

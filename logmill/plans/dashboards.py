@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from logmill.operators import briefs, privacy, routing, views
-from logmill.plans.base import NOW, as_of, bridge, event_table, expected, parsed, query, raised, snapshot, with_alerts
+from logmill.operators.events import write_events
+from logmill.plans.base import NOW, as_of, bridge, event_table, expected, parsed, query, raised, shared_dir, snapshot, with_alerts
 
 
 def seconds():
@@ -113,6 +116,26 @@ def retention_dry_run(spark, d):
     return views.dry_run(e, a, bridge(e, a), as_of(), 4, 170)
 
 
+@query(with_alerts(f"SELECT event_id AS line_id FROM good WHERE NOT ({OLD}) OR event_id IN (SELECT event_id FROM br JOIN al ON al.id = alert_id WHERE created_at >= {NOW} - INTERVAL 170 DAY)"))
+def retention_in_place(spark, d):
+    """A stored event table, a folder for each date, pruned where it lies."""
+    e, path = event_table(spark, d), f"{shared_dir(spark)}/events"
+    write_events(e, path)
+    a = raised(e)
+    links = bridge(e, a).join(e.select(F.col("line_id").alias("event_id"), F.to_date("timestamp").alias("event_date")), "event_id")
+    views.prune_in_place(path, a, links, datetime(2024, 2, 1, tzinfo=UTC), 4, 170)
+    return spark.read.parquet(path).select("line_id")
+
+
+@query(expected("SELECT count(*) AS addresses, count(*) FILTER (n >= 3) AS at_least_3_days, count(*) FILTER (n >= 25) AS at_least_25_days FROM (SELECT src_ip, count(DISTINCT CAST(t AS DATE)) AS n FROM good WHERE src_ip IS NOT NULL GROUP BY 1)"))
+def ip_persistence_stored(spark, d):
+    """Days of two deliveries that overlap, stored as bits and merged."""
+    e, path = parsed(spark, d), f"{shared_dir(spark)}/days"
+    for part in ("day(timestamp) <= 15", "day(timestamp) >= 12"):
+        views.active_days(e.where(part)).write.mode("append").parquet(path)
+    return views.persistence_of(spark.read.parquet(path))
+
+
 @query(expected("SELECT count(*) AS addresses, count(*) FILTER (n >= 3) AS at_least_3_days, count(*) FILTER (n >= 25) AS at_least_25_days FROM (SELECT src_ip, count(DISTINCT CAST(t AS DATE)) AS n FROM good WHERE src_ip IS NOT NULL GROUP BY 1)"))
 def ip_persistence(spark, d):
     return views.persistence(parsed(spark, d))
@@ -144,6 +167,14 @@ def ip_scope(spark, d):
     return parsed(spark, d).where("src_ip is not null").groupBy("src_ip").agg(F.count("*").alias("n")).select("src_ip", privacy.ip_scope(F.col("src_ip")).alias("scope"), "n")
 
 
+@query(expected(f"SELECT '::ffff:' || src_ip AS address, {SCOPE} AS scope FROM good WHERE src_ip IS NOT NULL UNION SELECT '2002:' || src_port || '::' || src_ip, 'yerel' FROM good WHERE src_port < 10000 AND src_ip IS NOT NULL UNION SELECT '2a00::' || src_ip || '%eth0', 'harici' FROM good WHERE src_ip IS NOT NULL"))
+def ip_scope_v6(spark, d):
+    """Addresses in several IPv6 forms: mapped, with a special prefix, and with a zone."""
+    e, ip = parsed(spark, d).where("src_ip is not null"), F.col("src_ip")
+    forms = F.array(F.concat(F.lit("::ffff:"), ip), F.when(F.col("src_port") < 10_000, F.concat(F.lit("2002:"), F.col("src_port"), F.lit("::"), ip)), F.concat(F.lit("2a00::"), ip, F.lit("%eth0")))
+    return e.select(F.explode(F.array_compact(forms)).alias("address")).distinct().select("address", privacy.ip_scope(F.col("address")).alias("scope"))
+
+
 def scoped(spark, d, column):
     """A scope for each host, positions by line."""
     return parsed(spark, d).where("source <> 'nginx_access'").select(F.col("host").alias("scope_id"), F.col("line_id").alias("position"), F.col(column).alias("value"))

@@ -204,11 +204,11 @@ def zscore_flags(spark, d):
     return anomaly.scored(w, anomaly.fit(w)).where("flag").select("window_start", "feature", "value", *ROUND("z"))
 
 
-@query(expected(f", {BASE_SQL} SELECT window_start, string_agg(feature || '=' || CAST(value * 100 AS BIGINT), ',' ORDER BY position) AS details FROM sc WHERE flag GROUP BY 1"))
+@query(expected(f", {BASE_SQL} SELECT window_start, feature, value, round(mean, 9) AS mean, round(std, 9) AS std, round(z, 2) AS z FROM sc WHERE flag"))
 def anomaly_details(spark, d):
     w = snapshot(by_hour(spark, d))
-    v = anomaly.verdicts(anomaly.scored(w, anomaly.fit(w))).where(F.size("details") > 0)
-    return v.select("window_start", F.array_join(F.transform("details", lambda x: F.concat(x["feature"], F.lit("="), (x["value"] * 100).cast("long").cast("string"))), ",").alias("details"))
+    v = anomaly.verdicts(anomaly.scored(w, anomaly.fit(w)))
+    return v.select("window_start", F.inline("details")).select("window_start", "feature", "value", *ROUND("mean", "std"), "z")
 
 
 def votes(w):
@@ -229,10 +229,11 @@ def consensus_severity(spark, d):
     return judged(spark, d, agree=False).select("window_start", "score", "is_anomaly", "method", "severity")
 
 
-@query(expected(f", {VERDICT_SQL} SELECT window_start, 'ML Anomaly detected (score=1.00, method=z_score+isolation_forest)' || chr(10) || 'Window: ' || strftime(make_timestamp(window_start * 1000000), '%Y-%m-%d %H:%M:%S') || ' — ' || strftime(make_timestamp((window_start + 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS head, flags FROM vd WHERE score = 1"))
+@query(expected(f""", {VERDICT_SQL}, fl AS (SELECT window_start, string_agg('  ' || feature || ': value=' || CAST(value AS VARCHAR) || ', mean=' || printf('%.1f', mean) || ', z=' || CAST(round(z, 2) AS VARCHAR), chr(10) ORDER BY position) AS lines FROM sc WHERE flag GROUP BY 1)
+    SELECT window_start, 'ML Anomaly detected (score=1.00, method=z_score+isolation_forest)' || chr(10) || 'Window: ' || strftime(make_timestamp(window_start * 1000000), '%Y-%m-%d %H:%M:%S+00:00') || ' — ' || strftime(make_timestamp((window_start + 3600) * 1000000), '%Y-%m-%d %H:%M:%S+00:00')
+        || chr(10) || chr(10) || 'Anomalous features:' || chr(10) || lines || chr(10) || chr(10) || 'Isolation Forest: anomaly' AS message FROM vd JOIN fl USING (window_start) WHERE score = 1"""))
 def anomaly_messages(spark, d):
-    m = judged(spark, d).where("is_anomaly").withColumn("message", anomaly.message(60))
-    return m.select("window_start", F.substring_index("message", "\n", 2).alias("head"), F.size("details").cast("long").alias("flags"))
+    return judged(spark, d).where("is_anomaly").select("window_start", anomaly.message(60).alias("message"))
 
 
 @query(recursive(f"{expected('')[5:]}, {VERDICT_SQL}, " + fold_sql("rule_id", "SELECT 'ml-anomaly' AS rule_id, window_start AS ts FROM vd WHERE score > 0", 3 * 3600) + " SELECT fired_at AS window_start, 'ml,anomaly,z_score+isolation_forest' AS tags FROM walk WHERE fired_at IS NOT NULL"))

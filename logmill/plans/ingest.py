@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logmill.functions.stamps import access_stamp, bsd_stamp, duration_seconds, iso_stamp
 from logmill.operators import events as ev
 from logmill.operators.parse import parse_access, parse_auth, parse_syslog
-from logmill.plans.base import NOW, as_of, expected, lines, parsed, query, shared_dir
+from logmill.plans.base import NOW, as_of, expected, lines, parsed, query, shared_dir, snapshot
 from logmill.sources.lines import SOURCES, accounting, not_ignored
 
 LONG = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
@@ -111,6 +111,20 @@ def ingest_lag(spark, d):
     return ev.ingest_lag(e, F.col("collected_at") + F.expr("interval 5 seconds"))
 
 
+@query(expected("""SELECT source, count(*) AS n, true AS close FROM good GROUP BY source"""))
+def ingest_lag_sketches(spark, d):
+    """Delays from stored sketches of two deliveries; close says whether the ranks of the quantiles are within 2 %."""
+    e, path = snapshot(parsed(spark, d).withColumn("collected_at", F.timestamp_seconds(F.unix_timestamp("timestamp") + F.col("line_id") % 60 + 1))), f"{shared_dir(spark)}/sketches"
+    for part in ("line_id % 3 = 0", "line_id % 3 > 0"):
+        ev.lag_sketches(e.where(part)).write.mode("append").parquet(path)
+    told = F.broadcast(ev.lag_quantiles(spark.read.parquet(path), (0.5, 0.95)))  # a row for each source
+    delay = F.unix_timestamp("collected_at") - F.unix_timestamp("timestamp")
+    low, high = ([F.count_if(op(delay, F.col(c))).alias(f"{k}_{c}") for c in ("p50", "p95")] for k, op in (("below", lambda a, b: a < b), ("upto", lambda a, b: a <= b)))
+    ranks = e.join(told.withColumnRenamed("n", "told"), "source").groupBy("source").agg(F.count("*").alias("n"), F.max("told").alias("told"), *low, *high)
+    near = lambda c, r: (F.col(f"below_{c}") <= (r + 0.02) * F.col("n")) & (F.col(f"upto_{c}") >= (r - 0.02) * F.col("n"))
+    return ranks.select("source", "n", (near("p50", 0.5) & near("p95", 0.95) & (F.col("told") == F.col("n"))).alias("close"))
+
+
 @query(expected("""SELECT event_id AS line_id, event_type || ' ' || coalesce(src_ip, '-') || ' ' || coalesce("user", '-') || ' ' || click_message AS summary FROM good WHERE source = 'nginx_access'"""))
 def preview_lines(spark, d):
     return ev.preview(parsed(spark, d).where("source = 'nginx_access'"))
