@@ -98,7 +98,10 @@ def analysis_queue(alerts: DataFrame, forced: DataFrame | None = None) -> DataFr
     return alerts.join(forced.select("id", F.lit(True).alias("lm_f")).distinct(), "id", "left").where(empty | F.col("lm_f")).drop("lm_f")
 
 
-def store_analyses(alerts: DataFrame, results: DataFrame) -> DataFrame:
-    """Results (id, ok, text): a success overwrites, a failure keeps the old text."""
-    good = results.where("ok").groupBy("id").agg(F.max("text").alias("lm_new"))
+def store_analyses(alerts: DataFrame, results: DataFrame, order: str | None = None) -> DataFrame:
+    """Results (id, ok, text): a success overwrites, a failure keeps the old text.
+
+    Of several successes the last by the column order counts; without one the alphabetically last.
+    """
+    good = results.where("ok").groupBy("id").agg(F.max(F.struct(*([order] if order else []), F.col("text").alias("lm_t")))["lm_t"].alias("lm_new"))
     return alerts.join(good, "id", "left").withColumn("llm_analysis", F.coalesce("lm_new", "llm_analysis")).drop("lm_new")

@@ -35,8 +35,17 @@ def grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int, nodes:
 
 
 def fit(windows: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """tree, node, feature, cut, left, right and credit of all nodes; a tree sees sample windows picked by hash."""
-    dealt = windows.select("window_start", *[F.col(f).cast("double").alias(f) for f in FEATURES], F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    """tree, node, feature, cut, left, right and credit of all nodes; a tree sees sample windows, those with its smallest hashes.
+
+    Only windows whose hash for a tree is under a bound are copied to it; the bound comes from the number of windows and
+    lets twice as many pass as are needed and some more, so a tree lacks none (the odds are below 1e-25), and then each
+    tree keeps its smallest ones.
+    """
+    count = F.broadcast(windows.agg(F.count("*").alias("lm_n")))  # one row
+    share = F.lit(2.0 * sample + 64) / F.greatest(F.col("lm_n"), F.lit(1))
+    under = F.when(share < 1, ((share - 0.5) * 2.0**64).try_cast("long"))
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: under.isNull() | (F.xxhash64("window_start", t, F.lit(seed)) < under))
+    dealt = windows.join(count).select("window_start", *[F.col(f).cast("double").alias(f) for f in FEATURES], F.explode(mine).alias("tree"))
     own = dealt.withColumn("r", F.xxhash64("window_start", "tree", F.lit(seed)))
     nth = F.row_number().over(Window.partitionBy("tree").orderBy("r", "window_start"))  # limited before the shuffle
     first = own.withColumn("nth", nth).where(F.col("nth") <= sample)

@@ -283,15 +283,15 @@ def evidence(events: DataFrame, rules, found: DataFrame, as_of: Column) -> DataF
     return own.join(found.select(F.col("id").alias("alert_id"), "rule_id", "group_value"), ["rule_id", "group_value"]).select("alert_id", "event_id")
 
 
-def walk(spans: DataFrame, keys: list[str], period: int, step: int = 1, origin: Column | int = 0) -> DataFrame:
+def walk(spans: DataFrame, keys: list[str], period: Column | int, step: int = 1, origin: Column | int = 0) -> DataFrame:
     """Of each key's spans (lm_a to lm_b, long seconds) the moments that fire: the first in a span, then each at least period
-    seconds after the last that fired; with a step only moments at origin plus its multiples count.
+    seconds after the last that fired; with a step only moments at origin plus its multiples count. A key has one period.
 
     Spark deals keys to tasks and sorts them there, on disk where needed. A task passes over the sorted rows with the
     last fired moment of one key in memory, so no key is gathered in a row. Keys may be null.
     """
-    zero = F.lit(origin) if isinstance(origin, int) else origin
-    own = spans.select(*keys, F.col("lm_a").cast("long").alias("lm_a"), F.col("lm_b").cast("long").alias("lm_b"), zero.cast("long").alias("lm_zero"))
+    zero, gap = (F.lit(x) if isinstance(x, int) else x for x in (origin, period))
+    own = spans.select(*keys, F.col("lm_a").cast("long").alias("lm_a"), F.col("lm_b").cast("long").alias("lm_b"), zero.cast("long").alias("lm_zero"), gap.cast("long").alias("lm_gap"))
     dealt = own.repartition(*keys).sortWithinPartitions(*keys, "lm_a", "lm_b")
     schema = StructType([*[f for f in own.schema.fields if f.name in keys], StructField("fired_at", LongType())])
 
@@ -300,7 +300,7 @@ def walk(spans: DataFrame, keys: list[str], period: int, step: int = 1, origin:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(len(keys))]
             rows, moments = [], []
-            for i, (start, end, zero) in enumerate(zip(*(batch.column(len(keys) + j).to_pylist() for j in range(3)), strict=True)):
+            for i, (start, end, zero, period) in enumerate(zip(*(batch.column(len(keys) + j).to_pylist() for j in range(4)), strict=True)):
                 own_key = tuple(c[i] for c in columns)
                 if own_key != key:
                     key, last = own_key, None
@@ -394,19 +394,32 @@ def cooldown_fold(hits: DataFrame, keys: list[str], at: str, gap: int, most: int
     return walked(times.join(hot, same, "left_anti")).unionByName(found)
 
 
-def replay(events: DataFrame, rule: Rule, start: Column, end: Column, tick: int) -> DataFrame:
-    """group_value and fired_at (seconds) of the alerts of a rule if it were run every tick from start to end.
+def replay_all(events: DataFrame, rules, start: Column, end: Column, tick: int, stretch: int = 7 * 86400) -> DataFrame:
+    """rule_id, group_value and fired_at (seconds) of the alerts of all rules if they were run every tick from start to end.
 
     Each event raises its group's count when it comes and lowers it when its lookback ends. Running sums give the spans
-    in which the threshold holds, and only those spans are walked, so no event is copied to every tick.
+    in which the threshold holds, and only those spans are walked, so no event is copied to every tick. The sums are made
+    within stretches of time, on top of what each group has before a stretch, so a group isn't added up by one task.
+    Groups without a value aren't held back by anything and don't take part.
     """
-    s, e, period = start.cast("long"), end.cast("long"), rule.cooldown_s + 1
-    own = events.where(predicate(rule.selection)).select(field_column(rule.group_by).cast("string").alias("group_value"), F.unix_timestamp("timestamp").alias("ts")).where("group_value is not null")
-    edges = own.select("group_value", F.explode(F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("d")), F.struct((F.col("ts") + rule.seconds + 1).alias("at"), F.lit(-1).alias("d")))).alias("x")).groupBy("group_value", "x.at").agg(F.sum("x.d").alias("d"))
-    w = Window.partitionBy("group_value").orderBy("at")
-    spans = edges.withColumns({"n": F.sum("d").over(w), "until": F.coalesce(F.lead("at").over(w) - 1, e)}).where(compare(F.col("n"), F.lit(rule.op), F.lit(rule.n)) & (F.col("n") >= 1))
-    spans = spans.select("group_value", F.greatest(F.col("at"), s).alias("lm_a"), F.least(F.col("until"), e).alias("lm_b")).where("lm_a <= lm_b")
-    return walk(spans, ["group_value"], period, tick, s)
+    usable = [r for r in rules if not problem_of(r)]
+    table = F.broadcast(rule_table(events.sparkSession, usable).select("rule_id", "timeframe_s", "cooldown_s", "op", F.col("n").alias("lm_limit")))  # a row for each rule
+    s, e, key = start.cast("long"), end.cast("long"), ["rule_id", "group_value"]
+    hits = tagged(events, usable, F.timestamp_seconds(F.lit(0))).where("group_value is not null").select(*key, F.unix_timestamp("timestamp").alias("ts")).join(table.select("rule_id", "timeframe_s"), "rule_id")
+    both = F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("d")), F.struct((F.col("ts") + F.col("timeframe_s") + 1).alias("at"), F.lit(-1).alias("d")))
+    edges = hits.select(*key, F.explode(both).alias("x")).groupBy(*key, "x.at").agg(F.sum("x.d").alias("d")).withColumn("lm_s", F.floor(F.col("at") / stretch))
+    sums = edges.groupBy(*key, "lm_s").agg(F.sum("d").alias("lm_d"), F.min("at").alias("lm_first"))
+    by_stretch, inside = Window.partitionBy(*key).orderBy("lm_s"), Window.partitionBy(*key, "lm_s").orderBy("at")
+    sums = sums.select(*key, "lm_s", F.coalesce(F.sum("lm_d").over(by_stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lm_before"), F.lead("lm_first").over(by_stretch).alias("lm_next"))
+    counted = edges.join(sums, [*key, "lm_s"]).withColumns({"n": F.col("lm_before") + F.sum("d").over(inside), "until": F.coalesce(F.coalesce(F.lead("at").over(inside), F.col("lm_next")) - 1, e)})
+    spans = counted.join(table, "rule_id").where(compare(F.col("n"), F.col("op"), F.col("lm_limit")) & (F.col("n") >= 1))
+    spans = spans.select(*key, F.greatest(F.col("at"), s).alias("lm_a"), F.least(F.col("until"), e).alias("lm_b"), (F.col("cooldown_s") + 1).alias("lm_period")).where("lm_a <= lm_b")
+    return walk(spans, key, F.col("lm_period"), tick, s)
+
+
+def replay(events: DataFrame, rule: Rule, start: Column, end: Column, tick: int) -> DataFrame:
+    """group_value and fired_at of one rule's alerts, as replay_all gives them."""
+    return replay_all(events, [rule], start, end, tick).drop("rule_id")
 
 
 def technique_rollup(found: DataFrame) -> DataFrame:

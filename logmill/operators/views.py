@@ -37,6 +37,30 @@ def page(df: DataFrame, number: int = 1, size: int = 50, column: str = "timestam
     return df.orderBy(F.desc(column), tie).offset(size * (number - 1)).limit(size)
 
 
+def range_counts(df: DataFrame, by: str = "event_date") -> DataFrame:
+    """Rows of each range of time, a row for each value of by; for a stored table they can be kept beside it."""
+    return df.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def deep_page(df: DataFrame, counts: DataFrame, number: int, size: int = 50, by: str = "event_date", column: str = "timestamp", tie: str = "id") -> DataFrame:
+    """The page that page gives, however deep, from the ranges alone that hold it.
+
+    by must grow with column, as the date folders of an event table do; rows without it come last. The counts of the
+    ranges (some bytes for each date) tell where the page lies, so other dates aren't read and only these are sorted.
+    """
+    skip, held, left = size * (number - 1), [], size
+    for r in sorted(counts.collect(), key=lambda r: (r[by] is not None, r[by] or 0), reverse=True):
+        if not held and skip >= r["n"]:
+            skip -= r["n"]
+            continue
+        held.append(r[by])
+        left -= r["n"] - (skip if len(held) == 1 else 0)
+        if left <= 0:
+            break
+    own = df.where(F.col(by).isin([h for h in held if h is not None]) | (F.col(by).isNull() if None in held else F.lit(False)))
+    return own.orderBy(F.desc(column), tie).offset(skip).limit(size)
+
+
 def top(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     """The k most frequent values, ties by value; null doesn't count."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("count")).orderBy(F.desc("count"), key).limit(k)
@@ -64,9 +88,14 @@ def events_of(alert_ids: DataFrame, bridge: DataFrame, events: DataFrame) -> Dat
     return events.join(bridge.join(alert_ids, "alert_id").select("alert_id", F.col("event_id").alias("line_id")), "line_id")
 
 
-def upsert_status(alerts: DataFrame, updates: DataFrame) -> DataFrame:
-    """A new snapshot with the updates (id, status) of allowed status applied; nothing else changes."""
-    u = updates.where(F.col("status").isin(*STATUSES)).groupBy("id").agg(F.max("status").alias("u"))
+def upsert_status(alerts: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """A new snapshot with the updates (id, status) of allowed status applied; nothing else changes.
+
+    Of several updates of an id the last by the column order counts (null is first, ties go by status); without one they
+    have no order, and the alphabetically last counts.
+    """
+    latest = F.max(F.struct(*([order] if order else []), F.col("status").alias("lm_u")))["lm_u"]
+    u = updates.where(F.col("status").isin(*STATUSES)).groupBy("id").agg(latest.alias("u"))
     return alerts.join(u, "id", "left").withColumn("status", F.coalesce("u", "status")).drop("u")
 
 

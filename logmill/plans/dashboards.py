@@ -42,6 +42,15 @@ def event_page(spark, d):
     return views.page(parsed(spark, d), 2, 50, tie="line_id").select("line_id", seconds())
 
 
+@query(expected("SELECT event_id AS line_id, t_s FROM good ORDER BY t DESC, event_id LIMIT 50 OFFSET 4950"))
+def event_page_deep(spark, d):
+    """Page 100 of a stored table, a folder for each date."""
+    path = f"{shared_dir(spark)}/events"
+    write_events(parsed(spark, d), path)
+    e = spark.read.parquet(path)
+    return views.deep_page(e, views.range_counts(e), 100, 50, tie="line_id").select("line_id", seconds())
+
+
 def alerts_of(spark, d):
     return raised(event_table(spark, d))
 

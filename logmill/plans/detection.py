@@ -146,6 +146,20 @@ def rule_replay(spark, d):
     return rules.replay(parsed(spark, d), REPLAY_RULE, F.unix_timestamp(F.to_timestamp(F.lit("2024-01-01 00:00:00"))), F.unix_timestamp(as_of()), TICK)
 
 
+REPLAYED = (REPLAY_RULE, rules.Rule("rule-q", "Commands", {"event_type": "sudo_command"}, "selection | count(user) == 3", "high", "3d", "2d"), rules.Rule("rule-p", "Requests", {"event_type": "http_request", "http_status__gte": 500}, "selection | count(src_ip) >= 2", "low", "12h", "6h"), BROKEN[3])
+PAST = {"rule-r": ("src_ip", "event_type = 'auth_failure'", 7 * DAY, "count(*) > 2", DAY), "rule-q": ('"user"', "event_type = 'sudo_command'", 3 * DAY, "count(*) = 3", 2 * DAY), "rule-p": ("src_ip", "event_type = 'http_request' AND http_status >= 500", DAY // 2, "count(*) >= 2", DAY // 4)}
+
+
+@query(recursive(f"""{expected('')[5:]}, ticks AS (SELECT unnest(range({START}, epoch({NOW})::BIGINT + 1, {TICK})) AS ts),
+    hit AS MATERIALIZED ({" UNION ALL ".join(f"SELECT '{k}' AS rule_id, {g} AS group_value, ts, {cd} AS gap FROM ticks JOIN good ON t_s <= ts AND t_s >= ts - {tf} WHERE {sql} AND {g} IS NOT NULL GROUP BY {g}, ts HAVING {having}" for k, (g, sql, tf, having, cd) in PAST.items())}),
+    walk AS (SELECT rule_id, group_value, gap, min(ts) AS fired_at FROM hit GROUP BY ALL UNION ALL
+        SELECT w.rule_id, w.group_value, w.gap, (SELECT min(ts) FROM hit h WHERE h.rule_id = w.rule_id AND h.group_value = w.group_value AND h.ts > w.fired_at + w.gap) FROM walk w WHERE w.fired_at IS NOT NULL)
+    SELECT rule_id, group_value, fired_at FROM walk WHERE fired_at IS NOT NULL"""))
+def rules_replay(spark, d):
+    """All rules at once, each with its own timeframe, threshold and cooldown."""
+    return rules.replay_all(parsed(spark, d), REPLAYED, F.unix_timestamp(F.to_timestamp(F.lit("2024-01-01 00:00:00"))), F.unix_timestamp(as_of()), TICK)
+
+
 @query(with_alerts("SELECT alert_id, event_id FROM br"))
 def alert_evidence(spark, d):
     e = event_table(spark, d)

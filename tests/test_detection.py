@@ -1,7 +1,7 @@
 """Rules, windows, anomalies and retention on small tables."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +173,70 @@ def test_one_bad_rule_stops_no_other(spark):
     assert [rules.problem_of(r) for r in BROKEN] == ["field unknown: no_such", "comparison unknown: startswith", "condition unreadable", "group is no event column", None]
     told = {(r.rule_id, r.problem) for r in rules.lint(rules.rule_table(spark, BROKEN)).collect()}
     assert {("broken-1", "field unknown: no_such"), ("broken-2", "comparison unknown: startswith"), ("broken-3", "condition unreadable"), ("broken-4", "group is no event column")} <= told
+
+
+def test_replay_of_all_rules_by_stretches(spark):
+    """Rules of all operators, a group with most events, against counting at every tick; short stretches split each group."""
+    rng = random.Random(12)
+    events = sudo_events(spark, [(rng.choice(["hot"] * 6 + ["x", "y", None]), rng.randrange(40_000)) for _ in range(400)])
+    own = [rules.Rule(f"r{i}", "R", {"event_type": "sudo_command"}, f"selection | count(user) {op} {n}", timeframe=tf, cooldown=cd) for i, (op, n, tf, cd) in enumerate(((">", 3, "10m", "20m"), (">=", 1, "3m", "1h"), ("<", 2, "30m", "5m"), ("<=", 4, "15m", "1s"), ("==", 2, "20m", None)))]
+    times = {}
+    for r in events.select("user", F.unix_timestamp("timestamp").alias("t")).where("user <> 'None'").collect():
+        times.setdefault(r.user, []).append(r.t)
+    end = int(NOW.replace(tzinfo=timezone.utc).timestamp())
+    holds = {">": int.__gt__, ">=": int.__ge__, "<": int.__lt__, "<=": int.__le__, "==": int.__eq__}
+    want = set()
+    for rule in own:
+        for user, ts in times.items():
+            last = None
+            for at in range(end - 36_000, end + 1, 60):
+                n = sum(at - rule.seconds <= t <= at for t in ts)
+                if n and holds[rule.op](n, rule.n) and (last is None or at > last + rule.cooldown_s):
+                    want.add((rule.id, user, at))
+                    last = at
+    for stretch in (1000, 10**6):
+        got = rules.replay_all(events.where("user <> 'None'"), [*own, rules.Rule("no", "N", {"pid": "x"}, "selection | count(user) > 0")], F.lit(end - 36_000), F.lit(end), 60, stretch).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want and {r.rule_id for r in got} == {r.id for r in own}
+
+
+def test_forest_by_single_steps(spark):
+    """Samples against sorting all hashes, and paths against a walk from node to node."""
+    from logmill.operators.features import FEATURES
+
+    rng = random.Random(5)
+    rows = [(600 * i, *[float(rng.randrange(30) + 200 * (i == 7)) for _ in FEATURES]) for i in range(900)]
+    windows = spark.createDataFrame(rows, "window_start long, " + ", ".join(f"{f} double" for f in FEATURES))
+    nodes = forest.fit(windows, trees=12, sample=64)
+    by_tree = {}
+    for r in nodes.collect():
+        by_tree.setdefault(r.tree, {})[r.node] = r
+    hashed = windows.select("window_start", *[F.xxhash64("window_start", F.lit(t), F.lit(forest.SEED)).alias(f"h{t}") for t in range(12)]).collect()
+    values = {r[0]: r[1:] for r in rows}
+    for t, tree in by_tree.items():
+        picked = [values[r.window_start] for r in sorted(hashed, key=lambda r: (r[f"h{t}"], r.window_start))[:64]]
+        assert {r.n for r in tree.values()} == {64}
+        inside = {0: picked}
+        for at in sorted(tree):
+            r = tree[at]
+            if r.feature >= 0:
+                column = [x[r.feature] for x in inside[at]]
+                assert min(column) <= r.cut <= max(column)
+                inside[r.left], inside[r.right] = [x for x in inside[at] if x[r.feature] < r.cut], [x for x in inside[at] if x[r.feature] >= r.cut]
+
+    def raw(x):
+        total = 0.0
+        for tree in by_tree.values():
+            at, depth = 0, 0
+            while tree[at].feature >= 0:
+                at, depth = (tree[at].left if x[tree[at].feature] < tree[at].cut else tree[at].right), depth + 1
+            assert abs(tree[at].credit - depth) <= forest.average_path(64)
+            total += tree[at].credit
+        return -(2.0 ** (-total / 12 / forest.average_path(64)))
+
+    scores = {w: raw(x) for w, x in values.items()}
+    ordered = sorted(scores.values())
+    place = 0.1 * (len(ordered) - 1)
+    limit = ordered[int(place)] + (place - int(place)) * (ordered[int(place) + 1] - ordered[int(place)])
+    got = forest.score(windows, nodes).collect()
+    assert len(got) == 900 and all(abs(r.decision - (scores[r.window_start] - limit)) < 1e-4 for r in got)
+    assert min(got, key=lambda r: r.decision).window_start == 4200

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from logmill.operators import anomaly, views
+from logmill.operators import anomaly, briefs, views
 from logmill.operators import events as ev
 from logmill.operators.features import FEATURES
 
@@ -101,3 +101,27 @@ def test_numbers_as_text(spark):
     rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", anomaly.one_place(F.col("x")).alias("one"), anomaly.shortest(F.round("x", 4)).alias("text"), F.round("x", 4).alias("r")).collect()
     assert all(r.one == f"{r.x:.1f}" for r in rows) and all(float(r.text) == r.r and "E" not in r.text for r in rows)
     assert {r.text for r in rows if r.x in (12.0, 1e7, 0.0005, 0.6667)} == {"12.0", "10000000.0", "0.0005", "0.6667"}
+
+
+def test_deep_page_reads_its_dates_alone(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, None if i % 50 == 0 else NOW - timedelta(hours=rng.randrange(24 * 12)), "x") for i in range(700)]
+    path = str(tmp_path / "events")
+    ev.write_events(spark.createDataFrame(rows, EVENT), path)
+    table = spark.read.parquet(path)
+    counts = views.range_counts(table)
+    for number in (1, 2, 7, 13, 14, 15):
+        page = views.deep_page(table, counts, number, 50, tie="line_id")
+        assert page.select("line_id").collect() == views.page(table, number, 50, tie="line_id").select("line_id").collect()
+    assert len({f.rsplit("event_date=")[1][:10] for f in views.deep_page(table, counts, 7, 50, tie="line_id").inputFiles()}) <= 14
+    plan = views.deep_page(table, counts, 7, 50, tie="line_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "event_date" in plan.split("PartitionFilters")[1][:200]
+    assert views.deep_page(table.limit(0), counts.limit(0), 3, 50, tie="line_id").count() == 0
+
+
+def test_the_last_update_counts(spark):
+    alerts = spark.createDataFrame([("a", "new", "old"), ("b", "new", "old"), ("c", "new", "old")], "id string, status string, llm_analysis string")
+    updates = spark.createDataFrame([("a", "resolved", 1), ("a", "acknowledged", 2), ("b", "resolved", 3), ("b", "odd", 4), ("b", "new", None)], "id string, status string, at int")
+    assert sorted((r.id, r.status) for r in views.upsert_status(alerts, updates, "at").collect()) == [("a", "acknowledged"), ("b", "resolved"), ("c", "new")]
+    results = spark.createDataFrame([("a", True, "z", 1), ("a", True, "y", 2), ("a", False, "x", 3)], "id string, ok boolean, text string, at int")
+    assert sorted((r.id, r.llm_analysis) for r in briefs.store_analyses(alerts, results, "at").collect()) == [("a", "y"), ("b", "old"), ("c", "old")]
