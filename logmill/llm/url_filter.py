@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.common import lower_ascii, shared_dir, stored
+from logmill.llm.common import count_at_most, lower_ascii, shared_dir, stored
 
 #: (host and path, verdict)
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Suffixes of two labels under which domains are registered, unless a caller has a longer list; all others have one label.
 TWO_LABELS = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "or.jp", "org.au", "org.uk")
 LEVELS = ("suffix", "domain", "host")
-Z, LIMIT, MOST_RULES = 1.645, 0.5, 500
+Z, LIMIT, MOST_RULES, BROADCAST_RULES = 1.645, 0.5, 50, 200_000
 
 
 def host_of(url: str = "url") -> Column:
@@ -32,9 +32,7 @@ def path_of(url: str = "url") -> Column:
 
 
 def longest_rule(rules, host: str = "host", path: str = "path") -> tuple[Column, Column]:
-    """The longest rule that fits and its verdict; both null if none does. For lists of up to MOST_RULES rules."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules go into one expression")
+    """The longest rule that fits and its verdict; both null if none does. For the few rules that go into one expression."""
     name = verdict = F.lit(None).cast("string")
     for rule, says in sorted(rules, key=lambda r: (len(r[0]), r[0])):
         rule_host, slash, rest = rule.partition("/")
@@ -43,6 +41,34 @@ def longest_rule(rules, host: str = "host", path: str = "path") -> tuple[Column,
     return name, verdict
 
 
+def with_rules(placed: DataFrame, rules, most: int = BROADCAST_RULES) -> DataFrame:
+    """placed (host, path) with rule and said, the longest rule that fits and its verdict.
+
+    rules: pairs of rule and verdict, or a DataFrame (rule, said). Up to MOST_RULES pairs are one expression. More are a
+    table: a host's suffixes meet the hosts that have rules, and these tell which lengths their paths have, so that each
+    place looks up as many starts of its path as there are lengths, and no list of rules is passed over. Places are
+    looked up once each, however many rows have them. Up to most rules are broadcast; the rows are the same beyond.
+    Of pairs that name a rule twice the last counts, in a table block does.
+    """
+    if not isinstance(rules, DataFrame) and len(rules) <= MOST_RULES:
+        rule, says = longest_rule(rules)
+        return placed.withColumns({"rule": rule, "said": says})
+    spark, place = placed.sparkSession, shared_dir(placed.sparkSession)
+    table = rules.select("rule", "said") if isinstance(rules, DataFrame) else spark.createDataFrame(list(dict(rules).items()), "rule string, said string")
+    split = {"lm_host": F.substring_index("rule", "/", 1), "lm_start": F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)")}
+    table = stored(table.where("rule is not null").groupBy("rule").agg(F.max("said").alias("said")).withColumns(split), f"{place}/rules")
+    few = (lambda df: F.broadcast(df)) if count_at_most(table, most) else (lambda df: df)
+    lengths = table.groupBy("lm_host").agg(F.collect_set(F.length("lm_start")).alias("lm_lengths"))
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    places = placed.select("host", "path").distinct()
+    met = places.select("host", "path", F.explode(ends).alias("lm_host")).join(few(lengths), "lm_host")
+    starts = met.select("host", "path", "lm_host", F.explode(F.filter("lm_lengths", lambda n: n <= F.length("path"))).alias("lm_n"))
+    fits = starts.withColumn("lm_start", F.expr("substring(path, 1, lm_n)")).join(few(table), ["lm_host", "lm_start"])
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "rule", "said")).alias("lm_best"))
+    return placed.join(stored(best.select("host", "path", "lm_best.rule", "lm_best.said"), f"{place}/decided"), ["host", "path"], "left")
+
+
 def suffix_and_domain(host: str = "host", two_labels=TWO_LABELS) -> dict[str, Column]:
     """The public suffix and the registered domain; a host that is a suffix itself is its own domain."""
     two = F.substring_index(host, ".", -2)
@@ -90,14 +116,13 @@ def judge(pages: DataFrame, rules=RULES, bad: str | None = None, limit: float =
 
     Outcomes are learnt from column bad (1 blocked, 0 not, null unlabelled) if one is named, otherwise from the pages
     that a rule decides. A null url, or one without ``://``, has empty host and path and is judged as the host '' with
-    the others like it. Repeated rows are judged alike and count as often as they occur. Columns of pages other than
+    the others like it. rules: few or many, see with_rules. Repeated rows are judged alike and count as often as they occur. Columns of pages other than
     page_id, url and bad aren't read. With no outcome at all everything without a rule is allowed. two_labels: the
     suffixes of two labels under which domains are registered.
     """
     read = pages.select("page_id", "url", *([F.col(bad).cast("int").alias("bad")] if bad else []))
     placed = read.withColumns({"host": host_of(), "path": path_of()}).drop("url")
-    rule, says = longest_rule(rules)
-    placed = placed.withColumns({"rule": rule, "said": says})
+    placed = with_rules(placed, rules)
     if not bad:
         placed = placed.withColumn("bad", (F.col("said") == "block").cast("int"))
     known = reputation(placed.select("host", "bad"), two_labels)

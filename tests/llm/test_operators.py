@@ -441,6 +441,35 @@ def slow_leaks(docs, items, least=0.8):
     return out
 
 
+def test_url_rules_as_a_table(spark, monkeypatch):
+    """100,000 rules, nested and repeated ones among them, against trying all; the two ways; very long urls and repeated rows."""
+    rng = random.Random(21)
+    words = ["a", "b", "com", "net", "example", "www", "co", "uk", "en"]
+    name = lambda n: ".".join(rng.choice(words) for _ in range(rng.randrange(1, n)))
+    path = lambda n: "".join("/" + rng.choice(["x", "en", "fr", "", "é"]) for _ in range(rng.randrange(n)))
+    own = {name(4) + path(4): rng.choice(["allow", "block"]) for _ in range(400)} | {"": "allow", "com": "block", "/en": "block"}
+    many = [(f"host{i}.org/{i}", "block") for i in range(100_000)] + list(own.items())
+    urls = [f"http://{name(5)}{path(6)}?q" for _ in range(300)] + [None, "x", "http://", "http://com", "http://a.", "http://HOST7.org/7/8", "http://a.host7.org/71", "http://com/" + "en/" * 30_000, "http://com/en", "http://com/en"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+
+    def want(host, path):
+        fits = [(len(r), r, v) for r, v in [*own.items(), ("host7.org/7", "block")] if (host == (h := r.partition("/")[0]) or host.endswith("." + h)) and path.startswith(r[len(h):])]
+        return max(fits)[1:] if fits else (None, None)
+
+    rows = url_filter.judge(pages, many).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        rule, said = want(r.host, r.path)
+        assert r.rule == rule and (said is None or r.verdict == said)
+    few = sorted(own.items())[:50]
+    key = lambda rules: sorted((r.page_id, str(r.rule), r.verdict) for r in url_filter.judge(pages, rules).collect())
+    same = key(few)
+    assert key(spark.createDataFrame(few, "rule string, said string")) == same
+    monkeypatch.setattr(url_filter, "MOST_RULES", 1)
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 1)
+    assert key(few) == same and url_filter.judge(pages.limit(0), many).count() == 0
+
+
 @pytest.mark.parametrize("most", [250_000, 0])
 def test_leaks_against_all_windows(spark, docs, most):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
