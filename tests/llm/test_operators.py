@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from logmill.llm import decontaminate, exact_dedup, language_id, licenses, mixing, quality, queries, simhash, token_counts, url_filter, warc
-from logmill.llm.common import shared_dir
+from logmill.llm.common import shared_dir, stored
 from logmill.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -515,3 +515,38 @@ def test_query_against_sql(spark, name):
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     assert Counter(tuple(r[c] for c in columns) for r in rows.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_candidates_of_a_large_benchmark(spark):
+    """2,000 items of one size: a window meets the items whose shingles it has, not all of its size; short items have no radius."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=40))) for i in range(2000)] + [(5000 + i, " ".join(rng.choices(vocabulary, k=9))) for i in range(300)]
+    rows = []
+    for i in range(300):
+        text = dict(items)[rng.choice(items)[0]].split()
+        if i % 3:
+            text[rng.randrange(len(text))] = "changed"
+        rows.append((i, " ".join(rng.choices(vocabulary, k=30) + text + rng.choices(vocabulary, k=30))))
+    docs, bench = (spark.createDataFrame(x, f"{n} long, text string") for x, n in ((rows, "doc_id"), (items, "item_id")))
+    place = shared_dir(spark)
+    known = stored(decontaminate.items_of(bench), f"{place}/items")
+    laid = stored(decontaminate.windows(docs, known), f"{place}/windows")
+    found = decontaminate.candidates(laid, known)
+    n_windows = laid.count()
+    assert 200 <= n_windows <= 900 and found.distinct().count() <= 1.2 * n_windows and found.count() <= 9 * n_windows
+    shingles = lambda t: Counter(zip(*(t.split()[k:] for k in range(5)), strict=False))
+    want, having = set(), defaultdict(set)
+    for doc, whole in rows:
+        for shingle in shingles(whole):
+            having[shingle].add(doc)
+    for item, text in items:
+        own = shingles(text)
+        for doc in set().union(*(having[x] for x in own if x in having)):
+            whole = dict(rows)[doc]
+            words, size = whole.split(), len(text.split())
+            for at in range(len(words) - size + 1):
+                window = shingles(" ".join(words[at : at + size]))
+                if (own & window).total() >= 0.8 * (own | window).total():
+                    want.add((doc, item))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == want and len(want) > 100
