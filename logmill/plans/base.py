@@ -11,7 +11,7 @@ from logmill.operators.parse import parse_lines
 from logmill.operators.rules import Rule, alerts, evidence
 from logmill.session import shared_dir
 from logmill.sources.lines import SOURCES, not_ignored
-from logmill.sources.synth import EXPECTED, as_of, read_lines
+from logmill.plans.synth import EXPECTED, as_of, read_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,6 +89,7 @@ def snapshot(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsed events as a stored table, for queries that read them more than once."""
-    return snapshot(parsed(spark, sf_dir))
+def event_table(spark: SparkSession, sf_dir: str, lean: bool = False) -> DataFrame:
+    """The parsed events as a stored table, for queries that read them more than once; lean ones are without their texts."""
+    events = parsed(spark, sf_dir)
+    return snapshot(events.drop("raw", "message") if lean else events)

@@ -52,7 +52,7 @@ def event_page_deep(spark, d):
 
 
 def alerts_of(spark, d):
-    return raised(event_table(spark, d))
+    return raised(event_table(spark, d, lean=True))
 
 
 @query(with_alerts("SELECT id, rule_id, group_value FROM al WHERE severity = 'high' AND status = 'resolved'"))
@@ -113,14 +113,14 @@ OLD = f"t < {NOW} - INTERVAL 4 DAY"
 
 @query(with_alerts(f"SELECT event_id AS line_id FROM good WHERE NOT ({OLD}) OR event_id IN (SELECT event_id FROM br JOIN al ON al.id = alert_id WHERE created_at >= {NOW} - INTERVAL 170 DAY)"))
 def retention_keep(spark, d):
-    e = event_table(spark, d)
+    e = event_table(spark, d, lean=True)
     a = raised(e)
     return views.retained(e, a, bridge(e, a), as_of(), 4, 170)[0].select("line_id")
 
 
 @query(with_alerts(f"SELECT (SELECT count(*) FROM al WHERE created_at < {NOW} - INTERVAL 170 DAY) AS alerts_to_delete, (SELECT count(*) FROM good WHERE {OLD} AND event_id NOT IN (SELECT event_id FROM br)) AS events_to_delete"))
 def retention_dry_run(spark, d):
-    e = event_table(spark, d)
+    e = event_table(spark, d, lean=True)
     a = raised(e)
     return views.dry_run(e, a, bridge(e, a), as_of(), 4, 170)
 
@@ -128,7 +128,7 @@ def retention_dry_run(spark, d):
 @query(with_alerts(f"SELECT event_id AS line_id FROM good WHERE NOT ({OLD}) OR event_id IN (SELECT event_id FROM br JOIN al ON al.id = alert_id WHERE created_at >= {NOW} - INTERVAL 170 DAY)"))
 def retention_in_place(spark, d):
     """A stored event table, a folder for each date, pruned where it lies."""
-    e, path = event_table(spark, d), f"{shared_dir(spark)}/events"
+    e, path = event_table(spark, d, lean=True), f"{shared_dir(spark)}/events"
     write_events(e, path)
     a = raised(e)
     links = bridge(e, a).join(e.select(F.col("line_id").alias("event_id"), F.to_date("timestamp").alias("event_date")), "event_id")

@@ -114,7 +114,7 @@ def selection_types(spark, d):
 @query(with_alerts("SELECT rule_id, group_value FROM al WHERE NOT (group_value <> 'None' AND c % 2 = 0 AND CASE WHEN rule_id = 'rule-t4' THEN 3600 ELSE c * 100 END <= CASE WHEN rule_id = 'rule-t4' THEN 86400 ELSE 300 END)"))
 def rule_cooldown_tick(spark, d):
     """Earlier alerts, of half of the groups, hold back those whose cooldown isn't over."""
-    e = event_table(spark, d)
+    e = event_table(spark, d, lean=True)
     back = F.when(F.col("rule_id") == "rule-t4", 3600).otherwise(F.col("count") * 100)
     earlier = rules.fired(e, TEST_RULES, as_of()).where("count % 2 = 0").select("rule_id", "group_value", F.timestamp_seconds(F.unix_timestamp(as_of()) - back).alias("created_at"))
     return rules.alerts(e, TEST_RULES, as_of(), earlier).select("rule_id", "group_value")
@@ -162,7 +162,7 @@ def rules_replay(spark, d):
 
 @query(with_alerts("SELECT alert_id, event_id FROM br"))
 def alert_evidence(spark, d):
-    e = event_table(spark, d)
+    e = event_table(spark, d, lean=True)
     return bridge(e, rules.alerts(e, TEST_RULES, as_of()))
 
 

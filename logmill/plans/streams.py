@@ -11,7 +11,7 @@ from logmill.plans.base import NOW, ORACLE_SQL, TEST_RULES, as_of, expected, que
 from logmill.plans.detection import features_sql, fold_sql, recursive
 from logmill.session import ship
 from logmill.sources.lines import SOURCES, not_ignored
-from logmill.sources.synth import lines
+from logmill.plans.synth import lines
 from logmill.streaming import streams
 
 #: Windows are given out once the watermark, an hour behind the newest event, has passed their end.
