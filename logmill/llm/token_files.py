@@ -7,7 +7,7 @@ of every few rows) and Bloom filters of the keys, so tasks read stripes in paral
 others.
 
 A byte-level BPE never merges across its pre-tokens. Where they begin follows from the classes of neighbouring characters,
-so a task finds the pre-tokens of 4 MB of text in one numpy pass, Arrow numbers the distinct ones, and the library encodes
+so a task finds the pre-tokens of 3 MB of text in one numpy pass, Arrow numbers the distinct ones, and the library encodes
 those that the worker hasn't met yet. A text with a character whose class differs between versions of Unicode, or with
 the string of an added token, is one pre-token, that is, the library encodes it whole; so are all texts where the
 tokenizer is of another kind.
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from logmill.llm.common import bytes_of, chunks, with_results
 
 #: Pre-tokens that a worker keeps in each of two generations, and the longest (in bytes) that is kept.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 350_000, 64
 #: Bytes of text that are looked at together.
-TOGETHER = 4 << 20
+TOGETHER = 3 << 20
 IDS = "array<int>"
 LETTER, NUMBER, OTHER, SPACE, WHITE, UNSURE = range(6)
 #: Code points from here on count as unsure.
@@ -57,13 +57,12 @@ def classes() -> np.ndarray:
     return out
 
 
-def begins(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Whether a pre-token begins at each code point; first marks where texts begin, the end of the array ends the last.
+def begins(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a pre-token begins at each code point; kind is its class, first marks where texts begin, the end of the array ends the last.
 
     The pattern: an apostrophe with SHORT; letters, numbers or others, each with one space before; white space up to the
     last one before a word; white space.
     """
-    kind = classes()[np.minimum(points, KNOWN)]
     white = (kind == SPACE) | (kind == WHITE)
     before, after = np.roll(kind, 1), np.roll(~white, -1)
     last = np.roll(first, -1)  # the next text, or the first one, begins behind it
@@ -131,19 +130,21 @@ class Encoder:
         tops = at[filled]
         starts = tops
         if self.cuts:
-            places = np.flatnonzero((own & 0xC0) != 0x80)
+            places = np.flatnonzero((own & 0xC0) != 0x80).astype(np.int32)
             raw = own.tobytes()
             points = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")
             first = np.zeros(len(points), bool)
             first[np.searchsorted(places, tops)] = True
-            start = begins(points, first)
-            unsure = set(np.searchsorted(tops, places[classes()[np.minimum(points, KNOWN)] == UNSURE], "right") - 1)
+            kind = classes().take(points, mode="clip")
+            start = begins(points, kind, first)
+            unsure = set(np.searchsorted(tops, places[kind == UNSURE], "right") - 1)
             if self.added:
                 unsure |= {int(np.searchsorted(tops, m.start(), "right")) - 1 for m in self.added.finditer(raw)}
             for k in unsure:  # such a text is one unit
                 a, b = np.searchsorted(places, [at[filled[k]], at[filled[k] + 1]])
                 start[a + 1 : b] = False
             starts = places[start]
+            del places, points, kind, first, start, raw
         ends = np.append(starts, len(own))
         units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(own))]).dictionary_encode()
         blocks, which = self.blocks(units.dictionary.to_pylist()), units.indices.to_numpy()
