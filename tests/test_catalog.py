@@ -11,7 +11,7 @@ import __spark_entry__ as entry_point
 from logmill import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["parse_all_normalised", "envelope_roundtrip", "all_rules_alerts", "rule_replay", "feature_series_filled", "rolling_baseline", "consensus_severity", "retention_keep", "label_map", "scrub_messages", "scrub_ips_docs", "alert_brief", "recent_digest", "ignore_accounting", "poison_quarantine", "event_sink_roundtrip", "ip_dossier", "notify_text", "stream_cooldown", "stream_features", "stream_dedup"]
+SOME = ["parse_all_normalised", "envelope_roundtrip", "all_rules_alerts", "rule_replay", "feature_series_filled", "rolling_baseline", "consensus_severity", "retention_keep", "label_map", "scrub_messages", "scrub_ips_docs", "alert_brief", "recent_digest", "ignore_accounting", "poison_quarantine", "event_sink_roundtrip", "ip_dossier", "notify_text", "stream_cooldown", "stream_features", "stream_dedup", "selection_types", "rule_isolation", "rules_replay", "anomaly_messages", "retention_in_place", "ip_persistence_stored", "ip_scope_v6", "event_page_deep", "stream_rules", "stream_accounting", "stream_outbox"]
 
 
 def plain(v):
@@ -40,5 +40,5 @@ def test_query_against_sql(spark, duck, name):
 
 def test_contract(spark):
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
-    assert len(catalog.QUERIES) > 75
+    assert len(catalog.QUERIES) > 90
     assert entry_point.entry(spark).columns[:2] == ["id", "rule_id"]
